@@ -15,11 +15,17 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_wavelet_tokens(spark, sf_dir):
+    from docweave.llm.wavelet import read_token_shards, write_token_shards
+
+    return read_token_shards(write_token_shards(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2))
+
+
 def op10_config_lp_packing(spark, sf_dir):
     from docweave.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op10_config_lp_packing,)}
+QUERIES = {f.__name__: f for f in (op2_wavelet_tokens, op10_config_lp_packing)}
 ORACLE_SQL: dict[str, str] = {}
