@@ -21,11 +21,17 @@ def op2_wavelet_tokens(spark, sf_dir):
     return read_token_shards(write_token_shards(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2))
 
 
+def op3_randomness_secrets(spark, sf_dir):
+    from docweave.llm.secrets import digest, find_secrets
+
+    return digest(find_secrets(_table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
+
+
 def op10_config_lp_packing(spark, sf_dir):
     from docweave.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op2_wavelet_tokens, op10_config_lp_packing)}
+QUERIES = {f.__name__: f for f in (op2_wavelet_tokens, op3_randomness_secrets, op10_config_lp_packing)}
 ORACLE_SQL: dict[str, str] = {}
