@@ -27,11 +27,18 @@ def op3_randomness_secrets(spark, sf_dir):
     return digest(find_secrets(_table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
 
 
+def op8_weak_pii(spark, sf_dir):
+    from docweave.llm.pii import KINDS, find_pii
+    from docweave.llm.secrets import digest
+
+    return digest(find_pii(_table(spark, sf_dir, "documents")), KINDS)
+
+
 def op10_config_lp_packing(spark, sf_dir):
     from docweave.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op2_wavelet_tokens, op3_randomness_secrets, op10_config_lp_packing)}
+QUERIES = {f.__name__: f for f in (op2_wavelet_tokens, op3_randomness_secrets, op8_weak_pii, op10_config_lp_packing)}
 ORACLE_SQL: dict[str, str] = {}
