@@ -15,6 +15,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark, sf_dir):
+    from docweave.llm.substrings import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"), length=50).drop("removed")
+
+
 def op2_wavelet_tokens(spark, sf_dir):
     from docweave.llm.wavelet import read_token_shards, write_token_shards
 
@@ -40,5 +46,5 @@ def op10_config_lp_packing(spark, sf_dir):
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op2_wavelet_tokens, op3_randomness_secrets, op8_weak_pii, op10_config_lp_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_wavelet_tokens, op3_randomness_secrets, op8_weak_pii, op10_config_lp_packing)}
 ORACLE_SQL: dict[str, str] = {}
