@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+import sys
+from array import array
+from functools import lru_cache
 
 import regex
 
@@ -48,16 +50,29 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if sys.byteorder == "little" else b"".join(i.to_bytes(4, "little") for i in ids)
+
+
+@lru_cache(maxsize=2)
+def shared_encoder(path: str) -> Encoder:
+    """One per worker process: a worker runs many tasks, and later ones find the pieces of earlier ones."""
+    return Encoder(path)
+
+
 class Encoder:
     """ids(text): the ids of a text without special tokens, as bytes of 32-bit integers."""
 
-    def __init__(self, path: str, pieces: int = 250_000):
+    def __init__(self, path: str, pieces: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words = self.tokenizer.normalizer is not None
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.simple = not any(t.rstrip(".,;:!?").lstrip().isalpha() for t in added)
+        self.added = re.compile("|".join(re.escape(t) for t in added) or r"(?!)")
         self.split = regex.compile(WORD_SPLIT if self.words else BYTE_SPLIT)
         self.alphabet = str.maketrans(_byte_alphabet())
         self.core = _Recent(self._core, pieces)
@@ -65,18 +80,25 @@ class Encoder:
         self.spaced = _Recent(lambda p: self._piece(" " + p), pieces)
 
     def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _core(self, pretoken: str) -> bytes:
-        mapped = pretoken.encode().decode("latin-1").translate(self.alphabet)
-        ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        mapped = (pretoken if pretoken.isascii() else pretoken.encode().decode("latin-1")).translate(self.alphabet)
+        return _packed([t.id for t in self.model.tokenize(mapped)])
 
     def _piece(self, piece: str) -> bytes:
         if not piece:
             return b""
-        if max(piece) > "\xff" or any(a in piece for a in self.added):
+        if not piece.isascii() and max(piece) > "\xff":
+            return self._whole(piece)
+        if self.simple:
+            # a word, or a word and one mark: what the pattern would find, without it
+            word, mark = (piece[:-1], piece[-1]) if piece[-1] in ".,;:!?" else (piece, "")
+            if (word[1:] if word[:1] == " " else word).isalpha():
+                if self.words:
+                    word = word.lstrip().lower()
+                return self.core[word] + self.core[mark] if mark else self.core[word]
+        if self.added.search(piece):
             return self._whole(piece)
         found = self.split.findall(piece.lower() if self.words else piece)
         return b"".join(map(self.core.__getitem__, found))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.llm._store import keep, small_batches
-from docweave.llm._tokens import Encoder
+from docweave.llm._tokens import shared_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -32,7 +32,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
     """
 
     def encode(batches):
-        encoder, end = Encoder(tokenizer), int(end_id).to_bytes(4, "little")
+        encoder, end = shared_encoder(tokenizer), int(end_id).to_bytes(4, "little")
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.llm._store import keep, small_batches
-from docweave.llm._tokens import Encoder
+from docweave.llm._tokens import shared_encoder
 
 _MAGIC = b"DWWM0001"
 SHARDS = "part int, seq int, n_docs long, n_tokens long, file binary"
@@ -159,7 +159,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, bits: int =
     def encode(batches):
         from pyspark import TaskContext
 
-        encoder, end = Encoder(tokenizer), int(end_id).to_bytes(4, "little")
+        encoder, end = shared_encoder(tokenizer), int(end_id).to_bytes(4, "little")
         kind, part, seq = np.uint16 if bits <= 16 else np.uint32, TaskContext.get().partitionId(), 0
         ids: list = []
         lengths: list[int] = []
