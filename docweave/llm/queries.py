@@ -33,6 +33,12 @@ def op3_randomness_secrets(spark, sf_dir):
     return digest(find_secrets(_table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
 
 
+def op6_token_group_join(spark, sf_dir):
+    from docweave.llm.jaccard import similarity_classes
+
+    return similarity_classes(_table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
 def op8_weak_pii(spark, sf_dir):
     from docweave.llm.pii import KINDS, find_pii
     from docweave.llm.secrets import digest
@@ -46,5 +52,5 @@ def op10_config_lp_packing(spark, sf_dir):
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_wavelet_tokens, op3_randomness_secrets, op8_weak_pii, op10_config_lp_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_wavelet_tokens, op3_randomness_secrets, op6_token_group_join, op8_weak_pii, op10_config_lp_packing)}
 ORACLE_SQL: dict[str, str] = {}
