@@ -39,6 +39,13 @@ def op6_token_group_join(spark, sf_dir):
     return similarity_classes(_table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
+def op7_decision_list_quality(spark, sf_dir):
+    from docweave.llm.quality import quality_verdicts
+
+    found = quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_weak_pii(spark, sf_dir):
     from docweave.llm.pii import KINDS, find_pii
     from docweave.llm.secrets import digest
@@ -52,5 +59,5 @@ def op10_config_lp_packing(spark, sf_dir):
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_wavelet_tokens, op3_randomness_secrets, op6_token_group_join, op8_weak_pii, op10_config_lp_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_wavelet_tokens, op3_randomness_secrets, op6_token_group_join, op7_decision_list_quality, op8_weak_pii, op10_config_lp_packing)}
 ORACLE_SQL: dict[str, str] = {}
