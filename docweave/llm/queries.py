@@ -53,11 +53,17 @@ def op8_weak_pii(spark, sf_dir):
     return digest(find_pii(_table(spark, sf_dir, "documents")), KINDS)
 
 
+def op9_katz_backoff(spark, sf_dir):
+    from docweave.llm.katz import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"), folds=7, fold=2)
+
+
 def op10_config_lp_packing(spark, sf_dir):
     from docweave.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_wavelet_tokens, op3_randomness_secrets, op6_token_group_join, op7_decision_list_quality, op8_weak_pii, op10_config_lp_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_wavelet_tokens, op3_randomness_secrets, op6_token_group_join, op7_decision_list_quality, op8_weak_pii, op9_katz_backoff, op10_config_lp_packing)}
 ORACLE_SQL: dict[str, str] = {}
