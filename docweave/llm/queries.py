@@ -33,6 +33,12 @@ def op3_randomness_secrets(spark, sf_dir):
     return digest(find_secrets(_table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
 
 
+def op4_bigru_toxicity(spark, sf_dir):
+    from docweave.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_token_group_join(spark, sf_dir):
     from docweave.llm.jaccard import similarity_classes
 
@@ -65,5 +71,5 @@ def op10_config_lp_packing(spark, sf_dir):
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_wavelet_tokens, op3_randomness_secrets, op6_token_group_join, op7_decision_list_quality, op8_weak_pii, op9_katz_backoff, op10_config_lp_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_wavelet_tokens, op3_randomness_secrets, op4_bigru_toxicity, op6_token_group_join, op7_decision_list_quality, op8_weak_pii, op9_katz_backoff, op10_config_lp_packing)}
 ORACLE_SQL: dict[str, str] = {}
