@@ -137,6 +137,27 @@ class Words:
         return out, np.arange(n) + k <= last
 
 
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+
+
+def without_marks(words: Words, most: int = 8) -> Words:
+    """The words less up to `most` ASCII marks at either end; words of marks alone go."""
+    starts, ends, last = words.starts.copy(), words.ends.copy(), max(len(words.data) - 1, 0)
+    for _ in range(most if len(starts) else 0):
+        more = (starts < ends) & _MARK[words.data[np.minimum(starts, last)]]
+        starts += more
+        less = (starts < ends) & _MARK[words.data[ends - 1]]
+        ends -= less
+        if not more.any() and not less.any():
+            break
+    stay = starts < ends
+    out = Words.__new__(Words)
+    out.data, out.offsets, out.starts, out.ends = words.data, words.offsets, starts[stay], ends[stay]
+    out.bounds = np.concatenate([[0], np.cumsum(stay)])[words.bounds]
+    return out
+
+
 def runs(batch: pa.RecordBatch, text: str = "text", lower: bool = False, limit: int = SLICE_BYTES):
     """(first, past last, Words) for runs of a batch's documents."""
     data, offsets = column_bytes(batch.column(batch.schema.get_field_index(text)))

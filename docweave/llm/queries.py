@@ -39,6 +39,12 @@ def op4_bigru_toxicity(spark, sf_dir):
     return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_bm25_decontamination(spark, sf_dir):
+    from docweave.llm.decontamination import contaminated_passages
+
+    return contaminated_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_group_join(spark, sf_dir):
     from docweave.llm.jaccard import similarity_classes
 
@@ -71,5 +77,5 @@ def op10_config_lp_packing(spark, sf_dir):
     return pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_wavelet_tokens, op3_randomness_secrets, op4_bigru_toxicity, op6_token_group_join, op7_decision_list_quality, op8_weak_pii, op9_katz_backoff, op10_config_lp_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_wavelet_tokens, op3_randomness_secrets, op4_bigru_toxicity, op5_bm25_decontamination, op6_token_group_join, op7_decision_list_quality, op8_weak_pii, op9_katz_backoff, op10_config_lp_packing)}
 ORACLE_SQL: dict[str, str] = {}

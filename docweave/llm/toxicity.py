@@ -19,11 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm._store import small_batches
-from docweave.llm._text import Words, column_bytes, mix, runs
+from docweave.llm._text import Words, column_bytes, mix, runs, without_marks
 
 DIM, HIDDEN = 12, 8
-_STRIP = np.zeros(256, bool)
-_STRIP[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 _SLOTS = 1 << 18
 
 
@@ -35,19 +33,7 @@ class Tokens:
     """The words of some documents without marks at their ends; distinct ones, and each document's sequence."""
 
     def __init__(self, words: Words):
-        starts, ends = words.starts.copy(), words.ends.copy()
-        for _ in range(8):
-            more = (starts < ends) & _STRIP[words.data[np.minimum(starts, len(words.data) - 1)]] if len(starts) else np.zeros(0, bool)
-            starts = starts + more
-            less = (starts < ends) & _STRIP[words.data[ends - 1]] if len(starts) else np.zeros(0, bool)
-            ends = ends - less
-            if not more.any() and not less.any():
-                break
-        stay = starts < ends
-        inner = Words.__new__(Words)
-        inner.data, inner.offsets = words.data, words.offsets
-        inner.starts, inner.ends = starts[stay], ends[stay]
-        inner.bounds = np.concatenate([[0], np.cumsum(stay)])[words.bounds]
+        inner = without_marks(words)
         self.bounds = inner.bounds
         hashes = inner.hashes()
         self.hash, first, self.at = np.unique(hashes, return_index=True, return_inverse=True)
