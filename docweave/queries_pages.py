@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.operators import pages as P
+from docweave.operators import parsing as R
 from docweave.plans.elements import elements
 from docweave.plans.elements import SQL as E
 
@@ -15,7 +16,7 @@ def _t(s, d, name):
 
 def unusable_reasons(s, d):
     x = _t(s, d, "documents").withColumn("w", F.split("text", " "))
-    return x.select("doc_id", P.unusable_reason(F.expr("doc_id % 97 = 0"), F.expr("n_chars > 20000"), F.expr("n_chars < 12"), F.expr("exists(zip_with(arrays_zip(slice(w, 1, greatest(size(w) - 2, 0)) as a, slice(w, 2, greatest(size(w) - 2, 0)) as b), slice(w, 3, greatest(size(w) - 2, 0)), (x, c) -> x.a = x.b and x.b = c), x -> x)"), F.expr("lang = 'xx'")).alias("reason"))
+    return x.select("doc_id", P.unusable_reason(F.expr("doc_id % 97 = 0"), F.expr("n_chars > 20000"), F.expr("n_chars < 12"), F.expr("exists(zip_with(zip_with(slice(w, 1, greatest(size(w) - 2, 0)), slice(w, 2, greatest(size(w) - 2, 0)), (a, b) -> if(a = b, a, null)), slice(w, 3, greatest(size(w) - 2, 0)), (x, c) -> coalesce(x = c, false)), x -> x)"), F.expr("lang = 'xx'")).alias("reason"))
 
 
 def _lines(s, d):
@@ -77,7 +78,32 @@ def html_blocks(s, d):
     return x.select("page_id", "seq", F.trim("text").alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (unusable_reasons, blank_row_runs, grid_widths, blank_tails, native_text_trust, coverage_grid, image_filter, consistency_risks, reread_decision, raster_zooms, logprob_stats, html_blocks)}
+def raw_records(s, d):
+    x = _t(s, d, "documents").selectExpr("doc_id", "concat('[', array_join(transform(slice(split(text, '\\n'), 1, 5), (l, i) -> to_json(named_struct('bbox_2d', array(i, 10 * i, 900, 10 * i + 9), 'text_content', l))), ', '), if(doc_id % 3 = 0, ', {\"bbox_2d\": [1, 2', ']')) raw")
+    return R.raw_records(x)
+
+
+def repeated_content(s, d):
+    return R.repeated_content(_t(s, d, "documents"))
+
+
+def numeric_tokens(s, d):
+    return R.number_tokens(_t(s, d, "documents")).where("size(tokens) > 0").select("doc_id", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("tokens"))
+
+
+def webhook_signatures(s, d):
+    return R.signed(_t(s, d, "events").selectExpr("event_id", "unix_seconds(cast(ts as timestamp)) at", "props body"), b"secret")
+
+
+def context_batches(s, d):
+    return R.context_batches(elements(_t(s, d, "documents").select("doc_id", "text")))
+
+
+def segments(s, d):
+    return R.segments(elements(_t(s, d, "documents").select("doc_id", "text"))).selectExpr("doc_id", "seg_no", "page_no", "first_idx", "last_idx", "length(content) char_count")
+
+
+QUERIES = {f.__name__: f for f in (unusable_reasons, blank_row_runs, grid_widths, blank_tails, native_text_trust, coverage_grid, image_filter, consistency_risks, reread_decision, raster_zooms, logprob_stats, html_blocks, raw_records, repeated_content, numeric_tokens, webhook_signatures, context_batches, segments)}
 
 _L = "l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10)))))::INT idx FROM documents), l AS (SELECT doc_id, idx, CASE WHEN doc_id % 7 = 0 AND idx % 4 < 3 THEN '|  | |' WHEN doc_id % 5 = 0 AND idx % 6 = 5 THEN ' ' ELSE line END line FROM l0)"
 ORACLE_SQL = {
