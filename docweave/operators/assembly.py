@@ -1,0 +1,65 @@
+"""Tables that go on over a page's end are joined, one document at a time.
+
+fragments: doc_id, page_no, idx, x0, y0, x1, y1, rows array<array<string>>. Boundaries are taken from
+the last page back, so a table over several pages grows from its end.
+"""
+
+from __future__ import annotations
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+# The gates.
+MARGIN, WIDTH_RATIO, HEADER_ROWS = 0.12, 0.10, 5
+
+SCHEMA = "doc_id long, page_no int, idx int, pages array<int>, n_rows int, n_cols int, rows array<array<string>>"
+
+
+def _flat(row: list) -> list[str]:
+    return [" ".join((c or "").split()).casefold() for c in row]
+
+
+def header_overlap(a: list[list], b: list[list]) -> int:
+    """Leading rows that both begin with."""
+    n = 0
+    while n < min(HEADER_ROWS, len(a), len(b)) and _flat(a[n]) == _flat(b[n]):
+        n += 1
+    return n
+
+
+def rejection(a: dict, b: dict, height: float) -> str | None:
+    """Why b doesn't go on with a; null if it does."""
+    if a["y1"] < (1 - MARGIN) * height or b["y0"] > MARGIN * height:
+        return "geometry"
+    wa, wb = a["x1"] - a["x0"], b["x1"] - b["x0"]
+    if min(wa, wb) <= 0 or abs(wa - wb) / min(wa, wb) >= WIDTH_RATIO:
+        return "width"
+    columns = {max((len(r) for r in t["rows"]), default=0) for t in (a, b)}
+    if len(columns) > 1 and not header_overlap(a["rows"], b["rows"]):
+        return "columns"
+    return None
+
+
+def join_tables(fragments: list[dict], height: float) -> list[dict]:
+    """One candidate pair a boundary: the lowest table of a page and the highest of the next."""
+    tables = [f | {"pages": [f["page_no"]]} for f in sorted(fragments, key=lambda f: (f["page_no"], f["idx"]))]
+    for page in range(max((t["page_no"] for t in tables), default=0) - 1, 0, -1):
+        above, below = ([t for t in tables if t["page_no"] == p] for p in (page, page + 1))
+        if not above or not below:
+            continue
+        a, b = max(above, key=lambda t: (t["y1"], -t["idx"])), min(below, key=lambda t: (t["y0"], t["idx"]))
+        if rejection(a, b, height) is None:
+            a["rows"] = a["rows"] + b["rows"][header_overlap(a["rows"], b["rows"]) :]
+            a["pages"] = sorted({*a["pages"], *b["pages"]})
+            tables.remove(b)
+    return tables
+
+
+def assemble_tables(fragments: DataFrame, height: float = 792.0) -> DataFrame:
+    kind = pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), ("idx", pa.int32()), ("pages", pa.list_(pa.int32())), ("n_rows", pa.int32()), ("n_cols", pa.int32()), ("rows", pa.list_(pa.list_(pa.string())))])
+
+    def group(table: pa.Table) -> pa.Table:
+        out = [{k: t[k] for k in ("doc_id", "page_no", "idx", "pages", "rows")} | {"n_rows": len(t["rows"]), "n_cols": max((len(r) for r in t["rows"]), default=0)} for t in join_tables(table.to_pylist(), height)]
+        return pa.Table.from_pylist(out, schema=kind)
+
+    return fragments.groupBy("doc_id").applyInArrow(group, SCHEMA)
