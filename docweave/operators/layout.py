@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_PAGE = Window.partitionBy("doc_id", "page_no").orderBy("idx")
-_DOC = Window.partitionBy("doc_id").orderBy("page_no", "idx")
+
+
+def _page():
+    return Window.partitionBy("doc_id", "page_no").orderBy("idx")
+
+
+def _doc():
+    return Window.partitionBy("doc_id").orderBy("page_no", "idx")
+
 
 # Shapes of headings, list items, captions and page furniture.
 NUMBERED = r"^[0-9]+(\.[0-9]+)*[.)]?\s+\S"
@@ -21,7 +28,7 @@ FURNITURE_BAND, MARKER_CHARS = 0.07, 60
 
 def reading_order(e: DataFrame) -> DataFrame:
     """Elements with their place in the document, from 1."""
-    return e.withColumn("place", F.row_number().over(_DOC))
+    return e.withColumn("place", F.row_number().over(_doc()))
 
 
 def document_content(e: DataFrame) -> DataFrame:
@@ -43,7 +50,7 @@ def page_shape(e: DataFrame) -> DataFrame:
 
 def with_gaps(e: DataFrame) -> DataFrame:
     """gap: from the element before on the same page."""
-    return e.withColumn("gap", F.col("y0") - F.lag("y1").over(_PAGE))
+    return e.withColumn("gap", F.col("y0") - F.lag("y1").over(_page()))
 
 
 def page_stats(e: DataFrame) -> DataFrame:
@@ -70,7 +77,7 @@ def heading_strength(e: DataFrame) -> DataFrame:
     joined = e.join(page_stats(e), ["doc_id", "page_no"], "left")
     h = F.col("y1") - F.col("y0")
     item = F.col("text").rlike(LIST_ITEM) & (F.col("chunk_type") == "text")
-    marked = joined.withColumn("_item", item).withColumn("_next", F.lead("_item").over(_PAGE)).withColumn("_x", F.lead("x0").over(_PAGE))
+    marked = joined.withColumn("_item", item).withColumn("_next", F.lead("_item").over(_page())).withColumn("_x", F.lead("x0").over(_page()))
     listed = F.col("_item") & F.coalesce(F.col("_next"), F.lit(False)) & (F.abs(F.col("x0") - F.col("_x")) <= LIST_ALIGN)
     may = (F.col("chunk_type") == "text") & F.length("text").between(1, HEADING_CHARS) & ~F.col("text").rlike(r"[.,]$") & F.col("text").rlike("[A-Za-z]") & ~listed & ~(F.coalesce(h > SINGLE_LINE_RATIO * F.col("line_h_median"), F.lit(False)))
     strong = F.col("text").rlike(NUMBERED) | F.coalesce(h >= HEADING_RATIO * F.col("line_h_median"), F.lit(False))
@@ -80,7 +87,7 @@ def heading_strength(e: DataFrame) -> DataFrame:
 
 def caption_pairs(e: DataFrame) -> DataFrame:
     """A figure and the text right below it that is short, near, and overlaps it or reads like a caption."""
-    n = {c: F.lead(c).over(_PAGE) for c in ("idx", "chunk_type", "text", "x0", "x1", "y0")}
+    n = {c: F.lead(c).over(_page()) for c in ("idx", "chunk_type", "text", "x0", "x1", "y0")}
     w = e.select("*", *(v.alias(f"n_{k}") for k, v in n.items()))
     overlap = (F.least("x1", "n_x1") - F.greatest("x0", "n_x0")) / F.greatest(F.least(F.col("x1") - F.col("x0"), F.col("n_x1") - F.col("n_x0")), F.lit(1e-9))
     fits = (F.col("chunk_type") == "image") & (F.col("n_chunk_type") == "text") & F.length("n_text").between(1, CAPTION_CHARS) & (F.col("n_y0") - F.col("y1") <= CAPTION_GAP) & ((overlap >= CAPTION_OVERLAP) | F.col("n_text").rlike(CAPTION))
@@ -90,11 +97,11 @@ def caption_pairs(e: DataFrame) -> DataFrame:
 def boundaries(e: DataFrame) -> DataFrame:
     """Where the stream of elements is cut: page, heading, heading_weak or gap; and the group of each element."""
     g = with_gaps(e).join(heading_strength(e), ["doc_id", "idx"]).join(page_stats(e).select("doc_id", "page_no", "gap_median"), ["doc_id", "page_no"], "left")
-    before = F.lag("page_no").over(_DOC)
+    before = F.lag("page_no").over(_doc())
     wide = F.col("gap") >= F.greatest(GAP_RATIO * F.coalesce(F.col("gap_median"), F.lit(0.0)), F.lit(GAP_LEAST))
     kind = F.when(before.isNull(), None).when(before != F.col("page_no"), "page").when(F.col("strength") == "strong", "heading").when(F.col("strength") == "weak", "heading_weak").when(wide, "gap")
     cut = g.withColumn("boundary", kind)
-    return cut.select("doc_id", "idx", "boundary", F.sum(F.col("boundary").isNotNull().cast("int")).over(_DOC).alias("group_no"))
+    return cut.select("doc_id", "idx", "boundary", F.sum(F.col("boundary").isNotNull().cast("int")).over(_doc()).alias("group_no"))
 
 
 def furniture(e: DataFrame, height: float = 792.0) -> DataFrame:
@@ -125,13 +132,13 @@ def layout_prefix(e: DataFrame) -> DataFrame:
 
 def fixed_partitions(e: DataFrame, n: int = 7) -> DataFrame:
     """Elements of a page in calls of n."""
-    at = F.row_number().over(_PAGE) - 1
+    at = F.row_number().over(_page()) - 1
     return e.withColumn("call_no", F.floor(at / n).cast("int")).groupBy("doc_id", "page_no", "call_no").agg(F.count("*").alias("n"))
 
 
 def design_sample(e: DataFrame, budget: int = 2000) -> DataFrame:
     """All elements of a document within the budget of characters, else an even stride over them."""
-    sized = e.withColumn("_c", F.sum(F.length("text")).over(Window.partitionBy("doc_id"))).withColumn("_n", F.count("*").over(Window.partitionBy("doc_id"))).withColumn("_i", F.row_number().over(_DOC) - 1)
+    sized = e.withColumn("_c", F.sum(F.length("text")).over(Window.partitionBy("doc_id"))).withColumn("_n", F.count("*").over(Window.partitionBy("doc_id"))).withColumn("_i", F.row_number().over(_doc()) - 1)
     keep = F.greatest(F.lit(1), F.floor(F.col("_n") * budget / F.greatest(F.col("_c"), F.lit(1)))).cast("int")
     taken = sized.withColumn("_k", keep)
     # element i is drawn if it is floor(j * n / k) for some j below k
