@@ -12,6 +12,7 @@ _made: list[tuple[SparkSession, str]] = []
 
 #: Rows in an Arrow batch: documents differ widely in length and a Python worker holds a batch.
 BATCH_ROWS = 1000
+BATCH_BYTES = "8m"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,6 +30,7 @@ def small_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(key))
     if not 0 < now <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

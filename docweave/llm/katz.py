@@ -89,7 +89,7 @@ def _blocks(docs: DataFrame, folds: int, fold: int, block_tokens: int, bits: int
 
         total = 0
         for batch in batches:
-            for a, b, words in runs(batch, lower=True):
+            for a, b, words in runs(batch, lower=True, limit=1 << 19):
                 h, counts = words.hashes(), words.counts
                 n = counts + 1
                 out = np.empty(len(h) + b - a, np.uint64)
@@ -194,7 +194,7 @@ def _pair_bucket(pair: np.ndarray, bits: int, spread: np.ndarray) -> np.ndarray:
     return (mix(first * np.uint64(131) + salt) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, vocabulary: int = 1 << 16, block_tokens: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, vocabulary: int = 1 << 16, block_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32(id as text) % folds is `fold` are held out of training; a null id is trained on.
