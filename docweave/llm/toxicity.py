@@ -251,8 +251,11 @@ def train(texts: list[str | None], toxic: list[int], weight: list[float], span:
     first, size, doc = windows(t.bounds, span)
     adam = _Adam(net.p, 0.01)
 
-    def learn(chosen: np.ndarray, balance: float):
-        for part in np.array_split(rng.permutation(chosen), max(1, len(chosen) // 256)):
+    def learn(chosen: np.ndarray, balance: float, steps: int):
+        """A pass in batches of 256 windows, or as many passes in batches of 64 as make so many steps."""
+        size_ = 256 if len(chosen) >= 256 * steps else 64
+        parts = [x for _ in range(max(1, -(-steps * size_ // max(1, len(chosen))))) for x in np.array_split(rng.permutation(chosen), max(1, len(chosen) // size_))]
+        for part in parts:
             index, live = _steps(t.at, first[part], size[part], span, len(ident))
             used, index = np.unique(index, return_inverse=True)
             index = index.reshape(live.shape)
@@ -278,7 +281,7 @@ def train(texts: list[str | None], toxic: list[int], weight: list[float], span:
             adam.step(grads)
 
     used = ~hold[doc]
-    learn(np.flatnonzero(used), 2.0)
+    learn(np.flatnonzero(used), 2.0, 150)
     for r in range(rounds):
         logit = net.logits(t)[0]
         order = np.lexsort((-logit, doc))
@@ -286,7 +289,7 @@ def train(texts: list[str | None], toxic: list[int], weight: list[float], span:
         # a clean document's other windows are clean as well: some of them, chosen anew, keep the rest honest
         extra = rng.choice(np.flatnonzero(used & (y[doc] == 0)), min(len(y), int((used & (y[doc] == 0)).sum())), replace=False)
         adam.rate = 0.01 if r < rounds - 2 else 0.003
-        learn(np.unique(np.concatenate([top[~hold], extra])), 2.0)
+        learn(np.unique(np.concatenate([top[~hold], extra])), 2.0, 40)
     logit = net.logits(t)[0]
     top = np.maximum.reduceat(logit, np.searchsorted(doc, np.arange(len(y)))).astype(float)
     cal = hold if hold.sum() >= 100 and 0 < y[hold].sum() < hold.sum() else np.ones(len(y), bool)
@@ -299,7 +302,7 @@ def train(texts: list[str | None], toxic: list[int], weight: list[float], span:
     return net
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sample: int = 4000, span: int = 32, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sample: int = 1600, span: int = 32, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Labels are learned only from rows whose crc32(id as text) % folds is not `fold`; at most
