@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm._graph import components
 from docweave.llm._store import keep, small_batches
-from docweave.llm._text import Words, mix, runs
+from docweave.llm._text import Words, mix, runs, slices
 
 _SECOND = 0xA0761D6478BD642F | 1
 
@@ -105,16 +105,17 @@ def _frequent(docs: DataFrame, size: int, most: int) -> np.ndarray:
                 while len(token) > room:
                     floor += 1
                     token, n = token[n >= floor], n[n >= floor]
-        stay = n >= max(floor, 4)
+        stay = n >= max(floor, 3)
         token, n = token[stay], n[stay]
         if len(token) > most:
             top = np.argpartition(-n, most)[:most]
             token, n = token[top], n[top]
         yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
 
-    top = docs.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 16").orderBy(F.desc("n"), "token").limit(most)
-    found = sorted((r["n"], r["token"]) for r in top.collect())
-    return np.array([t for _, t in found], np.int64).view(np.uint64)
+    top = docs.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "token").limit(most)
+    table = top.toArrow()
+    token, n = (table.column(c).to_numpy() for c in ("token", "n"))
+    return token[np.lexsort((token, n))].view(np.uint64)
 
 
 def _prefixes(docs: DataFrame, size: int, num: int, den: int, more: float, frequent: np.ndarray) -> DataFrame:
@@ -161,73 +162,101 @@ class _Forest:
         return a != b
 
 
-def _open_groups(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """rows: gid, chunk, role (0 head, 1 member, 2 query), content, packed. Links (a, b), as a forest.
+def _compare(role: list[int], content: list[int], sets: list[np.ndarray], num: int, den: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links of one opened group, as a forest, and the members that they don't connect to the head.
 
     Heads and members are compared with each other unless connected; queries with all members.
     """
-
-    def sets_of(packed: list[bytes]) -> list[np.ndarray]:
-        raw = [zstandard.decompress(p) for p in packed]
-        out = []
-        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-        for i in range(len(raw)):
-            words = Words(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]), True)
-            out.append(shingle_sets(words, size)[0])
-        return out
-
-    def group(table: pa.Table) -> pa.Table:
-        role, content = table.column("role").to_numpy(), table.column("content").to_numpy()
-        first = np.lexsort((content, role))
-        role, content = role[first], content[first]
-        packed = table.column("packed").to_pylist()
-        keep_ = np.ones(len(role), bool)
-        keep_[1:] = (content[1:] != content[:-1]) | (role[1:] == 2) & (role[:-1] != 2)
-        first, role, content = first[keep_], role[keep_], content[keep_]
-        sets = sets_of([packed[i] for i in first])
-        n = np.array([len(s) for s in sets])
-        members = np.flatnonzero(role < 2)
-        forest, links = _Forest(len(sets)), []
-        # postings of the members' tokens: the union of the group with its members in each
-        token = np.concatenate([sets[i] for i in members]) if len(members) else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(members)), n[members])
+    n = [len(s) for s in sets]
+    members = [i for i, r in enumerate(role) if r < 2]
+    forest, links = _Forest(len(sets)), []
+
+    def test(a: int, b: int) -> None:
+        if content[a] == content[b] or forest.find(a) == forest.find(b) or den * min(n[a], n[b]) < num * max(n[a], n[b]):
+            return
+        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        if both * den >= num * (n[a] + n[b] - both):
+            forest.join(a, b)
+            links.append((content[a], content[b]))
+
+    # the head first: most members need no more
+    for m in members[1:]:
+        test(members[0], m)
+    left = [m for m in members if forest.find(m) != forest.find(members[0])] + [i for i, r in enumerate(role) if r == 2]
+    if left and len(members) <= 8:
+        for q in left:
+            for m in members:
+                test(m, q)
+    elif left:
+        # the group's union with its members by token
+        token, owner = np.concatenate([sets[m] for m in members]), np.repeat(np.arange(len(members)), [n[m] for m in members])
         by = np.argsort(token, kind="stable")
         token, owner = token[by], owner[by]
-        union = np.unique(token)
-        start = np.concatenate([np.searchsorted(token, union), [len(token)]])
-
-        def against(q: int, past: int) -> np.ndarray:
-            """Overlaps of set q with the first `past` members; none if the union can't hold enough."""
-            at = np.searchsorted(union, sets[q])
-            at = at[np.append(union, union[-1:] + np.uint64(1))[at] == sets[q]] if len(union) else at[:0]
-            at = at[at < len(union)]
-            if len(at) < _need(n[q], num, den) and role[q] == 2:
-                return np.zeros(0, np.int64)
-            which = np.concatenate([owner[start[k] : start[k + 1]] for k in at]) if len(at) else np.zeros(0, np.int64)
-            return np.bincount(which[which < past], minlength=past)
-
-        for q in range(len(sets)):
-            if role[q] == 2:
-                overlap, place = against(q, len(members)), None
-            else:
-                place = int(np.searchsorted(members, q))
-                if place == 0:
-                    continue
-                # the head first: most members need no more
-                both = len(np.intersect1d(sets[q], sets[members[0]], assume_unique=True))
-                if both * den >= num * (n[q] + n[members[0]] - both):
-                    forest.join(q, int(members[0]))
-                    links.append((int(content[members[0]]), int(content[q])))
-                overlap = against(q, place)
-            for m in np.flatnonzero(overlap * den >= num * (n[q] + n[members[: len(overlap)]] - overlap)) if len(overlap) else ():
-                if content[members[m]] != content[q] and forest.join(q, int(members[m])):
-                    links.append((int(content[members[m]]), int(content[q])))
-        # a member that its own chunk doesn't connect to the head may link to other chunks
-        head = forest.find(int(members[0])) if len(members) else -1
-        apart = [int(content[m]) for m in members if forest.find(int(m)) != head] if table.column("chunks")[0].as_py() > 1 else []
-        return pa.table({"a": pa.array([x[0] for x in links] + apart, pa.int64()), "b": pa.array([x[1] for x in links] + [None] * len(apart), pa.int64()), "gid": pa.array([table.column("gid")[0].as_py()] * (len(links) + len(apart)), pa.int64())})
-
-    return rows.groupBy("gid", "chunk").applyInArrow(group, "a long, b long, gid long")
+        union, start = np.unique(token, return_index=True)
+        start = np.append(start, len(token))
+        sizes, root = np.array([n[m] for m in members]), np.array([content[m] for m in members])
+        for q in left:
+            at = np.minimum(np.searchsorted(union, sets[q]), len(union) - 1)
+            at = at[union[at] == sets[q]]
+            if len(at) < _need(n[q], num, den):
+                continue
+            lengths = start[at + 1] - start[at]
+            which = owner[np.repeat(start[at], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)]
+            overlap = np.bincount(which, minlength=len(members))
+            for m in np.flatnonzero((overlap * den >= num * (n[q] + sizes - overlap)) & (root != content[q])).tolist():
+                if forest.join(q, members[m]):
+                    links.append((content[members[m]], content[q]))
+    apart = [content[m] for m in members if forest.find(m) != forest.find(members[0])]
+    return links, apart
+
+
+def _open_groups(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """rows: gid, chunk, chunks, role (0 head, 1 member, 2 query), content, packed. Links (a, b); and
+    (a, null) for members that their chunk left apart from the head of a group of several chunks."""
+
+    def opened(batches):
+        open_ = zstandard.ZstdDecompressor()
+
+        def settle(rows: list[tuple]):
+            raw = [open_.decompress(r[5]) for r in rows]
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+            data, sets = np.frombuffer(b"".join(raw), np.uint8), []
+            for a, b in slices(offsets):
+                words = Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], True)
+                token, bounds = shingle_sets(words, size)
+                sets += [token[s:e] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            links, gids = [], []
+            at = 0
+            while at < len(rows):
+                end, seen, take = at, set(), []
+                while end < len(rows) and rows[end][:2] == rows[at][:2]:
+                    if (rows[end][3] == 2, rows[end][4]) not in seen:
+                        seen.add((rows[end][3] == 2, rows[end][4]))
+                        take.append(end)
+                    end += 1
+                if any(rows[i][3] < 2 for i in take):
+                    found, apart = _compare([rows[i][3] for i in take], [rows[i][4] for i in take], [sets[i] for i in take], num, den)
+                    links += found
+                    if rows[at][2] > 1:
+                        links += [(a, None) for a in apart]
+                    gids += [rows[at][0]] * (len(links) - len(gids))
+                at = end
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64()), pa.array(gids, pa.int64())], names=["a", "b", "gid"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            held += zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
+            cut = len(held)
+            while cut and held[cut - 1][:2] == held[-1][:2]:
+                cut -= 1
+            if cut:
+                yield settle(held[:cut])
+                held = held[cut:]
+        if held:
+            yield settle(held)
+
+    dealt = rows.select("gid", "chunk", "chunks", "role", "content", "packed").repartition("gid", "chunk").sortWithinPartitions("gid", "chunk", "role", "content")
+    return dealt.mapInArrow(opened, "a long, b long, gid long")
 
 
 CHUNK = 256
@@ -258,7 +287,9 @@ def similarity_classes(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     # groups: the content that stands for most of one's tokens
     stands = kept_tokens.groupBy("token").agg(F.min("content").alias("gid"))
     shared = kept_tokens.join(stands, "token").where("content <> gid").groupBy("content", "gid").agg(F.count("*").alias("s"))
-    best = keep(shared.groupBy("content").agg(F.max_by("gid", F.struct("s", -F.col("gid"))).alias("gid")), "groups")
+    # those that share a good part of the prefix are likely to link; the matrix settles the others
+    likely = shared.join(sets.where("n > 0").select("content", "n").distinct(), "content").where("20 * s >= n")
+    best = keep(likely.groupBy("content").agg(F.max_by("gid", F.struct("s", -F.col("gid"))).alias("gid")), "groups")
     members = best.union(best.select(F.col("gid").alias("content"), "gid").distinct())
 
     packed = keep(_packed(docs, size, kept_tokens.select("content").distinct()), "texts")
@@ -271,19 +302,35 @@ def similarity_classes(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     labels = components(links)
 
     # the matrix: which groups hold a token, and with what sizes
+    from pyspark.sql import Window
+
     labelled = keep(kept_tokens.join(labels.withColumnRenamed("node", "content"), "content", "left").select("token", "content", "n", "index", F.coalesce("label", "content").alias("grp")), "labelled")
-    matrix = labelled.where("index").groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    several = labelled.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("token")
-    queries = labelled.join(several, "token").select("token", "content", "n", F.col("grp").alias("own"))
+    several = keep(labelled.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.count("*").alias("df")).where("x <> y").select("token", "df"), "several")
+    crossing = keep(labelled.join(several, "token"), "crossing")
+    matrix = crossing.where("index").groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # a link needs `need` shared tokens: contents with fewer ask nothing, and the others leave out the
+    # half of that number that most documents hold and need the rest
+    need = F.floor(F.ceil(F.col("n") * num / den) * F.lit(more)) + 1
+    mine = Window.partitionBy("content")
+    ranked = crossing.withColumn("need", need).withColumn("there", F.count("*").over(mine)).withColumn("rank", F.row_number().over(mine.orderBy(F.desc("df"), "token")))
+    queries = ranked.where((F.col("there") >= F.col("need")) & (F.col("rank") > F.floor(F.col("need") / 2))).select("token", "content", "n", "need", F.col("grp").alias("own"))
     fits = (F.col("own") != F.col("grp")) & (F.col("lo") <= F.col("n")) & (F.col("hi") * den >= F.col("n") * num)
-    least = F.floor(F.ceil(F.col("n") * num / den) * F.lit(more)) + 1
-    asked = queries.join(matrix.join(several, "token"), "token").where(fits).groupBy("content", "n", "grp").agg(F.count("*").alias("s")).where(F.col("s") >= least).select("content", F.col("grp").alias("gid"))
-    # members that a large group's chunks left apart are queries to all its chunks
-    apart = opened.where("b is null").select(F.col("a").alias("content"), "gid")
+    asked = queries.join(matrix, "token").where(fits).groupBy("content", "own", "grp", "need").agg(F.count("*").alias("s")).where(F.col("s") >= F.col("need") - F.floor(F.col("need") / 2)).select("content", "own", F.col("grp").alias("gid"), "s")
     asked = keep(asked, "asked")
-    grp_members = labelled.select("content", F.col("grp").alias("gid")).distinct().join(asked.select("gid").distinct(), "gid", "left_semi")
-    more_links = _ask(asked, grp_members, packed, size, num, den).union(_ask(apart, members, packed, size, num, den))
-    labels = components(links.union(more_links))
+    held = keep(labelled.select("content", F.col("grp").alias("gid")).distinct().join(asked.select("gid").distinct(), "gid", "left_semi"), "held")
+    # one question for each pair of groups first: a link between them spares all others
+    first = asked.groupBy("own", "gid").agg(F.max_by("content", F.struct("s", "content")).alias("content")).select("content", "gid")
+    links = keep(links.union(_ask(first, held, packed, size, num, den)), "links")
+    labels = components(links)
+
+    def label(frame, column, name):
+        return frame.join(labels.select(F.col("node").alias(column), F.col("label").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
+
+    still = label(label(asked.join(first.withColumn("done", F.lit(True)), ["content", "gid"], "left").where("done is null"), "own", "x"), "gid", "y").where("x <> y").select("content", "gid")
+    # members that a large group's chunks left apart are questions to all its chunks
+    apart = label(label(opened.where("b is null").select(F.col("a").alias("content"), "gid").distinct(), "content", "x"), "gid", "y").where("x <> y").select("content", "gid")
+    more_links = _ask(keep(still, "still"), held, packed, size, num, den).union(_ask(keep(apart, "apart"), members, packed, size, num, den))
+    labels = components(keep(links.union(more_links), "links"))
 
     where_ = sets.join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content"))
     least_id = where_.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
