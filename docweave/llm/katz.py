@@ -2,13 +2,14 @@
 
 Counting and lookup are one exchange per n-gram order. Blocks of documents send their distinct keys,
 packed, to the tables' partitions; a partition adds up the training counts of all blocks, keeps its
-part of the table, and answers every block with the counts it asked for. Text moves once into
+part of the table, and answers every block with what it asked for: counts and numbers of words, then
+counts of pairs and what the backoff weights of their first words are made of. Text moves once into
 compact blocks and tables never move to one machine.
 
-Words with the `vocabulary` greatest counts are themselves; all others are one class, which also
-stands for words never seen (its unigram mass takes Good-Turing's share of unseen words). So unigram
-probabilities and backoff weights have a fixed size. P(w|h) is d(c) c(hw)/c(h) where the pair was
-seen in training, else alpha(h) P(w); the alphas make each P(.|h) add up to one.
+Every word of the training rows is itself; one class stands for words never seen, with Good-Turing's
+share of unseen words. P(w|h) is d(c) c(hw)/c(h) where the pair was seen in training, else
+alpha(h) P(w); the alphas make each P(.|h) add up to one. Only first words of over a thousandth of
+all pairs, whose pairs are spread over partitions, have their weights added up on the driver.
 """
 
 from __future__ import annotations
@@ -32,14 +33,15 @@ CUTOFF = 5
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays one after the other, compressed, each in its narrowest type."""
+    """Arrays one after the other, each in its narrowest type, compressed by planes of bytes."""
     parts = []
     for a in arrays:
         if a.dtype.kind in "iu" and a.dtype != np.uint64:
             top = int(a.max(initial=0))
             if int(a.min(initial=0)) >= 0:
                 a = a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
-        body = zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+        body = zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
         parts.append(a.dtype.str.encode().ljust(4) + len(body).to_bytes(8, "little") + body)
     return b"".join(parts)
 
@@ -48,7 +50,8 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     at, out = 0, []
     while at < len(blob):
         kind, n = blob[at : at + 4].decode().strip(), int.from_bytes(blob[at + 4 : at + 12], "little")
-        out.append(np.frombuffer(zstandard.decompress(blob[at + 12 : at + 12 + n]), kind))
+        planes = np.frombuffer(zstandard.decompress(blob[at + 12 : at + 12 + n]), np.uint8)
+        out.append(np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1))
         at += 12 + n
     return out
 
@@ -57,10 +60,10 @@ def held_out(doc_id: int | None, folds: int, fold: int) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
-def _requests(block: int, keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> list[tuple]:
-    """keys in order of bucket: one row per bucket."""
+def _requests(block: int, bucket: np.ndarray, pack) -> list[tuple]:
+    """One row per run of a bucket, with what pack(first, past last) makes of it."""
     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-    return [(block, int(bucket[a]), _pack(keys[a:b], counts[a:b])) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=True)]
+    return [(block, int(bucket[a]), pack(a, b)) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True)]
 
 
 def _blocks(docs: DataFrame, folds: int, fold: int, block_tokens: int, bits: int) -> DataFrame:
@@ -81,9 +84,9 @@ def _blocks(docs: DataFrame, folds: int, fold: int, block_tokens: int, bits: int
             counts = np.bincount(local[train], minlength=len(unique))
             doc = np.array([0 if d is None else d for d in ids], np.int64).view(np.uint64)
             null = np.array([d is None for d in ids], np.uint8)
-            rows = _requests(block, unique, counts, (unique >> np.uint64(64 - bits)).astype(np.int64))
+            rows = _requests(block, (unique >> np.uint64(64 - bits)).astype(np.int64), lambda a, b: _pack(unique[a:b], counts[a:b]))
             return pa.RecordBatch.from_arrays(
-                [pa.array([block] * (1 + len(rows))), pa.array([None, *(r[1] for r in rows)], pa.int32()), pa.array([None, *(r[2] for r in rows)], pa.binary()), pa.array([_pack(doc, null, n, local, unique)] + [None] * len(rows), pa.binary())],
+                [pa.array([block] * (1 + len(rows))), pa.array([None, *(r[1] for r in rows)], pa.int32()), pa.array([None, *(r[2] for r in rows)], pa.binary()), pa.array([_pack(doc, null, n, local)] + [None] * len(rows), pa.binary())],
                 names=["block", "bucket", "ask", "body"],
             )
 
@@ -110,20 +113,18 @@ def _blocks(docs: DataFrame, folds: int, fold: int, block_tokens: int, bits: int
     return docs.mapInArrow(build, "block long, bucket int, ask binary, body binary")
 
 
-def _exchange(asked: DataFrame, summary, shape: str) -> DataFrame:
-    """asked: block, bucket, ask. Rows (block, bucket, told), and per bucket summary(keys, counts) with a null block."""
+def _exchange(asked: DataFrame, table, shape: str) -> DataFrame:
+    """asked: block, bucket, ask. Rows (block, bucket, told), and one with a null block per bucket.
 
-    def add_up(table: pa.Table) -> pa.Table:
-        bucket, blocks = table.column("bucket")[0].as_py(), table.column("block").to_pylist()
-        parts = [_unpack(x.as_py()) for x in table.column("ask")]
-        keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        totals = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
-        cut = np.cumsum([0] + [len(p[0]) for p in parts])
-        told = [_pack(totals[at[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        extra = summary(keys, totals)
+    table(bucket, asks) gives the answers in order of the asks, and the columns of the null block's row.
+    """
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        bucket, blocks = rows.column("bucket")[0].as_py(), rows.column("block").to_pylist()
+        told, extra = table(bucket, [_unpack(x.as_py()) for x in rows.column("ask")])
         n = len(blocks)
         columns = {"block": pa.array([*blocks, None], pa.int64()), "bucket": pa.array([bucket] * (n + 1), pa.int32()), "told": pa.array([*told, None], pa.binary())}
-        return pa.table(columns | {k: pa.array([None] * n + [v.to_pylist()], v.type if pa.types.is_list(v.type) else pa.list_(v.type)) for k, v in extra.items()})
+        return pa.table(columns | {k: pa.array([None] * n + [v], pa.list_(pa.int64())) for k, v in extra.items()})
 
     return asked.groupBy("bucket").applyInArrow(add_up, f"block long, bucket int, told binary, {shape}")
 
@@ -132,10 +133,10 @@ def _answers(told: DataFrame, name: str) -> DataFrame:
     return told.where("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "told"))).alias(name))
 
 
-def _counts(answers) -> np.ndarray:
-    """A block's counts in the order in which it asked."""
-    parts = [_unpack(x["told"])[0] for x in answers]
-    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+def _told(answers) -> list[np.ndarray]:
+    """A block's answers in the order in which it asked."""
+    parts = [_unpack(x["told"]) for x in answers]
+    return [np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True)]
 
 
 def discounts(n: dict[int, int]) -> np.ndarray:
@@ -153,53 +154,83 @@ def discounts(n: dict[int, int]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What every block needs: its size depends on the vocabulary alone."""
-
-    words: np.ndarray  # sorted hashes; the id of a word is its place
-    unigram: np.ndarray  # probabilities by id; the last is the class of all other words
+    """What every block needs: its size doesn't depend on the corpus."""
+
+    total: int  # training tokens
+    types: int  # training words
+    unseen: int  # Good-Turing's count of all words never seen
+    other: int  # training tokens of words outside `kept`
+    kept: np.ndarray | None  # sorted numbers of the words that are themselves; None: all
+    hot: np.ndarray  # sorted numbers of first words whose pairs are spread
     discount: np.ndarray | None = None
-    context: np.ndarray | None = None  # training pairs by id of the first word
-    alpha: np.ndarray | None = None
+    alpha: np.ndarray | None = None  # of `hot`
 
-    @property
-    def other(self) -> int:
-        return len(self.words)
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, self.other)
+    def weights(self, context: np.ndarray, kinds: np.ndarray, mass: np.ndarray) -> np.ndarray:
+        """alpha of first words: their training count, seen pairs of count 1..CUTOFF, counts of the words seen after them."""
+        lost = kinds @ ((1 - self.discount[1:]) * np.arange(1, CUTOFF + 1))
+        rest = (self.total + self.unseen - mass) / (self.total + self.unseen)
+        # if a context was followed by every word there is nothing to back off to; it keeps its discounts
+        some = (rest > 1e-12) & (lost > 0)
+        alpha = np.where(some, lost / np.maximum(context, 1) / np.where(some, rest, 1.0), 1e-12)
+        return np.where(context > 0, alpha, 1.0)
 
 
-def _pairs(body: bytes, model: Model, folds: int, fold: int):
-    """A block's documents and tokens, and its pairs of ids: distinct, of each token, and their training counts."""
-    doc, null, n, local, unique = _unpack(body)
+@dataclass
+class Pairs:
+    """A block's documents, tokens and distinct pairs; pairs lie in order of bucket, first and second word."""
+
+    ids: list
+    n: np.ndarray
+    starts: np.ndarray
+    count: np.ndarray  # training count of each token's word
+    at: np.ndarray  # pair of each token
+    bucket: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    context: np.ndarray  # training count of a pair's first word
+    second_of: np.ndarray
+    runs: np.ndarray  # first pair of each run of one bucket and first word
+
+
+def _pairs(body: bytes, answers, model: Model, bits: int) -> Pairs:
+    doc, null, n, local = _unpack(body)
     n = n.astype(np.int64)
     ids = [None if z else d for d, z in zip(doc.view(np.int64).tolist(), null.tolist(), strict=True)]
-    token = model.ids(unique)[local]
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
+    counts, word = _told(answers)
+    if model.kept is not None:
+        word = np.where(np.isin(word, model.kept), word, 0)
+    count, token = counts[local], word[local]
+    as_first = np.where(token == 0, model.other, count)
+    of = np.where(token == 0, model.other + model.unseen, count)
     starts = np.cumsum(n) - n
-    before[starts] = model.ids(np.array([END_HASH], np.uint64))[0]
-    pair, at = np.unique(before.astype(np.uint64) << np.uint64(32) | token.astype(np.uint64), return_inverse=True)
-    return ids, n, starts, local, token, before, pair, at
-
-
-def _pair_bucket(pair: np.ndarray, bits: int, spread: np.ndarray) -> np.ndarray:
+    # a document's first token follows the end of a text, which is every document's last token
+    before, context = np.empty_like(token), np.empty_like(count)
+    before[1:], context[1:] = token[:-1], as_first[:-1]
+    before[starts], context[starts] = token[n[0] - 1], as_first[n[0] - 1]
+    pair, where, at = np.unique(before.astype(np.uint64) << np.uint64(32) | token.astype(np.uint64), return_index=True, return_inverse=True)
+    first, second = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    bucket = _pair_bucket(first, second, bits, model.hot)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    bucket, first, second, where = bucket[order], first[order], second[order], where[order]
+    edges = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(first, prepend=-1) != 0))
+    return Pairs(ids, n, starts, count, place[at], bucket, first, second, context[where], of[where], edges)
+
+
+def _pair_bucket(first: np.ndarray, second: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
     """By first word; the pairs of a frequent first word are spread by the second."""
-    first = pair >> np.uint64(32)
-    second = (pair & np.uint64(0xFFFFFFFF)) % np.uint64(64) + np.uint64(1)
-    salt = np.where(spread[first.astype(np.int64)], second, np.uint64(0))
-    return (mix(first * np.uint64(131) + salt) >> np.uint64(64 - bits)).astype(np.int64)
+    salt = np.where(np.isin(first, hot), second % 64 + 1, 0)
+    return (mix((first * 131 + salt).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, vocabulary: int = 1 << 16, block_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, vocabulary: int | None = None, block_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32(id as text) % folds is `fold` are held out of training; a null id is trained on.
     A null or empty text is its end alone. Equal rows each count. Without training rows counts are 0.
-    No rows give no rows; other columns of docs aren't read.
+    No rows give no rows; other columns of docs aren't read. With `vocabulary`, which the driver then
+    holds, all but the words of that many greatest counts join the class of words never seen.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -207,77 +238,98 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, vocabulary: int
     # one partition of a table for about two million requests
     size = docs.agg(F.sum(F.length("text"))).collect()[0][0] or 0
     bits = max(4, math.ceil(math.log2(max(1, size / 6 / 4 / (1 << 21)))))
+    pair_bits = bits + 1
     blocks = keep(_blocks(docs, folds, fold, block_tokens, bits), "blocks")
 
-    def unigram_summary(keys, counts):
+    def unigram_table(bucket, asks):
+        keys, at = np.unique(np.concatenate([a[0] for a in asks]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([a[1] for a in asks]), minlength=len(keys)).astype(np.int64)
         seen = counts[counts > 0]
-        top = np.argsort(-counts, kind="stable")[:vocabulary]
-        top = top[counts[top] > 0]
-        return {"totals": pa.array([int(counts.sum()), len(seen), int((seen == 1).sum())]), "words": pa.array(keys[top].view(np.int64)), "counts": pa.array(counts[top])}
-
-    told = keep(_exchange(blocks.where("ask is not null").select("block", "bucket", "ask"), unigram_summary, "totals array<long>, words array<long>, counts array<long>"), "unigrams")
+        if len(seen) >= 1 << (32 - bits):
+            raise ValueError("more words than numbers of 32 bits")
+        # numbers from 1 on, small ones for frequent words; words not seen in training have 0
+        top = np.argsort(-counts, kind="stable")[: len(seen)]
+        number = np.zeros(len(keys), np.int64)
+        number[top] = (np.arange(len(top)) << bits | bucket) + 1
+        cut = np.cumsum([0] + [len(a[0]) for a in asks])
+        told = [_pack(counts[at[a:b]], number[at[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        top = top[counts[top] * 1000 > seen.sum()] if vocabulary is None else top[:vocabulary]
+        return told, {"totals": [int(seen.sum()), len(seen), int((seen == 1).sum())], "words": number[top].tolist(), "counts": counts[top].tolist()}
+
+    told = keep(_exchange(blocks.where("ask is not null").select("block", "bucket", "ask"), unigram_table, "totals array<long>, words array<long>, counts array<long>"), "unigrams")
     sums = told.where("block is null")
     total, types, once = (int(x or 0) for x in sums.agg(*(F.sum(F.col("totals")[i]) for i in range(3))).collect()[0])
-    top = sums.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.words", "x.counts").orderBy(F.desc("counts"), "words").limit(vocabulary).collect()
-    words = np.array([r["words"] for r in top], np.int64).view(np.uint64)
-    counts = np.array([r["counts"] for r in top], np.int64)
-    by = np.argsort(words)
-    words, counts = words[by], counts[by]
-    unseen = max(once, 1)
-    model = Model(words, np.append(counts, total - counts.sum() + unseen) / (total + unseen))
-    spread = np.append(counts, total - counts.sum()) > max(total, 1) / 1000
-    unigrams = _answers(told, "uni")
-    bodies = blocks.where("body is not null").select("block", "body")
+    top = sums.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.words", "x.counts")
+    if vocabulary is None:
+        words = top.where(F.col("counts") * 1000 > total).collect()  # under 1,000
+        kept, other = None, 0
+    else:
+        words = top.orderBy(F.desc("counts"), "words").limit(vocabulary).collect()
+        kept, other = np.sort(np.array([r["words"] for r in words], np.int64)), total - sum(r["counts"] for r in words)
+    hot = [r["words"] for r in words if r["counts"] * 1000 > total] + ([0] if other * 1000 > total else [])
+    model = Model(total, types, max(once, 1), other, kept, np.sort(np.array(hot, np.int64)))
+    known = blocks.where("body is not null").select("block", "body").join(_answers(told, "uni"), "block")
 
     def ask_pairs(batches):
         for batch in batches:
-            for block, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids, n, _, _, _, _, pair, at = _pairs(body.as_py(), model, folds, fold)
-                train = np.repeat(np.array([not held_out(d, folds, fold) for d in ids]), n)
-                seen = np.bincount(at[train], minlength=len(pair))
-                bucket = _pair_bucket(pair, bits, spread)
-                order = np.lexsort((pair, bucket))
-                rows = _requests(block, pair[order], seen[order], bucket[order])
+            for block, body, uni in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                p = _pairs(body.as_py(), uni.as_py(), model, pair_bits)
+                train = np.repeat(np.array([not held_out(d, folds, fold) for d in p.ids]), p.n)
+                seen = np.bincount(p.at[train], minlength=len(p.first))
+
+                def pack(a, b, p=p, seen=seen):
+                    run = p.runs[np.searchsorted(p.runs, a) : np.searchsorted(p.runs, b)]
+                    return _pack(p.first[run], np.diff(run, append=b), p.second[a:b], seen[a:b], p.second_of[a:b])
+
+                rows = _requests(block, p.bucket, pack)
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "bucket", "ask"])
 
-    def pair_summary(keys, counts):
-        stay = counts > 0
-        first, second, c = (keys[stay] >> np.uint64(32)).astype(np.int64), (keys[stay] & np.uint64(0xFFFFFFFF)).astype(np.int64), counts[stay]
-        context, at = np.unique(first, return_inverse=True)
-        kinds = [np.bincount(at[c == r], minlength=len(context)) for r in range(1, CUTOFF + 2)]
-        # seen pairs by count, training pairs, and the unigram mass of what was seen
-        return {"context": pa.array(context), "kinds": pa.array(np.stack(kinds, 1).astype(np.int64).reshape(-1)), "pairs": pa.array(np.bincount(at, weights=c, minlength=len(context)).astype(np.int64)), "mass": pa.array(np.bincount(at, weights=model.unigram[second], minlength=len(context)).astype(float))}
-
-    told = keep(_exchange(bodies.mapInArrow(ask_pairs, "block long, bucket int, ask binary"), pair_summary, "context array<long>, kinds array<long>, pairs array<long>, mass array<double>"), "pairs")
-    k = CUTOFF + 1
-    zipped = told.where("block is null").select(F.explode(F.expr(f"transform(sequence(0, size(context) - 1), i -> struct(context[i] as c, slice(kinds, i * {k} + 1, {k}) as k, pairs[i] as p, mass[i] as m))")).alias("x"), F.size("context").alias("z")).where("z > 0")
-    by_context = zipped.groupBy("x.c").agg(F.sum("x.p").alias("p"), F.sum("x.m").alias("m"), *(F.sum(F.expr(f"x.k[{i}]")).alias(f"k{i}") for i in range(k))).collect()  # at most vocabulary + 1 rows
-    model.discount = discounts({r: sum(x[f"k{r - 1}"] for x in by_context) for r in range(1, k + 1)})
-    model.context, model.alpha = np.zeros(len(model.unigram), np.int64), np.ones(len(model.unigram))
-    for x in by_context:
-        lost = sum((1 - model.discount[r]) * r * x[f"k{r - 1}"] for r in range(1, CUTOFF + 1))
-        rest = 1 - x["m"]
-        model.context[x["c"]] = x["p"]
-        # if a context was followed by every word there is nothing to back off to; it keeps its discounts
-        model.alpha[x["c"]] = lost / x["p"] / rest if rest > 1e-12 and lost > 0 else 1e-12
+    def pair_table(_bucket, asks):
+        pair = np.concatenate([np.repeat(a[0].astype(np.uint64), a[1]) << np.uint64(32) | a[2].astype(np.uint64) for a in asks])
+        pair, where, at = np.unique(pair, return_index=True, return_inverse=True)
+        c = np.bincount(at, weights=np.concatenate([a[3] for a in asks]), minlength=len(pair)).astype(np.int64)
+        of = np.concatenate([a[4].astype(np.int64) for a in asks])[where]
+        context, whose = np.unique((pair >> np.uint64(32)).astype(np.int64), return_inverse=True)
+        kinds = [np.bincount(whose[c == r], minlength=len(context)) for r in range(1, CUTOFF + 1)]
+        # counts of the words seen after a context
+        mass = np.bincount(whose[c > 0], weights=of[c > 0], minlength=len(context)).astype(np.int64)
+        told, cut = [], np.cumsum([0] + [len(a[2]) for a in asks])
+        for k, a in enumerate(asks):
+            mine = np.searchsorted(context, a[0].astype(np.int64))
+            told.append((_pack(c[at[cut[k] : cut[k + 1]]]), _pack(*(x[mine] for x in kinds), mass[mine])))
+        told = [len(x).to_bytes(8, "little") + x + y for x, y in told]
+        spread = np.flatnonzero(np.isin(context, model.hot))
+        return told, {"kinds": [int((c == r).sum()) for r in range(1, CUTOFF + 2)], "context": context[spread].tolist(), "parts": np.stack([*kinds, mass], 1)[spread].reshape(-1).tolist()}
+
+    told = keep(_exchange(known.mapInArrow(ask_pairs, "block long, bucket int, ask binary"), pair_table, "kinds array<long>, context array<long>, parts array<long>"), "pairs")
+    sums, k = told.where("block is null"), CUTOFF + 1
+    model.discount = discounts({r + 1: int(x or 0) for r, x in enumerate(sums.agg(*(F.sum(F.col("kinds")[i]) for i in range(k))).collect()[0])})
+    zipped = sums.where("size(context) > 0").select(F.explode(F.expr(f"transform(sequence(0, size(context) - 1), i -> struct(context[i] as c, slice(parts, i * {k} + 1, {k}) as k))")).alias("x"))
+    added = {r["c"]: r for r in zipped.groupBy("x.c").agg(*(F.sum(F.expr(f"x.k[{i}]")).alias(f"k{i}") for i in range(k))).collect()}  # as many as `hot` at most
+    parts = np.array([[added[h][f"k{i}"] if h in added else 0 for i in range(k)] for h in model.hot.tolist()], np.int64).reshape(-1, k)
+    of_hot = {r["words"]: r["counts"] for r in words} | {0: other}
+    model.alpha = model.weights(np.array([of_hot[h] for h in model.hot.tolist()], np.int64), parts[:, :CUTOFF], parts[:, CUTOFF])
 
     def score(batches):
         for batch in batches:
-            for body, uni, pairs in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                ids, n, starts, local, token, before, pair, at = _pairs(body.as_py(), model, folds, fold)
-                c1 = _counts(uni.as_py())[local]
-                order = np.lexsort((pair, _pair_bucket(pair, bits, spread)))
-                c2 = np.zeros(len(pair), np.int64)
-                c2[order] = _counts(pairs.as_py())
-                c2 = c2[at]
-                direct = model.discount[np.where(c2 <= CUTOFF, c2, 0)] * c2 / np.maximum(model.context[before], 1)
-                backed = model.alpha[before] * model.unigram[token]
-                logp = np.log10(np.where(c2 > 0, direct, backed))
-                base = np.log10(c1 + 1) - math.log10(total + types + 1)
+            for body, uni, told in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                p = _pairs(body.as_py(), uni.as_py(), model, pair_bits)
+                blobs = [x["told"] for x in told.as_py()]
+                cuts = [8 + int.from_bytes(x[:8], "little") for x in blobs]
+                c2 = np.concatenate([_unpack(x[8:c])[0] for x, c in zip(blobs, cuts, strict=True)]).astype(np.int64)
+                *kinds, mass = (np.concatenate(x).astype(np.int64) for x in zip(*(_unpack(x[c:]) for x, c in zip(blobs, cuts, strict=True)), strict=True))
+                alpha = model.weights(p.context[p.runs], np.stack(kinds, 1), mass)
+                first = p.first[p.runs]
+                spread = np.isin(first, model.hot)
+                alpha[spread] = model.alpha[np.searchsorted(model.hot, first[spread])]
+                alpha = np.repeat(alpha, np.diff(p.runs, append=len(p.first)))
+                direct = model.discount[np.where(c2 <= CUTOFF, c2, 0)] * c2 / np.maximum(p.context, 1)
+                backed = alpha * p.second_of / (model.total + model.unseen)
+                logp = np.log10(np.where(c2 > 0, direct, backed))[p.at]
+                base = np.log10(p.count + 1) - math.log10(model.total + model.types + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([held_out(d, folds, fold) for d in ids], pa.bool_()), pa.array(n), pa.array(np.add.reduceat((c1 > 0).astype(np.int64), starts)), pa.array(np.full(len(n), total)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logp, starts))],
+                    [pa.array(p.ids, pa.int64()), pa.array([held_out(d, folds, fold) for d in p.ids], pa.bool_()), pa.array(p.n), pa.array(np.add.reduceat((p.count > 0).astype(np.int64), p.starts)), pa.array(np.full(len(p.n), model.total)), pa.array(np.add.reduceat(base, p.starts)), pa.array(np.add.reduceat(logp, p.starts))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    both = bodies.join(unigrams, "block").join(_answers(told, "bi"), "block").select("body", "uni", "bi")
-    return both.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return known.join(_answers(told, "bi"), "block").select("body", "uni", "bi").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

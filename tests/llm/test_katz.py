@@ -67,3 +67,31 @@ def test_nothing(spark):
     alone = [d for d in range(100) if zlib.crc32(str(d).encode()) % 7 == 2][:1]
     r = score_texts(spark.createDataFrame([(alone[0], "a b")], "doc_id long, text string")).collect()
     assert len(r) == 1 and r[0].train_tokens == 0 and math.isfinite(r[0].score)
+
+
+def test_more_words_than_65536(spark):
+    """Each of more than 65,536 training words keeps its own probability; only words never seen share one."""
+    is_out = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    train = [(10_000 + i, [f"r{i}_{j}" for j in range(1000)]) for i in range(100)] + [(20_000 + i, ["thrice", "twice"]) for i in range(5)]
+    train = [(d, t) for d, t in train if not is_out(d)]
+    a, b = train[0][1][5], train[1][1][7]
+    held = [(d, t) for d, t in zip([d for d in range(100) if is_out(d)], [[a, "thrice"], [a, b], ["never", "thrice"], ["thrice", "never"]], strict=False)]
+    c = Counter(w for _, t in train for w in [*t, None])
+    assert len(c) > 1 << 16
+    pairs = Counter(p for _, t in train for p in zip([None, *t], [*t, None], strict=True))
+    disc = discounts({r: sum(v == r for v in pairs.values()) for r in range(1, CUTOFF + 2)})
+    unseen = sum(v == 1 for v in c.values())
+    n = sum(c.values()) + unseen
+    direct = {(h, w): (disc[k] if k <= CUTOFF else 1) * k / c[h] for (h, w), k in pairs.items()}
+    used, mass = Counter(), Counter()
+    for (h, w), x in direct.items():
+        used[h] += x
+        mass[h] += c[w] / n
+
+    def logp(h, w):
+        return math.log10(direct.get((h, w)) or (((1 - used[h]) / (1 - mass[h])) if c[h] else 1) * (c[w] or unseen) / n)
+
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in train + held], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score_texts(docs).collect()}
+    for d, t in train[:20] + held:
+        assert math.isclose(got[d], sum(map(logp, [None, *t], [*t, None])), rel_tol=1e-9), d
