@@ -42,8 +42,8 @@ def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no test item was found."""
-    found = contaminated_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_d")).distinct()
+    """Documents in which no test item, nor the question of one, was found."""
+    found = contaminated_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), by_parts=True).select(F.col("doc_id").alias("_d")).distinct()
     return _documents(docs.join(found, F.col("doc_id") == F.col("_d"), "left_anti"))
 
 

@@ -6,7 +6,8 @@ threshold serves all items. Every passage of every text is a query (half overlap
 hold the longest item whole). As in block-max WAND, bounds come before scores: the sum of term
 maxima dismisses passages, the sums of block maxima dismiss blocks, and only blocks left are scored.
 All items at or above the threshold are retrieved and then verified: the share of the question's and
-of the answer's five-word shingles that stand in the passage.
+of the answer's five-word shingles that stand in the passage, or for parts shorter than five words
+whether they stand there as they are.
 """
 
 from __future__ import annotations
@@ -25,33 +26,41 @@ SHINGLE = 5
 INDEX_ITEMS = 50_000
 
 
-def _shingles(h: np.ndarray) -> np.ndarray:
-    """Sorted distinct five-word hashes; a shorter text is one shingle."""
+def _shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of `size` words; a shorter text is one shingle."""
     if not len(h):
         return np.zeros(0, np.uint64)
     words = Words.__new__(Words)
     words.bounds = np.array([0, len(h)])
-    k = min(SHINGLE, len(h))
+    k = min(size, len(h))
     return np.unique(words.window_hashes(h, k)[0][: len(h) - k + 1] + np.uint64(k))
 
 
 class Index:
-    """items: (id, text). A null or empty text has no terms and is never retrieved."""
+    """items: (id, text). A null or empty text has no terms and is never retrieved.
 
-    def __init__(self, items: list[tuple[int, str | None]], block: int = 16):
+    With by_parts an item's weights are divided by the score of its question instead of its whole
+    text, so that the question alone reaches any threshold up to one; `scale` leads back.
+    """
+
+    def __init__(self, items: list[tuple[int, str | None]], block: int = 16, by_parts: bool = False):
         self.ids = np.array([i for i, _ in items], np.int64)
         data, offsets = column_bytes(pa.array([t for _, t in items], pa.large_string()))
         words = without_marks(Words(data, offsets, True))
         h, n = words.hashes(), words.counts
         item = words.doc()
         self.longest = int(n.max(initial=0))
-        pair, tf = np.unique(np.stack([h, item.astype(np.uint64)], 1), axis=0, return_counts=True) if len(h) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
+        cut = np.maximum(1, np.ceil(n * 0.75).astype(int))
+        pair, at, tf = np.unique(np.stack([h, item.astype(np.uint64)], 1), axis=0, return_inverse=True, return_counts=True) if len(h) else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.terms, start, df = np.unique(pair[:, 0], return_index=True, return_counts=True)
         of = pair[:, 1].astype(np.int64)
         idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
         weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[of] / max(n.mean(), 1e-9))) if len(of) else np.zeros(0)
         own = np.bincount(of, weights=weight, minlength=len(items))
-        self.item, self.weight = of, weight / own[of] if len(of) else weight
+        asked = np.bincount(at.reshape(-1), weights=np.arange(len(h)) < (words.bounds[:-1] + cut)[item], minlength=len(of)) > 0
+        norm = np.bincount(of, weights=np.where(asked, weight, 0.0), minlength=len(items)) if by_parts else own
+        self.scale = norm / np.maximum(own, 1e-300)
+        self.item, self.weight = of, weight / norm[of] if len(of) else weight
         self.start = np.append(start, len(of))
         self.block = block
         self.blocks = -(-len(items) // block)
@@ -66,9 +75,9 @@ class Index:
         # terms of many items: a passage has each at most once, so their maxima add up to a constant
         self.common = df > max(2, len(items) // 50)
         self.common_sum = float(self.term_max[self.common].sum())
-        cut = np.maximum(1, np.ceil(n * 0.75).astype(int))
         self.question = [_shingles(h[a : a + c]) for a, c in zip(words.bounds[:-1], cut, strict=True)]
         self.answer = [_shingles(h[a + c : b]) for a, b, c in zip(words.bounds[:-1], words.bounds[1:], cut, strict=True)]
+        self.n_question, self.n_answer, self.n_whole = np.minimum(cut, n), n - np.minimum(cut, n), n
         self.whole = [_shingles(h[a:b]) for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
 
     def term_ids(self, h: np.ndarray) -> np.ndarray:
@@ -124,12 +133,21 @@ def _share(part: np.ndarray, there: np.ndarray) -> float:
     return float(np.isin(part, there, assume_unique=True).mean()) if len(part) else 1.0
 
 
-def contaminated_passages(docs: DataFrame, items: DataFrame, least: float = 0.5, overlap: float = 0.8, passage_words: int = 128, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def _part_share(part: np.ndarray, n: int, h: np.ndarray, there: np.ndarray) -> float:
+    """The share of a part of n words in a passage of words h and five-word shingles `there`."""
+    return _share(part, there if n >= SHINGLE else _shingles(h, max(1, int(n))))
+
+
+def contaminated_passages(docs: DataFrame, items: DataFrame, least: float = 0.5, overlap: float = 0.8, passage_words: int = 128, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", by_parts: bool = False) -> DataFrame:
     """Rows (doc_id, item_id, score, question_overlap, answer_overlap, overlap), one per document and item found.
 
     An item is found in a passage whose BM25 score reaches `least` of the item's score of itself and
     that holds at least `overlap` of the item's shingles; the passage of most overlap is reported.
-    The first three quarters of an item's words are its question, the rest its answer. A-Z are
+    The first three quarters of an item's words are its question, the rest its answer; parts of fewer
+    than five words are one shingle of their own length. With by_parts the question suffices: an item
+    is also found where the score reaches `least` of the question's score of itself and at least
+    `overlap` of the question's shingles stand; items of fewer than five words are then found as they
+    are, and the passage of most overlap of question or item is reported. A-Z are
     lower-cased and marks at words' ends dropped. Null and empty texts and items find nothing; rows
     with one id count as that id's passages; no rows or items give no rows; other columns aren't read.
     """
@@ -142,7 +160,7 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, least: float = 0.5,
     found = None
     for shard in range(shards):
         # about INDEX_ITEMS rows
-        index = Index(sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).collect()))
+        index = Index(sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).collect()), by_parts=by_parts)
         size = max(passage_words, 2 * index.longest)
 
         def search(batches, index=index, size=size):
@@ -154,14 +172,18 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, least: float = 0.5,
                     h = words.hashes()
                     first, n, doc = passages(words.bounds, size)
                     for p, i, s in zip(*index.retrieve(index.term_ids(h), first, n, least), strict=True):
-                        there = _shingles(h[first[p] : first[p] + n[p]])
-                        share = _share(index.whole[i], there)
-                        if share >= overlap:
-                            out.append((ids[a + int(doc[p])].as_py(), int(index.ids[i]), float(s), _share(index.question[i], there), _share(index.answer[i], there), share))
+                        passage = h[first[p] : first[p] + n[p]]
+                        there = _shingles(passage)
+                        question = _part_share(index.question[i], index.n_question[i], passage, there)
+                        share = _part_share(index.whole[i], index.n_whole[i], passage, there) if by_parts else _share(index.whole[i], there)
+                        s = float(s * index.scale[i])
+                        if (share >= overlap and s >= least - 1e-9) or (by_parts and question >= overlap):
+                            out.append((ids[a + int(doc[p])].as_py(), int(index.ids[i]), s, question, _part_share(index.answer[i], index.n_answer[i], passage, there), share))
                 columns = list(zip(*out, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.float64()) for k, c in enumerate(columns)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "overlap"])
 
         part = docs.mapInArrow(search, schema)
         found = part if found is None else found.union(part)
-    best = F.max_by(F.struct("score", "question_overlap", "answer_overlap", "overlap"), F.struct("overlap", "score"))
+    most = [F.greatest("question_overlap", "overlap")] if by_parts else []
+    best = F.max_by(F.struct("score", "question_overlap", "answer_overlap", "overlap"), F.struct(*most, "overlap", "score"))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")

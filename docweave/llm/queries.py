@@ -42,7 +42,7 @@ def op4_bigru_toxicity(spark, sf_dir):
 def op5_bm25_decontamination(spark, sf_dir):
     from docweave.llm.decontamination import contaminated_passages
 
-    return contaminated_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return contaminated_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), by_parts=True)
 
 
 def op6_token_group_join(spark, sf_dir):

@@ -69,3 +69,36 @@ def test_against_brute_force(spark):
         assert math.isclose(got[k].overlap, share) and math.isclose(got[k].score, s, rel_tol=1e-9)
     assert contaminated_passages(frame, bench.limit(0)).count() == 0
     assert contaminated_passages(frame.limit(0), bench).count() == 0
+
+
+def test_by_parts(spark):
+    """The question alone suffices, however light its words; short answers and items match as they are."""
+    plain = lambda a, b: [f"p{i}" for i in range(a, b)]
+    long, short = [f"q{i}" for i in range(40)], [f"s{i}" for i in range(16)]
+    light = ["c0", "c1"] * 15 + [f"r{i}" for i in range(10)]  # the answer weighs most
+    items = [(1, " ".join(long)), (2, " ".join(short)), (3, "Just three words."), (4, "one"), (5, " ".join(light)), (6, "c0 c1"), (7, None), (8, "")]
+    docs = {
+        10: plain(0, 50) + long[:30] + plain(50, 90),
+        11: plain(0, 50) + long[30:] + plain(50, 90),
+        12: plain(0, 50) + long[:20] + plain(50, 90),
+        20: plain(0, 200) + short + plain(0, 9),
+        21: plain(0, 200) + short[:12] + plain(0, 9),
+        22: plain(0, 200) + short[12:] + plain(0, 9),
+        30: plain(0, 300) + ["JUST", "three", "words"] + plain(0, 300),
+        31: plain(0, 30) + ["three", "just", "words"],
+        40: plain(0, 30) + ["one"],
+        50: plain(0, 30) + light[:30] + plain(30, 40),
+    }
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.question_overlap, r.answer_overlap) for r in contaminated_passages(frame, bench, by_parts=True).collect()}
+    assert got == {(10, 1): (1, 0), (20, 2): (1, 1), (21, 2): (1, 0), (30, 3): (1, 1), (40, 4): (1, 1), (50, 5): (1, 0), (50, 6): (1, 1)}
+
+
+def test_registered_query_decides_by_parts(spark, tmp_path):
+    from docweave.llm.queries import op5_bm25_decontamination
+
+    item = [f"q{i}" for i in range(40)]
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(10, " ".join(["x", *item[:30], "y"]))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.doc_id, r.item_id) for r in op5_bm25_decontamination(spark, str(tmp_path)).collect()] == [(10, 1)]
