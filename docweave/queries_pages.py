@@ -79,7 +79,7 @@ def html_blocks(s, d):
 
 
 def raw_records(s, d):
-    x = _t(s, d, "documents").selectExpr("doc_id", "concat('[', array_join(transform(slice(split(text, '\\n'), 1, 5), (l, i) -> to_json(named_struct('bbox_2d', array(i, 10 * i, 900, 10 * i + 9), 'text_content', l))), ', '), if(doc_id % 3 = 0, ', {\"bbox_2d\": [1, 2', ']')) raw")
+    x = _t(s, d, "documents").selectExpr("doc_id", "concat('[', array_join(transform(split(text, '\\n'), (l, i) -> to_json(named_struct('bbox_2d', array(i, 10 * i, 900, 10 * i + 9), 'text_content', l))), ', '), if(doc_id % 3 = 0, ', {\"bbox_2d\": [1, 2', ']')) raw")
     return R.raw_records(x)
 
 
