@@ -1,7 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word's input is the sum of its own vector and the mean of its characters' vectors (runs of three to
-five characters, and those at its start), for words and runs known from training. Windows of `span`
+five characters, and those at its start), for words and runs known from training. What of a word is
+past its first `PIECE` bytes makes further inputs, overlapping so that no run is lost: text without
+white space is read whole as well. Windows of `span`
 words, half overlapping, cover each whole text; the network reads a window both ways, attention
 pools its states into a logit, and a document's score is its windows' greatest, calibrated.
 
@@ -23,6 +25,9 @@ from docweave.llm._text import Words, column_bytes, mix, runs, without_marks
 
 DIM, HIDDEN = 12, 8
 _SLOTS = 1 << 18
+#: Bytes of an input, and of the overlap of a long word's inputs: the longest run less one.
+PIECE, OVERLAP = 40, 4
+_PIECE_SALT = np.uint64(0x7E57A11CE0FF5E75)
 
 
 def _sigmoid(x):
@@ -30,14 +35,27 @@ def _sigmoid(x):
 
 
 class Tokens:
-    """The words of some documents without marks at their ends; distinct ones, and each document's sequence."""
+    """The words of some documents without marks at their ends; distinct ones, and each document's sequence.
+
+    A word of over PIECE bytes is followed by pieces of the rest of it, which count as words here.
+    """
 
     def __init__(self, words: Words):
         inner = without_marks(words)
-        self.bounds = inner.bounds
-        hashes = inner.hashes()
+        count = 1 + np.maximum(0, -(-(inner.ends - inner.starts - PIECE) // (PIECE - OVERLAP)))
+        total = np.concatenate([[0], np.cumsum(count)])
+        self.bounds = total[inner.bounds]
+        nth = np.arange(total[-1]) - np.repeat(total[:-1], count)
+        starts = np.repeat(inner.starts, count) + nth * (PIECE - OVERLAP)
+        ends = np.minimum(np.repeat(inner.ends, count), starts + PIECE)
+        hashes = np.repeat(inner.hashes(), count)
+        rest = Words.__new__(Words)
+        rest.data, rest.starts, rest.ends = inner.data, starts[nth > 0], ends[nth > 0]
+        hashes[nth > 0] = rest.hashes() ^ _PIECE_SALT
         self.hash, first, self.at = np.unique(hashes, return_index=True, return_inverse=True)
-        s, e = inner.starts[first], np.minimum(inner.ends[first], inner.starts[first] + 40)
+        #: Whether it is the start of a word.
+        self.front = nth[first] == 0
+        s, e = starts[first], ends[first]
         size = e - s
         self.begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
         self.chars = words.data[np.repeat(s - self.begin[:-1], size) + np.arange(self.begin[-1])] if len(s) else np.zeros(0, np.uint8)
@@ -57,7 +75,7 @@ class Tokens:
                 inside = place + k < end
                 out.append(mix(h[inside] + np.uint64(k << 56)))
                 whose.append(owner[inside])
-                front = self.begin[:-1][np.diff(self.begin) > k]
+                front = self.begin[:-1][self.front & (np.diff(self.begin) > k)]
                 out.append(mix(h[front] + np.uint64((k + 16) << 56)))
                 whose.append(owner[front])
         return np.concatenate(out), np.concatenate(whose)

@@ -59,3 +59,35 @@ def test_odd_rows(spark):
     got = toxicity_scores(docs, labels).collect()
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
     assert toxicity_scores(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_text_without_spaces_is_read_whole():
+    import numpy as np
+    import pyarrow as pa
+    from docweave.llm._text import Words, column_bytes
+    from docweave.llm.toxicity import PIECE, Tokens, train
+
+    words = lambda *t: Words(*column_bytes(pa.array(t, pa.large_string())), True)
+    rng = np.random.default_rng(5)
+    for size in (1, 39, 40, 41, 44, 76, 77, 500):
+        text = "".join(rng.choice(list("abcdefghij"), size))
+        t = Tokens(words("x y", text, "z"))
+        assert np.diff(t.begin).max() <= PIECE
+        assert t.bounds.tolist()[:2] == [0, 2] and t.bounds[3] - t.bounds[2] == 1
+        runs = set(t.grams()[0].tolist())
+        pad = set(Tokens(words("zzzzzzzz")).grams()[0].tolist())
+        for i in range(size - 4):
+            inner = set(Tokens(words(text[i : i + 5] + " zzzzzzzz")).grams()[0].tolist()) - pad
+            part = text[i : i + 5]
+            assert len(inner & runs) >= len({part[a:b] for a in range(3) for b in range(a + 3, 6)})
+    pool = ["".join(rng.choice(list("bcdfgaeiou"), 6)) for _ in range(60)]
+    texts, labels = [], []
+    for i in range(300):
+        w = list(rng.choice(pool, 12))
+        w[6] = "vilezzz" if i % 3 == 0 else w[6]
+        texts.append((" " if i % 2 else "_").join(w))
+        labels.append(int(i % 3 == 0))
+    net = train(texts, labels, [1.0] * len(texts))
+    head = "_".join(pool[:8])
+    clean, bad = net.scores(words(head + "_" + "_".join(pool[8:14]), head + "_vilezzz_vilezzz_" + "_".join(pool[8:12])))
+    assert len(head) > PIECE and bad > clean + 0.2
