@@ -8,9 +8,11 @@ they share as many more. These tokens are the columns of the matrix.
 1. Groups: a content joins the content with which it shares the most prefix tokens among those that
    stand for a token. A group is opened in chunks of bounded size, each with the group's head;
    links found there connect similar contents into larger groups.
-2. Matrix: for each token the groups whose union of prefixes holds it, with the sizes there. A query
-   content's count of shared tokens with a group bounds its overlap with every member; groups of
-   other contents are opened only if the count and then the overlap with the union allow a link.
+2. Matrix: for each token the groups whose union of prefixes holds it, with the sizes there and the
+   parities on which all members agree (bit k of a content: whether an odd number of its tokens falls
+   on k). A query content differs from every member by at least as many tokens as it differs from
+   these parities in bits; it shares at most as many prefix tokens with a member as with the union.
+   Groups of other contents are opened only if both bounds allow a link.
 
 Contents connected already need no further comparison; all others are settled by the bound or by
 exact intersection. Frequent tokens only change the order, and so the cost, never the result.
@@ -21,14 +23,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from docweave.llm._graph import components
 from docweave.llm._store import keep, small_batches
 from docweave.llm._text import Words, mix, runs, slices
 
 _SECOND = 0xA0761D6478BD642F | 1
+_THIRD = 0xE7037ED1A0B428DB
 
 
 def _need(n, num: int, den: int):
@@ -66,23 +70,69 @@ def shingle_sets(words: Words, size: int, base: int | None = None) -> tuple[np.n
     return token, np.searchsorted(owner, np.arange(len(words.offsets)))
 
 
-def _content(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each set (0 for the empty set)."""
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(token + np.uint64(_SECOND)))]).astype(np.uint64)
+def _sums(token: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(token + np.uint64(salt)))]).astype(np.uint64)
     n = np.diff(bounds).astype(np.uint64)
-    key = mix((total[bounds[1:]] - total[bounds[:-1]]) + n * np.uint64(0x9E3779B97F4A7C15))
-    key[n == 0] = 0
-    return key.view(np.int64)
+    return mix((total[bounds[1:]] - total[bounds[:-1]]) + n * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
+def _content(token: np.ndarray, bounds: np.ndarray, clashes: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit key of each set (0 for the empty set); it doesn't depend on the order of its tokens.
+
+    Keys in `clashes`, which two sets have by chance, are replaced by keys that a second sum tells apart.
+    """
+    key = _sums(token, bounds, _SECOND)
+    key[np.diff(bounds) == 0] = 0
+    key = key.view(np.int64)
+    if clashes is not None and len(clashes):
+        at = np.isin(key, clashes)
+        key[at] = mix(key[at].view(np.uint64) ^ _check(token, bounds)[at].view(np.uint64)).view(np.int64)
+    return key
+
+
+def _check(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A second, independent key: with the first one 128 bits."""
+    return _sums(token, bounds, _THIRD).view(np.int64)
+
+
+#: 64-bit words of the parities.
+PARITY = 4
+
+
+def _parities(token: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """For each set 64 * PARITY bits: whether an odd number of its tokens falls on each."""
+    some = np.flatnonzero(np.diff(bounds) > 0)
+    bit = mix(token ^ np.uint64(_THIRD)) >> np.uint64(64 - 6 - (PARITY - 1).bit_length())
+    one = np.uint64(1) << (bit & np.uint64(63))
+    out = []
+    for k in range(PARITY):
+        x = np.zeros(len(bounds) - 1, np.uint64)
+        if len(some):
+            x[some] = np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, one, np.uint64(0)), bounds[some])
+        out.append(x.view(np.int64))
+    return out
+
+
+_BITS = [f"b{k}" for k in range(PARITY)]
+
+
+def _sets(docs: DataFrame, size: int, clashes: np.ndarray | None = None) -> DataFrame:
     def sets(batches):
         for batch in batches:
             for a, b, words in runs(batch, lower=True):
                 token, bounds = shingle_sets(words, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds).astype(np.int64)), pa.array(_content(token, bounds))], names=["doc_id", "n", "content"])
+                columns = [np.diff(bounds).astype(np.int64), _content(token, bounds, clashes), _check(token, bounds), *_parities(token, bounds)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, columns)], names=["doc_id", "n", "content", "check", *_BITS])
 
-    return docs.mapInArrow(sets, "doc_id long, n long, content long")
+    return docs.mapInArrow(sets, "doc_id long, n long, content long, check long, " + ", ".join(f"{b} long" for b in _BITS))
+
+
+def _known_sets(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
+    """The table of sets, and the keys that different sets have in common: n**2 / 2**65 are to be expected of n sets."""
+    sets = keep(_sets(docs, size), "sets")
+    twice = sets.groupBy("content").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").select("content").collect()
+    clashes = np.array([r["content"] for r in twice], np.int64)
+    return (keep(_sets(docs, size, clashes), "sets") if len(clashes) else sets), clashes
 
 
 def _frequent(docs: DataFrame, size: int, most: int) -> np.ndarray:
@@ -118,7 +168,7 @@ def _frequent(docs: DataFrame, size: int, most: int) -> np.ndarray:
     return token[np.lexsort((token, n))].view(np.uint64)
 
 
-def _prefixes(docs: DataFrame, size: int, num: int, den: int, more: float, frequent: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, size: int, num: int, den: int, more: float, frequent: np.ndarray, clashes: np.ndarray) -> DataFrame:
     ranked = np.argsort(frequent)
     known = frequent[ranked]
 
@@ -140,7 +190,7 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int, more: float, frequ
                 extra = (n * more).astype(np.int64)
                 probe, index = n - _need(n, num, den) + 1 + extra, n - _need_equal(n, num, den) + 1 + extra
                 stay = place < probe[owner]
-                content = _content(token, bounds)  # a sum, so the new order doesn't matter
+                content = _content(token, bounds, clashes)
                 yield pa.RecordBatch.from_arrays([pa.array(token[stay].view(np.int64)), pa.array(content[owner][stay]), pa.array(n[owner][stay].astype(np.int32)), pa.array((place < index[owner])[stay]), pa.array(hot[stay])], names=["token", "content", "n", "index", "hot"])
 
     return docs.mapInArrow(prefixes, "token long, content long, n int, index boolean, hot boolean")
@@ -259,41 +309,42 @@ def _open_groups(rows: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(opened, "a long, b long, gid long")
 
 
-CHUNK = 256
+#: Members of a chunk, and n-grams in it: about so many, but for a single larger member.
+CHUNK, CHUNK_GRAMS = 256, 1 << 20
 
 
-def _chunked(members: DataFrame) -> DataFrame:
-    """members (gid, content): a chunk of about CHUNK for each, however large its group."""
-    sizes = members.groupBy("gid").agg(F.count("*").alias("_n"), F.min("content").alias("head")).withColumn("chunks", F.ceil(F.col("_n") / CHUNK).cast("int")).drop("_n")
-    return members.join(sizes, "gid").withColumn("chunk", F.pmod(F.xxhash64("content"), F.col("chunks")).cast("int"))
+def _chunked(members: DataFrame, contents: DataFrame) -> DataFrame:
+    """members (gid, content): a chunk of bounded size for each, however large its group."""
+    members = members.join(contents.select("content", "n"), "content")
+    parts = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_GRAMS)).cast("int")
+    sizes = members.groupBy("gid").agg(parts.alias("chunks"), F.min("content").alias("head"))
+    return members.drop("n").join(sizes, "gid").withColumn("chunk", F.pmod(F.xxhash64("content"), F.col("chunks")).cast("int"))
 
 
-def similarity_classes(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, more: float = 0.03, frequent: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id.
+def _differs_too_much(num: int, den: int) -> str:
+    """Whether a query (n, q0..) and all members of a group (hi, and0.., or0..) differ in more bits than a link allows tokens."""
+    bits = " + ".join(f"bit_count((q{k} ^ and{k}) & ~(and{k} ^ or{k}))" for k in range(PARITY))
+    return f"({bits}) * {num + den} > (n + least(hi, n)) * {den - num}"
 
-    Two documents link when den * |A and B| >= num * |A or B| for their sets of `size`-word n-grams,
-    A-Z lower-cased. component_id is the smallest id that links reach. Null texts and texts without
-    words have no n-grams and link with nothing; rows with equal sets link whatever their ids; null
-    ids don't count as smallest; no rows give no rows; other columns of docs aren't read.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = keep(_sets(docs, size), "sets")
+
+def _classes(docs: DataFrame, size: int, num: int, den: int, more: float, frequent: int) -> tuple[DataFrame, np.ndarray]:
+    """docs (doc_id, text): rows doc_id, n, content, label; equal labels are one class. And the clashing keys."""
+    sets, clashes = _known_sets(docs, size)
+    contents = keep(sets.where("n > 0").select("content", "n", *_BITS).dropDuplicates(["content"]), "contents")
     hot = _frequent(docs, size, frequent)
-    tokens = _prefixes(docs, size, num, den, more, hot)
+    tokens = _prefixes(docs, size, num, den, more, hot, clashes)
     kept_tokens = keep(_shared_tokens(tokens), "tokens")
 
     # groups: the content that stands for most of one's tokens
     stands = kept_tokens.groupBy("token").agg(F.min("content").alias("gid"))
     shared = kept_tokens.join(stands, "token").where("content <> gid").groupBy("content", "gid").agg(F.count("*").alias("s"))
     # those that share a good part of the prefix are likely to link; the matrix settles the others
-    likely = shared.join(sets.where("n > 0").select("content", "n").distinct(), "content").where("20 * s >= n")
+    likely = shared.join(contents.select("content", "n"), "content").where("20 * s >= n")
     best = keep(likely.groupBy("content").agg(F.max_by("gid", F.struct("s", -F.col("gid"))).alias("gid")), "groups")
     members = best.union(best.select(F.col("gid").alias("content"), "gid").distinct())
 
-    packed = keep(_packed(docs, size, kept_tokens.select("content").distinct()), "texts")
-    chunks = _chunked(members)
+    packed = keep(_packed(docs, size, kept_tokens.select("content").distinct(), clashes), "texts")
+    chunks = _chunked(members, contents)
     rows = chunks.join(packed, "content").select("gid", "chunk", "chunks", F.when(F.col("content") == F.col("head"), 0).otherwise(1).alias("role"), "content", "packed")
     # the head goes to every chunk
     heads = chunks.select("gid", "head", "chunks").distinct().where("chunks > 1").select("gid", F.col("head").alias("content"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).join(packed, "content").select("gid", "chunk", "chunks", F.lit(0).alias("role"), "content", "packed")
@@ -301,26 +352,30 @@ def similarity_classes(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     links = opened.where("b is not null").select("a", "b")
     labels = components(links)
 
-    # the matrix: which groups hold a token, and with what sizes
-    from pyspark.sql import Window
-
+    # the matrix: which groups hold a token, with what sizes and parities
     labelled = keep(kept_tokens.join(labels.withColumnRenamed("node", "content"), "content", "left").select("token", "content", "n", "index", F.coalesce("label", "content").alias("grp")), "labelled")
     several = keep(labelled.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.count("*").alias("df")).where("x <> y").select("token", "df"), "several")
-    crossing = keep(labelled.join(several, "token"), "crossing")
-    matrix = crossing.where("index").groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    crossing = keep(labelled.join(several, "token").join(contents.drop("n"), "content"), "crossing")
+    agree = [f(b).alias(f"{name}{k}") for k, b in enumerate(_BITS) for f, name in ((F.bit_and, "and"), (F.bit_or, "or"))]
+    matrix = crossing.where("index").groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), *agree)
     # a link needs `need` shared tokens: contents with fewer ask nothing, and the others leave out the
     # half of that number that most documents hold and need the rest
     need = F.floor(F.ceil(F.col("n") * num / den) * F.lit(more)) + 1
     mine = Window.partitionBy("content")
     ranked = crossing.withColumn("need", need).withColumn("there", F.count("*").over(mine)).withColumn("rank", F.row_number().over(mine.orderBy(F.desc("df"), "token")))
-    queries = ranked.where((F.col("there") >= F.col("need")) & (F.col("rank") > F.floor(F.col("need") / 2))).select("token", "content", "n", "need", F.col("grp").alias("own"))
-    fits = (F.col("own") != F.col("grp")) & (F.col("lo") <= F.col("n")) & (F.col("hi") * den >= F.col("n") * num)
+    queries = ranked.where((F.col("there") >= F.col("need")) & (F.col("rank") > F.floor(F.col("need") / 2))).select("token", "content", "n", "need", F.col("grp").alias("own"), *(F.col(b).alias(f"q{k}") for k, b in enumerate(_BITS)))
+    sizes_fit = (F.col("own") != F.col("grp")) & (F.col("lo") <= F.col("n")) & (F.col("hi") * den >= F.col("n") * num)
+    fits = sizes_fit & ~F.expr(_differs_too_much(num, den))
     asked = queries.join(matrix, "token").where(fits).groupBy("content", "own", "grp", "need").agg(F.count("*").alias("s")).where(F.col("s") >= F.col("need") - F.floor(F.col("need") / 2)).select("content", "own", F.col("grp").alias("gid"), "s")
     asked = keep(asked, "asked")
     held = keep(labelled.select("content", F.col("grp").alias("gid")).distinct().join(asked.select("gid").distinct(), "gid", "left_semi"), "held")
+
+    def ask(questions: DataFrame, group: DataFrame) -> DataFrame:
+        return _ask(questions, group, contents, packed, size, num, den)
+
     # one question for each pair of groups first: a link between them spares all others
     first = asked.groupBy("own", "gid").agg(F.max_by("content", F.struct("s", "content")).alias("content")).select("content", "gid")
-    links = keep(links.union(_ask(first, held, packed, size, num, den)), "links")
+    links = keep(links.union(ask(first, held)), "links")
     labels = components(links)
 
     def label(frame, column, name):
@@ -329,25 +384,65 @@ def similarity_classes(docs: DataFrame, size: int = 4, num: int = 85, den: int =
     still = label(label(asked.join(first.withColumn("done", F.lit(True)), ["content", "gid"], "left").where("done is null"), "own", "x"), "gid", "y").where("x <> y").select("content", "gid")
     # members that a large group's chunks left apart are questions to all its chunks
     apart = label(label(opened.where("b is null").select(F.col("a").alias("content"), "gid").distinct(), "content", "x"), "gid", "y").where("x <> y").select("content", "gid")
-    more_links = _ask(keep(still, "still"), held, packed, size, num, den).union(_ask(keep(apart, "apart"), members, packed, size, num, den))
+    more_links = ask(keep(still, "still"), held).union(ask(keep(apart, "apart"), members))
     labels = components(keep(links.union(more_links), "links"))
+    classes = sets.join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "content")))
+    return classes.select("doc_id", "n", "content", "label"), clashes
+
+
+def similarity_classes(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, more: float = 0.03, frequent: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id.
+
+    Two documents link when den * |A and B| >= num * |A or B| for their sets of `size`-word n-grams,
+    A-Z lower-cased. component_id is the smallest id that links reach. Null texts and texts without
+    words have no n-grams and link with nothing; rows with equal sets link whatever their ids; null
+    ids don't count as smallest; no rows give no rows; other columns of docs aren't read.
+    """
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, _ = _classes(docs, size, num, den, more, frequent)
+    least_id = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
+    return rows.join(least_id, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each_class(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, more: float = 0.03, frequent: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, less all but one of each similarity class.
+
+    The row of smallest id stays; of rows that have one id and equal n-grams any one. A null id counts
+    as greater than all others. Rows without words (null, empty or blank texts) are in no class and
+    all stay. Columns may have any names.
+    """
+    small_batches(docs.sparkSession)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, clashes = _classes(slim, size, num, den, more, frequent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("x")
+    winners = rows.where("n > 0").groupBy("label").agg(first).select(F.col("x.doc_id").alias("w_id"), F.col("x.content").alias("w_content"))
+
+    def key(batches):
+        for batch in batches:
+            for a, b, words in runs(batch, lower=True):
+                token, bounds = shingle_sets(words, size)
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(np.diff(bounds).astype(np.int64)), pa.array(_content(token, bounds, clashes))], names=["row", "doc_id", "text", "n", "content"])
 
-    where_ = sets.join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.coalesce("label", "content"))
-    least_id = where_.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return where_.join(least_id, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    fields = StructType([StructField("row", whole.schema["row"].dataType), *(StructField(c, t) for c, t in (("doc_id", LongType()), ("text", StringType()), ("n", LongType()), ("content", LongType())))])
+    keyed = whole.mapInArrow(key, fields).drop("text").withColumn("single", F.when(F.col("n") == 0, F.monotonically_increasing_id()))
+    chosen = keyed.join(winners, (keyed["content"] == winners["w_content"]) & keyed["doc_id"].eqNullSafe(winners["w_id"]), "left").where("n = 0 or w_content is not null")
+    return chosen.dropDuplicates(["doc_id", "content", "single"]).select("row.*")
 
 
 def _shared_tokens(tokens: DataFrame) -> DataFrame:
-    """Tokens of two contents or more, once for each. Frequent ones have many rows and need no test."""
-    from pyspark.sql import Window
+    """Tokens of two contents or more, once for each. Frequent ones have many rows and need no test.
 
+    A token that isn't known as frequent has less than one row in `frequent`, far less than a task's share.
+    """
     w = Window.partitionBy("token")
     rare = tokens.where("not hot").withColumn("x", F.min("content").over(w)).withColumn("y", F.max("content").over(w)).where("x <> y")
     both = rare.select("token", "content", "n", "index").union(tokens.where("hot").select("token", "content", "n", "index"))
     return both.groupBy("token", "content").agg(F.first("n").alias("n"), F.first("index").alias("index"))
 
 
-def _packed(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+def _packed(docs: DataFrame, size: int, wanted: DataFrame, clashes: np.ndarray) -> DataFrame:
     """One compressed text for each wanted content."""
 
     def pack(batches):
@@ -357,15 +452,16 @@ def _packed(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
                 token, bounds = shingle_sets(words, size)
                 o = words.offsets
                 texts = [packer.compress(words.data[o[i] : o[i + 1]].tobytes()) for i in range(len(o) - 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(_content(token, bounds)), pa.array(texts, pa.binary())], names=["content", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(_content(token, bounds, clashes)), pa.array(texts, pa.binary())], names=["content", "packed"])
 
     return docs.mapInArrow(pack, "content long, packed binary").join(wanted, "content", "left_semi").groupBy("content").agg(F.first("packed").alias("packed"))
 
 
-def _ask(asked: DataFrame, members: DataFrame, packed: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def _ask(asked: DataFrame, members: DataFrame, contents: DataFrame, packed: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Open each asked group, in chunks of members by chunks of queries."""
-    group = _chunked(members)
-    n = asked.groupBy("gid").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    group = _chunked(members, contents)
+    weight = asked.join(contents.select("content", "n"), "content")
+    n = weight.groupBy("gid").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_GRAMS)).cast("int").alias("parts"))
     chunks = group.select("gid", "chunks").distinct()
     each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = group.join(n, "gid").select("gid", "content", "chunk", "parts", each.alias("part"), F.lit(1).alias("role"))
