@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._store import keep
+from docweave.llm._store import drop, keep
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for each node of edges (a, b): the least node that it reaches. No edges, no rows.
 
-    Each round is a table in the shared folder; only a count of changes reaches the driver.
+    Repeated edges and edges to oneself change nothing; edges with a null end are ignored. Each round is a table in the shared folder; only a count of changes reaches the driver.
     """
     both = keep(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").dropDuplicates(["a", "b"]), "edges")
     labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
@@ -21,6 +21,8 @@ def components(edges: DataFrame) -> DataFrame:
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = keep(told.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
         changed = new.where("label <> was").limit(1).count()
-        labels = new.select("node", "label")
+        drop(labels)
+        labels = new
         if not changed:
-            return labels
+            drop(both)
+            return labels.select("node", "label")

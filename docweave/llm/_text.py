@@ -141,19 +141,13 @@ _MARK = np.zeros(256, bool)
 _MARK[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 
 
-def without_marks(words: Words, most: int = 8) -> Words:
-    """The words less up to `most` ASCII marks at either end; words of marks alone go."""
-    starts, ends, last = words.starts.copy(), words.ends.copy(), max(len(words.data) - 1, 0)
-    for _ in range(most if len(starts) else 0):
-        more = (starts < ends) & _MARK[words.data[np.minimum(starts, last)]]
-        starts += more
-        less = (starts < ends) & _MARK[words.data[ends - 1]]
-        ends -= less
-        if not more.any() and not less.any():
-            break
-    stay = starts < ends
+def without_marks(words: Words) -> Words:
+    """The words less the ASCII marks at either end, however many; words of marks alone go."""
+    other = np.flatnonzero(~_MARK[words.data])
+    at, before = np.searchsorted(other, words.starts), np.searchsorted(other, words.ends)
+    stay = at < before
     out = Words.__new__(Words)
-    out.data, out.offsets, out.starts, out.ends = words.data, words.offsets, starts[stay], ends[stay]
+    out.data, out.offsets, out.starts, out.ends = words.data, words.offsets, other[at[stay]], other[before[stay] - 1] + 1
     out.bounds = np.concatenate([[0], np.cumsum(stay)])[words.bounds]
     return out
 

@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._store import small_batches
+from docweave.llm._store import row_type, small_batches, with_rows
 from docweave.llm._text import Words, column_bytes, runs, without_marks
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
 #: Items in an index, which a worker holds; more items are more indexes, each of which all texts query.
 INDEX_ITEMS = 50_000
+#: Characters of its items, about (one item is never split); the driver holds one shard at a time.
+INDEX_CHARACTERS = 32 << 20
 
 
 def _shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -138,47 +140,57 @@ def _part_share(part: np.ndarray, n: int, h: np.ndarray, there: np.ndarray) -> f
     return _share(part, there if n >= SHINGLE else _shingles(h, max(1, int(n))))
 
 
+def _indexes(items: DataFrame, item_col: str, item_text: str, by_parts: bool, passage_words: int):
+    """(Index, words of a passage) for shards of the items, each bounded in items and in characters."""
+    items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null and item_id is not null")
+    n, size = items.agg(F.count("*"), F.sum(F.length("text"))).first()
+    shards = max(1, -(-n // INDEX_ITEMS), -(-(size or 0) // INDEX_CHARACTERS))
+    for shard in range(shards):
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard)
+        index = Index(sorted((r["item_id"], r["text"]) for r in part.collect()), by_parts=by_parts)
+        yield index, max(passage_words, 2 * index.longest)
+
+
+def _leaks(index: Index, size: int, words: Words, least: float, overlap: float, by_parts: bool):
+    """(document, item, score, overlaps of question, answer and whole) of verified passages."""
+    words = without_marks(words)
+    h = words.hashes()
+    first, n, doc = passages(words.bounds, size)
+    for p, i, s in zip(*index.retrieve(index.term_ids(h), first, n, least), strict=True):
+        passage = h[first[p] : first[p] + n[p]]
+        there = _shingles(passage)
+        question = _part_share(index.question[i], index.n_question[i], passage, there)
+        share = _part_share(index.whole[i], index.n_whole[i], passage, there) if by_parts else _share(index.whole[i], there)
+        s = float(s * index.scale[i])
+        if (share >= overlap and s >= least - 1e-9) or (by_parts and question >= overlap):
+            yield int(doc[p]), int(index.ids[i]), s, question, _part_share(index.answer[i], index.n_answer[i], passage, there), share
+
+
 def contaminated_passages(docs: DataFrame, items: DataFrame, least: float = 0.5, overlap: float = 0.8, passage_words: int = 128, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", by_parts: bool = False) -> DataFrame:
     """Rows (doc_id, item_id, score, question_overlap, answer_overlap, overlap), one per document and item found.
 
     An item is found in a passage whose BM25 score reaches `least` of the item's score of itself and
     that holds at least `overlap` of the item's shingles; the passage of most overlap is reported.
     The first three quarters of an item's words are its question, the rest its answer; parts of fewer
-    than five words are one shingle of their own length. With by_parts the question suffices: an item
-    is also found where the score reaches `least` of the question's score of itself and at least
-    `overlap` of the question's shingles stand; items of fewer than five words are then found as they
-    are, and the passage of most overlap of question or item is reported. A-Z are
-    lower-cased and marks at words' ends dropped. Null and empty texts and items find nothing; rows
-    with one id count as that id's passages; no rows or items give no rows; other columns aren't read.
+    than five words are one shingle of their own length. With by_parts both parts are verified on
+    their own: the question suffices with any answer or none (an item is found where the score reaches
+    `least` of the question's score of itself and at least `overlap` of the question's shingles
+    stand), while an answer tells only together with so much of the question that the whole item
+    reaches `overlap`; items of fewer than five words are then found as they are, and the passage of
+    most overlap of question or item is reported. A-Z are lower-cased and marks at words' ends
+    dropped. Null and empty texts and items find nothing; rows with one id count as that id's
+    passages; no rows or items give no rows; other columns aren't read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null and item_id is not null")
-    shards = max(1, -(-items.count() // INDEX_ITEMS))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, overlap double"
     found = None
-    for shard in range(shards):
-        # about INDEX_ITEMS rows
-        index = Index(sorted((r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).collect()), by_parts=by_parts)
-        size = max(passage_words, 2 * index.longest)
+    for index, size in _indexes(items, item_col, item_text, by_parts, passage_words):
 
         def search(batches, index=index, size=size):
             for batch in batches:
-                out: list[tuple] = []
                 ids = batch.column(0)
-                for a, _b, words in runs(batch, lower=True, limit=1 << 20):
-                    words = without_marks(words)
-                    h = words.hashes()
-                    first, n, doc = passages(words.bounds, size)
-                    for p, i, s in zip(*index.retrieve(index.term_ids(h), first, n, least), strict=True):
-                        passage = h[first[p] : first[p] + n[p]]
-                        there = _shingles(passage)
-                        question = _part_share(index.question[i], index.n_question[i], passage, there)
-                        share = _part_share(index.whole[i], index.n_whole[i], passage, there) if by_parts else _share(index.whole[i], there)
-                        s = float(s * index.scale[i])
-                        if (share >= overlap and s >= least - 1e-9) or (by_parts and question >= overlap):
-                            out.append((ids[a + int(doc[p])].as_py(), int(index.ids[i]), s, question, _part_share(index.answer[i], index.n_answer[i], passage, there), share))
+                out = [(ids[a + doc].as_py(), *rest) for a, _, words in runs(batch, lower=True, limit=1 << 20) for doc, *rest in _leaks(index, size, words, least, overlap, by_parts)]
                 columns = list(zip(*out, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.float64()) for k, c in enumerate(columns)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "overlap"])
 
@@ -187,3 +199,22 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, least: float = 0.5,
     most = [F.greatest("question_overlap", "overlap")] if by_parts else []
     best = F.max_by(F.struct("score", "question_overlap", "answer_overlap", "overlap"), F.struct(*most, "overlap", "score"))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
+
+
+def drop_contaminated_rows(docs: DataFrame, items: DataFrame, least: float = 0.5, overlap: float = 0.8, passage_words: int = 128, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, in whose own text no item nor the question of one is found.
+
+    Each row is judged by its text alone, so null and repeated ids change nothing; columns may have any names.
+    """
+    small_batches(docs.sparkSession)
+    for index, size in _indexes(items, item_col, item_text, True, passage_words):
+
+        def clean(batches, index=index, size=size):
+            for batch in batches:
+                for a, b, words in runs(batch, lower=True, limit=1 << 20):
+                    leaky = np.zeros(b - a, bool)
+                    leaky[[x[0] for x in _leaks(index, size, words, least, overlap, True)]] = True
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(pa.array(~leaky))], names=["row"])
+
+        docs = with_rows(docs, text_col).mapInArrow(clean, row_type(docs)).select("row.*")
+    return docs

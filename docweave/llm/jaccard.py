@@ -25,10 +25,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType
 
 from docweave.llm._graph import components
-from docweave.llm._store import keep, small_batches
+from docweave.llm._store import drop, keep, row_type, small_batches, with_rows
 from docweave.llm._text import Words, mix, runs, slices
 
 _SECOND = 0xA0761D6478BD642F | 1
@@ -329,33 +329,39 @@ def _differs_too_much(num: int, den: int) -> str:
 
 def _classes(docs: DataFrame, size: int, num: int, den: int, more: float, frequent: int) -> tuple[DataFrame, np.ndarray]:
     """docs (doc_id, text): rows doc_id, n, content, label; equal labels are one class. And the clashing keys."""
+    made: list[DataFrame] = []  # tables that the result doesn't read
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        made.append(keep(df, name))
+        return made[-1]
+
     sets, clashes = _known_sets(docs, size)
-    contents = keep(sets.where("n > 0").select("content", "n", *_BITS).dropDuplicates(["content"]), "contents")
+    contents = table(sets.where("n > 0").select("content", "n", *_BITS).dropDuplicates(["content"]), "contents")
     hot = _frequent(docs, size, frequent)
     tokens = _prefixes(docs, size, num, den, more, hot, clashes)
-    kept_tokens = keep(_shared_tokens(tokens), "tokens")
+    kept_tokens = table(_shared_tokens(tokens), "tokens")
 
     # groups: the content that stands for most of one's tokens
     stands = kept_tokens.groupBy("token").agg(F.min("content").alias("gid"))
     shared = kept_tokens.join(stands, "token").where("content <> gid").groupBy("content", "gid").agg(F.count("*").alias("s"))
     # those that share a good part of the prefix are likely to link; the matrix settles the others
     likely = shared.join(contents.select("content", "n"), "content").where("20 * s >= n")
-    best = keep(likely.groupBy("content").agg(F.max_by("gid", F.struct("s", -F.col("gid"))).alias("gid")), "groups")
+    best = table(likely.groupBy("content").agg(F.max_by("gid", F.struct("s", -F.col("gid"))).alias("gid")), "groups")
     members = best.union(best.select(F.col("gid").alias("content"), "gid").distinct())
 
-    packed = keep(_packed(docs, size, kept_tokens.select("content").distinct(), clashes), "texts")
+    packed = table(_packed(docs, size, kept_tokens.select("content").distinct(), clashes), "texts")
     chunks = _chunked(members, contents)
     rows = chunks.join(packed, "content").select("gid", "chunk", "chunks", F.when(F.col("content") == F.col("head"), 0).otherwise(1).alias("role"), "content", "packed")
     # the head goes to every chunk
     heads = chunks.select("gid", "head", "chunks").distinct().where("chunks > 1").select("gid", F.col("head").alias("content"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).join(packed, "content").select("gid", "chunk", "chunks", F.lit(0).alias("role"), "content", "packed")
-    opened = keep(_open_groups(rows.union(heads), size, num, den), "links")
+    opened = table(_open_groups(rows.union(heads), size, num, den), "links")
     links = opened.where("b is not null").select("a", "b")
     labels = components(links)
 
     # the matrix: which groups hold a token, with what sizes and parities
-    labelled = keep(kept_tokens.join(labels.withColumnRenamed("node", "content"), "content", "left").select("token", "content", "n", "index", F.coalesce("label", "content").alias("grp")), "labelled")
-    several = keep(labelled.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.count("*").alias("df")).where("x <> y").select("token", "df"), "several")
-    crossing = keep(labelled.join(several, "token").join(contents.drop("n"), "content"), "crossing")
+    labelled = table(kept_tokens.join(labels.withColumnRenamed("node", "content"), "content", "left").select("token", "content", "n", "index", F.coalesce("label", "content").alias("grp")), "labelled")
+    several = table(labelled.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.count("*").alias("df")).where("x <> y").select("token", "df"), "several")
+    crossing = table(labelled.join(several, "token").join(contents.drop("n"), "content"), "crossing")
     agree = [f(b).alias(f"{name}{k}") for k, b in enumerate(_BITS) for f, name in ((F.bit_and, "and"), (F.bit_or, "or"))]
     matrix = crossing.where("index").groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), *agree)
     # a link needs `need` shared tokens: contents with fewer ask nothing, and the others leave out the
@@ -367,15 +373,15 @@ def _classes(docs: DataFrame, size: int, num: int, den: int, more: float, freque
     sizes_fit = (F.col("own") != F.col("grp")) & (F.col("lo") <= F.col("n")) & (F.col("hi") * den >= F.col("n") * num)
     fits = sizes_fit & ~F.expr(_differs_too_much(num, den))
     asked = queries.join(matrix, "token").where(fits).groupBy("content", "own", "grp", "need").agg(F.count("*").alias("s")).where(F.col("s") >= F.col("need") - F.floor(F.col("need") / 2)).select("content", "own", F.col("grp").alias("gid"), "s")
-    asked = keep(asked, "asked")
-    held = keep(labelled.select("content", F.col("grp").alias("gid")).distinct().join(asked.select("gid").distinct(), "gid", "left_semi"), "held")
+    asked = table(asked, "asked")
+    held = table(labelled.select("content", F.col("grp").alias("gid")).distinct().join(asked.select("gid").distinct(), "gid", "left_semi"), "held")
 
     def ask(questions: DataFrame, group: DataFrame) -> DataFrame:
         return _ask(questions, group, contents, packed, size, num, den)
 
     # one question for each pair of groups first: a link between them spares all others
     first = asked.groupBy("own", "gid").agg(F.max_by("content", F.struct("s", "content")).alias("content")).select("content", "gid")
-    links = keep(links.union(ask(first, held)), "links")
+    links = table(links.union(ask(first, held)), "links")
     labels = components(links)
 
     def label(frame, column, name):
@@ -384,8 +390,9 @@ def _classes(docs: DataFrame, size: int, num: int, den: int, more: float, freque
     still = label(label(asked.join(first.withColumn("done", F.lit(True)), ["content", "gid"], "left").where("done is null"), "own", "x"), "gid", "y").where("x <> y").select("content", "gid")
     # members that a large group's chunks left apart are questions to all its chunks
     apart = label(label(opened.where("b is null").select(F.col("a").alias("content"), "gid").distinct(), "content", "x"), "gid", "y").where("x <> y").select("content", "gid")
-    more_links = ask(keep(still, "still"), held).union(ask(keep(apart, "apart"), members))
-    labels = components(keep(links.union(more_links), "links"))
+    more_links = ask(table(still, "still"), held).union(ask(table(apart, "apart"), members))
+    labels = components(table(links.union(more_links), "links"))
+    drop(*made)
     classes = sets.join(labels.withColumnRenamed("node", "content"), "content", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "content")))
     return classes.select("doc_id", "n", "content", "label"), clashes
 
@@ -422,11 +429,10 @@ def one_of_each_class(docs: DataFrame, size: int = 5, num: int = 80, den: int =
         for batch in batches:
             for a, b, words in runs(batch, lower=True):
                 token, bounds = shingle_sets(words, size)
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(np.diff(bounds).astype(np.int64)), pa.array(_content(token, bounds, clashes))], names=["row", "doc_id", "text", "n", "content"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(bounds).astype(np.int64)), pa.array(_content(token, bounds, clashes))], names=["row", "doc_id", "n", "content"])
 
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    fields = StructType([StructField("row", whole.schema["row"].dataType), *(StructField(c, t) for c, t in (("doc_id", LongType()), ("text", StringType()), ("n", LongType()), ("content", LongType())))])
-    keyed = whole.mapInArrow(key, fields).drop("text").withColumn("single", F.when(F.col("n") == 0, F.monotonically_increasing_id()))
+    whole = with_rows(docs, text_col).withColumn("doc_id", F.col("row")[id_col].cast("long"))
+    keyed = whole.mapInArrow(key, row_type(docs, ("doc_id", LongType()), ("n", LongType()), ("content", LongType()))).withColumn("single", F.when(F.col("n") == 0, F.monotonically_increasing_id()))
     chosen = keyed.join(winners, (keyed["content"] == winners["w_content"]) & keyed["doc_id"].eqNullSafe(winners["w_id"]), "left").where("n = 0 or w_content is not null")
     return chosen.dropDuplicates(["doc_id", "content", "single"]).select("row.*")
 

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from docweave.llm._store import keep, small_batches
+from docweave.llm._store import keep, row_type, small_batches, with_rows
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -206,20 +207,33 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "doc_id long, s array<int>, e array<int>, k array<int>, v array<int>, f array<int>, b array<boolean>")
 
 
+def _weights(scanned: DataFrame) -> np.ndarray:
+    """The span classifier of all candidates; the driver sees counts by kind, votes and features alone."""
+    # at most 4 * 3**5 * 2**16 rows in principle, a few hundred in fact
+    seen = scanned.select(F.explode(F.arrays_zip("k", "v", "f")).alias("x")).groupBy("x.k", "x.v", "x.f").count().collect()
+    by_votes: dict[tuple[int, int], int] = {}
+    for r in seen:
+        by_votes[r["k"], r["v"]] = by_votes.get((r["k"], r["v"]), 0) + r["count"]
+    q = reliabilities(by_votes)[2] if by_votes else {}
+    return fit_classifier(sorted((r["k"], r["f"], q[r["k"], r["v"]], r["count"]) for r in seen))
+
+
+def _likely(kind: int, features: int, weights: np.ndarray, least: float) -> bool:
+    return 1 / (1 + np.exp(-np.dot(_inputs(kind, features), weights))) >= least
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def find_pii(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: base spans and all spans as arrays of (kind, start, end) in code points.
 
     Added spans never overlap base ones. A null or empty text has no spans; equal documents have
     equal spans; no rows give no rows; other columns aren't read.
     """
-    found = keep(_scan(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))), "pii")
-    # at most 4 * 3**5 * 2**16 rows in principle, a few hundred in fact
-    seen = found.select(F.explode(F.arrays_zip("k", "v", "f")).alias("x")).groupBy("x.k", "x.v", "x.f").count().collect()
-    by_votes: dict[tuple[int, int], int] = {}
-    for r in seen:
-        by_votes[r["k"], r["v"]] = by_votes.get((r["k"], r["v"]), 0) + r["count"]
-    q = reliabilities(by_votes)[2] if by_votes else {}
-    weights = fit_classifier(sorted((r["k"], r["f"], q[r["k"], r["v"]], r["count"]) for r in seen))
+    found = keep(_scan(_texts(docs, id_col, text_col)), "pii")
+    weights = _weights(found)
 
     def choose(batches):
         shape = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -227,7 +241,7 @@ def find_pii(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_c
             out: list[list] = [[], [], []]
             for row in batch.to_pylist():
                 spans = list(zip(row["k"], row["s"], row["e"], row["f"], row["b"], strict=True))
-                chosen = [x for x in spans if x[4] or 1 / (1 + np.exp(-np.dot(_inputs(x[0], x[3]), weights))) >= least]
+                chosen = [x for x in spans if x[4] or _likely(x[0], x[3], weights, least)]
                 out[0].append(row["doc_id"])
                 for column, part in ((out[1], [x for x in chosen if x[4]]), (out[2], chosen)):
                     column.append([{"kind": KINDS[k], "start": s, "end": e} for k, s, e, _, _ in sorted(part)])
@@ -236,32 +250,40 @@ def find_pii(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_c
     return found.mapInArrow(choose, "doc_id long, base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>")
 
 
-def mask_pii(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each span of `found` replaced by its kind in angle brackets; all rows and columns stay.
+def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """text with each span (start, end, kind) replaced by <kind>; overlapping spans go together under the first one's kind."""
+    parts, at = [], 0
+    merged: list[list] = []
+    for s, e, kind in sorted(spans, key=lambda x: (x[0], -x[1])):
+        if merged and s < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e, kind])
+    for s, e, kind in merged:
+        parts += [text[at:s], f"<{kind}>"]
+        at = e
+    return "".join([*parts, text[at:]])
+
 
-    Overlapping spans are masked together under the first one's kind.
+def mask_pii(docs: DataFrame, least: float = 0.8, text_col: str = "text") -> DataFrame:
+    """docs with personal data replaced by its kind in angle brackets; all rows and columns stay.
+
+    A row's own text is searched and cut in one pass, so null and repeated ids change nothing, and
+    columns may have any names. A null text stays null. The text column becomes a string.
     """
+    rows = with_rows(docs, text_col)
+    weights = _weights(_scan(rows.select(F.lit(None).cast("long").alias("doc_id"), "text")))
+
     def mask(batches):
         for batch in batches:
-            i, j = batch.schema.get_field_index(text_col), batch.schema.get_field_index("_spans")
-            texts = []
-            for text, spans in zip(batch.column(i).to_pylist(), batch.column(j).to_pylist(), strict=True):
-                if text and spans:
-                    merged: list[list] = []
-                    for x in sorted(spans, key=lambda x: (x["start"], -x["end"])):
-                        if merged and x["start"] < merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], x["end"])
-                        else:
-                            merged.append([x["start"], x["end"], x["kind"]])
-                    parts, at = [], 0
-                    for s, e, kind in merged:
-                        parts += [text[at:s], f"<{kind}>"]
-                        at = e
-                    text = "".join([*parts, text[at:]])
-                texts.append(text)
-            columns = [pa.array(texts, pa.string()) if k == i else batch.column(k) for k in range(batch.num_columns) if k != j]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != "_spans"])
-
-    spans = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans")).dropDuplicates(["_doc"])
-    joined = docs.join(spans, docs[id_col] == spans["_doc"], "left").drop("_doc")
-    return joined.mapInArrow(mask, docs.schema)
+            texts = batch.column(1).to_pylist()
+            for i, text in enumerate(texts):
+                if text:
+                    base, dropped = base_spans(text)
+                    more = [x for x in alike(text, base, dropped) if _likely(KINDS.index(x[2]), votes(text, *x, False)[1], weights, least)]
+                    if base or more:
+                        texts[i] = masked(text, base + more)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "text"])
+
+    done = rows.mapInArrow(mask, row_type(docs, ("text", StringType())))
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns))

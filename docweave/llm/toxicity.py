@@ -13,6 +13,7 @@ training repeats on each document's highest window only.
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._store import small_batches
+from docweave.llm._store import row_type, small_batches, with_rows
 from docweave.llm._text import Words, column_bytes, mix, runs, without_marks
 
 DIM, HIDDEN = 12, 8
-_SLOTS = 1 << 18
 #: Bytes of an input, and of the overlap of a long word's inputs: the longest run less one.
 PIECE, OVERLAP = 40, 4
 _PIECE_SALT = np.uint64(0x7E57A11CE0FF5E75)
@@ -69,7 +69,7 @@ class Tokens:
         b = self.chars.astype(np.uint64) + np.uint64(1)
         out, whose = [], []
         h = np.zeros(n, np.uint64)
-        for k in range(5):
+        for k in range(min(5, n)):
             h[: n - k] = h[: n - k] * np.uint64(1_000_003) + b[k:]
             if k >= 2:
                 inside = place + k < end
@@ -78,7 +78,7 @@ class Tokens:
                 front = self.begin[:-1][self.front & (np.diff(self.begin) > k)]
                 out.append(mix(h[front] + np.uint64((k + 16) << 56)))
                 whose.append(owner[front])
-        return np.concatenate(out), np.concatenate(whose)
+        return np.concatenate([np.zeros(0, np.uint64), *out]), np.concatenate([np.zeros(0, np.int64), *whose])
 
 
 def windows(bounds: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,37 +95,29 @@ def windows(bounds: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.n
 @dataclass
 class Network:
     words: np.ndarray
-    slot_key: np.ndarray
-    slot_id: np.ndarray
+    grams: np.ndarray
     p: dict[str, np.ndarray] = field(default_factory=dict)
     scale: tuple[float, float] = (1.0, 0.0)
     span: int = 32
 
     @classmethod
     def fresh(cls, words: np.ndarray, grams: np.ndarray, span: int, seed: int = 7) -> Network:
-        """words: sorted hashes; grams: hashes, frequent ones first."""
-        key, ident = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32)
-        slot = (grams & np.uint64(_SLOTS - 1)).astype(np.int64)
-        for i in range(len(grams) - 1, -1, -1):
-            key[slot[i]], ident[slot[i]] = grams[i], i + 1
+        """words, grams: sorted hashes."""
         rng = np.random.default_rng(seed)
         draw = lambda *s: rng.normal(0, s[0] ** -0.5, s).astype(np.float32)
         p = {"Ew": 0.1 * rng.normal(size=(len(words) + 1, DIM)).astype(np.float32), "Ec": 0.1 * rng.normal(size=(len(grams) + 1, DIM)).astype(np.float32), "v": draw(2 * HIDDEN), "w": draw(2 * HIDDEN), "b": np.array([-1.0], np.float32)}
         p["Ew"][-1] = p["Ec"][0] = 0
         for d in "fb":
             p |= {f"W{d}": draw(DIM, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32), f"U{d}": draw(HIDDEN, 3 * HIDDEN)}
-        return cls(words, key, ident, p, span=span)
+        return cls(words, grams, p, span=span)
 
     def inputs(self, t: Tokens):
         """For distinct words: id of the word, ids of its known runs, and the word of each run."""
-        ident = np.full(len(t.hash), len(self.words))
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, t.hash), len(self.words) - 1)
-            ident = np.where(self.words[at] == t.hash, at, ident)
+        ident = _places(self.words, t.hash)
+        ident[ident < 0] = len(self.words)
         g, owner = t.grams()
-        slot = (g & np.uint64(_SLOTS - 1)).astype(np.int64)
-        known = (self.slot_key[slot] == g) & (self.slot_id[slot] > 0)
-        gid, owner = self.slot_id[slot[known]], owner[known]
+        gid = _places(self.grams, g)
+        gid, owner = gid[gid >= 0] + 1, owner[gid >= 0]
         by = np.argsort(owner, kind="stable")
         return ident, gid[by], owner[by]
 
@@ -222,6 +214,20 @@ class Network:
         return _sigmoid(self.scale[0] * top.astype(float) + self.scale[1])
 
 
+def _places(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The place of each in sorted `known`, or -1."""
+    if not len(known):
+        return np.full(len(asked), -1)
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return np.where(known[at] == asked, at, -1)
+
+
+def _spread(start: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries start[w]..start[w + 1] of each w, and the place of its w in `of`."""
+    n = start[of + 1] - start[of]
+    return np.repeat(start[of], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.arange(len(of)), n)
+
+
 def _steps(at, first, size, span, pad):
     steps = np.arange(span)[:, None]
     live = steps < size
@@ -230,16 +236,26 @@ def _steps(at, first, size, span, pad):
 
 
 class _Adam:
+    """Adam; of a table of vectors only the rows of a step are touched."""
+
     def __init__(self, p, rate):
         self.p, self.rate, self.t = p, rate, 0
         self.m, self.s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
 
-    def step(self, g):
+    def step(self, g: dict, rows: dict):
         self.t += 1
         for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.s[k] += 0.01 * (x * x - self.s[k])
-            self.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.s[k] / (1 - 0.99**self.t)) + 1e-6)
+            self._move(k, slice(None), x)
+        for k, (at, x) in rows.items():
+            ids, back = np.unique(at, return_inverse=True)
+            total = np.zeros((len(ids), x.shape[1]), np.float32)
+            np.add.at(total, back, x)
+            self._move(k, ids, total + 1e-5 * self.p[k][ids])
+
+    def _move(self, k, at, x):
+        m, s = self.m[k][at] * 0.9 + 0.1 * x, self.s[k][at] * 0.99 + 0.01 * x * x
+        self.m[k][at], self.s[k][at] = m, s
+        self.p[k][at] -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(s / (1 - 0.99**self.t)) + 1e-6)
 
 
 def train(texts: list[str | None], toxic: list[int], weight: list[float], span: int = 32, rounds: int = 6, seed: int = 7) -> Network:
@@ -252,11 +268,11 @@ def train(texts: list[str | None], toxic: list[int], weight: list[float], span:
     doc_of = np.repeat(np.arange(len(texts)), np.diff(t.bounds))
     pairs = np.unique(doc_of.astype(np.int64) * len(t.hash) + t.at) if len(t.at) else np.zeros(0, np.int64)
     df = np.bincount(pairs % max(1, len(t.hash)), minlength=len(t.hash))
-    known = np.sort(t.hash[df >= 3][np.argsort(-df[df >= 3], kind="stable")[:50_000]])
+    known = t.hash[df >= 3]
     g, owner = t.grams()
     grams, at = np.unique(g, return_inverse=True)
     n = np.bincount(at, weights=df[owner], minlength=len(grams))
-    net = Network.fresh(known, grams[n >= 5][np.argsort(-n[n >= 5], kind="stable")[:60_000]], span, seed)
+    net = Network.fresh(known, grams[n >= 5], span, seed)
     share = float(np.average(y, weights=weight)) if len(y) else 0.0
     prior = np.log((share + 0.01) / (1.01 - share))
     if len(y) == 0 or y.min() == y.max():
@@ -278,8 +294,7 @@ def train(texts: list[str | None], toxic: list[int], weight: list[float], span:
             used, index = np.unique(index, return_inverse=True)
             index = index.reshape(live.shape)
             real = used[used < len(ident)]
-            pick = np.concatenate([np.arange(gstart[w], gstart[w + 1]) for w in real]) if len(real) else np.zeros(0, np.int64)
-            local = np.searchsorted(real, gown[pick]) if len(pick) else np.zeros(0, np.int64)
+            pick, local = _spread(gstart, real)
             x = net.vectors(ident[real], gid[pick], local)
             if len(real) < len(used):
                 x = np.concatenate([x, np.zeros((1, DIM), np.float32)])
@@ -287,16 +302,10 @@ def train(texts: list[str | None], toxic: list[int], weight: list[float], span:
             target = y[doc[part]]
             w = np.where(target > 0, balance, 1.0)
             grads, dx = net.backward(x, index, live, saved, ((_sigmoid(logit) - target) * w / len(part)).astype(np.float32))
-            grads["Ew"] = np.zeros_like(net.p["Ew"])
-            np.add.at(grads["Ew"], ident[real], dx[: len(real)])
-            grads["Ew"] += 1e-5 * net.p["Ew"]
-            grads["Ew"][-1] = 0
-            grads["Ec"] = np.zeros_like(net.p["Ec"])
-            if len(pick):
-                count = np.bincount(local, minlength=len(real))
-                np.add.at(grads["Ec"], gid[pick], dx[local] / count[local][:, None])
-            grads["Ec"] += 1e-5 * net.p["Ec"]
-            adam.step(grads)
+            word = ident[real]
+            some = word < len(net.words)
+            count = np.bincount(local, minlength=len(real))
+            adam.step(grads, {"Ew": (word[some], dx[: len(real)][some]), "Ec": (gid[pick], dx[local] / count[local][:, None])})
 
     used = ~hold[doc]
     learn(np.flatnonzero(used), 2.0, 150)
@@ -320,34 +329,87 @@ def train(texts: list[str | None], toxic: list[int], weight: list[float], span:
     return net
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sample: int = 1600, span: int = 32, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted.
+def _saved(net: Network) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, words=net.words, grams=net.grams, scale=np.array(net.scale), span=net.span, **{f"p_{k}": v for k, v in net.p.items()})
+    return out.getvalue()
+
 
-    Labels are learned only from rows whose crc32(id as text) % folds is not `fold`; at most
-    `sample` / 2 rows of each label are used, those of least hash of the id (a documented bound;
-    scoring covers every window of every text). Rows with a null label are no examples; a null id is
-    never held out. Null and empty texts are one window without words. Equal texts have equal
-    scores; no rows give no rows; other columns of docs aren't read.
+def _loaded(data: bytes) -> Network:
+    x = np.load(io.BytesIO(data))
+    return Network(x["words"], x["grams"], {k[2:]: x[k] for k in x.files if k.startswith("p_")}, tuple(x["scale"].tolist()), int(x["span"]))
+
+
+def _held(id_column: str, folds: int, fold: int):
+    return F.coalesce(F.crc32(F.col(id_column).cast("string")) % folds == fold, F.lit(False))
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sample: int = 1600, sample_bytes: int = 24 << 20, span: int = 32) -> Network:
+    """The network of docs (doc_id, text) and labels (doc_id, toxic), trained by one task of an executor.
+
+    At most `sample` / 2 rows of each label are examples, those of least hash of the id, as long as
+    their texts come to `sample_bytes` (texts that don't fit are left out whole). Of rows with one id the
+    least text is the example. The driver receives the network: vectors of words and character runs of the
+    examples, fewer than their bytes.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
-    told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").dropDuplicates(["doc_id"]).where(~held)
+    told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").dropDuplicates(["doc_id"]).where(~_held("doc_id", folds, fold))
     share = {r["toxic"]: r["count"] for r in told.groupBy("toxic").count().collect()}
     drawn = None
     for y in (0, 1):
-        part = told.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
-        drawn = part if drawn is None else drawn.union(part)
+        # a cut-off that leaves about four times as many rows comes before their order
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, (2 * sample + 100) / max(1, share.get(y, 0))) * (1 << 30))
+        few = told.where((F.col("toxic") == y) & part).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample // 2)
+        drawn = few if drawn is None else drawn.union(few)
     # at most `sample` ids, so the broadcast has a fixed bound; the texts follow
-    rows = sorted((r["doc_id"], r["toxic"], r["text"] or "") for r in docs.join(F.broadcast(drawn), "doc_id").collect())
-    there = {y: sum(r[1] == y for r in rows) for y in (0, 1)}
-    net = train([r[2] for r in rows], [r[1] for r in rows], [share[r[1]] / there[r[1]] for r in rows], span)
+    examples = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+    def learn(batches):
+        rows, size = [], 0
+        for batch in batches:
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n = text.as_buffer().size if text.is_valid else 0
+                if size + n <= sample_bytes:
+                    rows.append((text.as_py() or "", y))
+                    size += n
+        there = {y: sum(r[1] == y for r in rows) for y in (0, 1)}
+        net = train([r[0] for r in rows], [r[1] for r in rows], [share[r[1]] / there[r[1]] for r in rows], span)
+        yield pa.RecordBatch.from_arrays([pa.array([_saved(net)], pa.binary())], names=["model"])
+
+    made = examples.repartition(1).sortWithinPartitions("h", "doc_id").select("toxic", "text").mapInArrow(learn, "model binary").collect()
+    return _loaded(made[0]["model"]) if made else train([], [], [], span)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sample: int = 1600, span: int = 32, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, held_out, score, predicted.
+
+    Labels are learned only from rows whose crc32(id as text) % folds is not `fold`, from a bounded
+    sample of them (see fit); scoring covers every window of every text. Rows with a null label are no
+    examples; a null id is never held out. Null and empty texts are one window without words. Equal
+    texts have equal scores; no rows give no rows; other columns of docs aren't read.
+    """
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    net = fit(docs, labels, folds, fold, sample, span=span)
 
     def score(batches):
         for batch in batches:
             for a, b, words in runs(batch, lower=True, limit=1 << 20):
-                s = net.scores(words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(s)], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(net.scores(words))], names=["doc_id", "score"])
+
+    return docs.mapInArrow(score, "doc_id long, score double").select("doc_id", _held("doc_id", folds, fold).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def drop_toxic_rows(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, sample: int = 1600, span: int = 32, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose own text scores below `least`.
+
+    Each row is judged by its text alone, so null and repeated ids change nothing; columns may have any names.
+    """
+    small_batches(docs.sparkSession)
+    net = fit(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), labels, folds, fold, sample, span=span)
+
+    def clean(batches):
+        for batch in batches:
+            for a, b, words in runs(batch, lower=True, limit=1 << 20):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(pa.array(net.scores(words) < least))], names=["row"])
 
-    return docs.mapInArrow(score, "doc_id long, score double").select("doc_id", held.alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+    return with_rows(docs, text_col).mapInArrow(clean, row_type(docs)).select("row.*")

@@ -50,7 +50,7 @@ def test_find_and_mask(spark):
     for i, t in enumerate(texts):
         assert got[i].base_sha256 == spans_sha256(brute(t or "")), t
     assert "phone:" in got[10].spans and got[5].spans == ""
-    masked = {r.doc_id: r for r in mask_pii(docs, found).collect()}
+    masked = {r.doc_id: r for r in mask_pii(docs).collect()}
     assert masked[0].text is None and masked[3].text.endswith("and <ip>") and masked[6].text == "tel <phone>."
     assert masked[7].spans == 7 and len(masked) == len(texts)
     assert find_pii(docs.limit(0)).count() == 0
