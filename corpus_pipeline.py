@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm._store import keep
-from docweave.llm.decontamination import contaminated_passages
-from docweave.llm.jaccard import similarity_classes
+from docweave.llm._store import drop, keep
+from docweave.llm.decontamination import drop_contaminated_rows
+from docweave.llm.jaccard import one_of_each_class
 from docweave.llm.packing import pack
-from docweave.llm.pii import find_pii, mask_pii
-from docweave.llm.toxicity import toxicity_scores
+from docweave.llm.pii import mask_pii
+from docweave.llm.toxicity import drop_toxic_rows
 
 #: No stage is expressible in SQL as a whole: two learn models and one solves a linear program.
 ORACLE_SQL = None
@@ -25,32 +25,30 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold; labels come from the labels table."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rejected = toxicity_scores(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_d")).distinct()
-    return _documents(docs.join(rejected, F.col("doc_id") == F.col("_d"), "left_anti"))
+    """Rows whose text scores below the threshold; labels come from the labels table.
+
+    Rows are judged one by one: null and repeated ids are rows like others, null texts stay.
+    """
+    return drop_toxic_rows(_documents(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (five words, similarity of 0.8) the document of smallest id.
+    """Of each class of near duplicates (five words, similarity of 0.8) the row of smallest id, a null id last.
 
-    Rows without words are in no class and stay.
+    Of rows of one id and equal n-grams one stays. Rows without words are in no class and all stay.
     """
-    classes = similarity_classes(docs, size=5, num=80, den=100)
-    leave = classes.where("component_id < doc_id").select(F.col("doc_id").alias("_d")).distinct()
-    return _documents(docs.join(leave, F.col("doc_id") == F.col("_d"), "left_anti"))
+    return one_of_each_class(_documents(docs), size=5, num=80, den=100)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no test item, nor the question of one, was found."""
-    found = contaminated_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), by_parts=True).select(F.col("doc_id").alias("_d")).distinct()
-    return _documents(docs.join(found, F.col("doc_id") == F.col("_d"), "left_anti"))
+    """Rows in whose text no test item, nor the question of one, was found; judged one by one."""
+    return drop_contaminated_rows(_documents(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind and n_chars counted again."""
-    masked = mask_pii(docs, find_pii(docs))
-    return _documents(masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))))
+    """All rows, with personal data replaced by its kind and n_chars counted again; a null text keeps its n_chars."""
+    masked = mask_pii(_documents(docs))
+    return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +68,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; the last one's rows."""
+    """All stages over documents; the last one's rows. A stage's table goes when the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
