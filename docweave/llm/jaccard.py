@@ -360,19 +360,23 @@ def _classes(docs: DataFrame, size: int, num: int, den: int, more: float, freque
 
     # the matrix: which groups hold a token, with what sizes and parities
     labelled = table(kept_tokens.join(labels.withColumnRenamed("node", "content"), "content", "left").select("token", "content", "n", "index", F.coalesce("label", "content").alias("grp")), "labelled")
-    several = table(labelled.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.count("*").alias("df")).where("x <> y").select("token", "df"), "several")
-    crossing = table(labelled.join(several, "token").join(contents.drop("n"), "content"), "crossing")
+    # tokens that the same contents hold are one column, which counts for as many tokens: the pairs that a
+    # column brings together then don't grow with the number of tokens that two contents share
+    of, holders = ["column", "check", "df"], [F.bit_xor(F.xxhash64(F.lit(k), "content", "index")) for k in (1, 2)]
+    several = table(labelled.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.count("*").alias("df"), holders[0].alias("column"), holders[1].alias("check")).where("x <> y").drop("x", "y"), "several")
+    columns = labelled.join(several, "token").groupBy(*of, "content").agg(F.count("*").alias("w"), *(F.first(c).alias(c) for c in ("n", "index", "grp")))
+    crossing = table(columns.join(contents.drop("n"), "content"), "crossing")
     agree = [f(b).alias(f"{name}{k}") for k, b in enumerate(_BITS) for f, name in ((F.bit_and, "and"), (F.bit_or, "or"))]
-    matrix = crossing.where("index").groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), *agree)
-    # a link needs `need` shared tokens: contents with fewer ask nothing, and the others leave out the
-    # half of that number that most documents hold and need the rest
+    matrix = crossing.where("index").groupBy(*of, "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), *agree)
+    # a link needs `need` shared tokens: contents with fewer ask nothing, and the others leave out columns
+    # that most documents hold, up to half of that number of tokens, and need the rest
     need = F.floor(F.ceil(F.col("n") * num / den) * F.lit(more)) + 1
     mine = Window.partitionBy("content")
-    ranked = crossing.withColumn("need", need).withColumn("there", F.count("*").over(mine)).withColumn("rank", F.row_number().over(mine.orderBy(F.desc("df"), "token")))
-    queries = ranked.where((F.col("there") >= F.col("need")) & (F.col("rank") > F.floor(F.col("need") / 2))).select("token", "content", "n", "need", F.col("grp").alias("own"), *(F.col(b).alias(f"q{k}") for k, b in enumerate(_BITS)))
+    ranked = crossing.withColumn("need", need).withColumn("there", F.sum("w").over(mine)).withColumn("sum", F.sum("w").over(mine.orderBy(F.desc("df"), "column", "check").rowsBetween(Window.unboundedPreceding, 0)))
+    queries = ranked.where((F.col("there") >= F.col("need")) & (F.col("sum") > F.floor(F.col("need") / 2))).select(*of, "content", "w", "n", "need", F.col("grp").alias("own"), *(F.col(b).alias(f"q{k}") for k, b in enumerate(_BITS)))
     sizes_fit = (F.col("own") != F.col("grp")) & (F.col("lo") <= F.col("n")) & (F.col("hi") * den >= F.col("n") * num)
     fits = sizes_fit & ~F.expr(_differs_too_much(num, den))
-    asked = queries.join(matrix, "token").where(fits).groupBy("content", "own", "grp", "need").agg(F.count("*").alias("s")).where(F.col("s") >= F.col("need") - F.floor(F.col("need") / 2)).select("content", "own", F.col("grp").alias("gid"), "s")
+    asked = queries.join(matrix, of).where(fits).groupBy("content", "own", "grp", "need").agg(F.sum("w").alias("s")).where(F.col("s") >= F.col("need") - F.floor(F.col("need") / 2)).select("content", "own", F.col("grp").alias("gid"), "s")
     asked = table(asked, "asked")
     held = table(labelled.select("content", F.col("grp").alias("gid")).distinct().join(asked.select("gid").distinct(), "gid", "left_semi"), "held")
 
