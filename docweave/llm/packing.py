@@ -2,11 +2,15 @@
 
 Documents become token pieces of at most `capacity` tokens. The histogram of piece lengths (at
 most `capacity` classes, whatever the corpus) goes to the driver. A configuration is a multiset
-of lengths that fits into one sequence. The covering program "fewest configurations that hold
-every class's pieces" is solved by multiplicative weights: a class's weight falls as its coverage
-grows, and a knapsack dynamic program prices the configuration of greatest weight. Whole uses are
-rounded down, and what is left of the histogram is placed best fit first. Pieces then find their
-place by their rank within their class: no piece moves to the driver or to one task.
+of lengths that fits into one sequence. The linear program "fewest configurations that hold all
+pieces of every class" is solved by multiplicative weights: a class weighs its price in a dual
+solution that proves a bound, times a power of the share of it that no configuration holds yet; a
+knapsack dynamic program prices the configuration of greatest weight, and this column is used until a
+step of one of its classes is held. Columns
+never hold more than there is, so the real numbers of uses are rounded down and what is left of the
+histogram, less than one use a column, is priced on in whole numbers. The bound tells how far the plan
+is from the fewest sequences. Pieces then find their place by their rank within their class:
+no piece moves to the driver or to one task.
 """
 
 from __future__ import annotations
@@ -51,108 +55,131 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
 
 @dataclass
 class Plan:
-    """uses[j] sequences follow pattern j; its slots are rows (pattern, length, copies)."""
+    """uses[j] sequences follow pattern j, a number of copies by length. `program` is the value of the
+    linear program's solution, `bound` a number of sequences that no plan can do without, `rounded`
+    the sequences that come from the program's columns and not from what rounding left."""
 
     uses: list[int]
     patterns: list[dict[int, int]]
+    program: float = 0.0
+    bound: int = 0
+    rounded: int = 0
 
     @property
     def sequences(self) -> int:
         return sum(self.uses)
 
 
-def _price(lengths: np.ndarray, weights: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of classes of greatest total weight that fits: an unbounded knapsack."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    within = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(int(lengths[0]), capacity + 1):
-        values = best[c - lengths[: within[c]]] + weights[: within[c]]
-        k = int(values.argmax())
-        if values[k] > best[c - 1]:
-            best[c], took[c] = values[k], k
-        else:
-            best[c] = best[c - 1]
+#: Classes that a column is priced from; runs until one gets near the bound: whether first prices are the
+#: dual ones or the lengths, which are dual prices too, rate of the weights, and step.
+PRICED, RUNS, NEAR = 192, ((False, 0.1, 1.0), (True, 0.1, 1.0), (True, 1.0, 0.5)), 5e-4
+
+
+def _price(lengths: np.ndarray, weights: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset of classes of greatest weight that fits, with at most so many copies of each: a bounded knapsack."""
+    best, items = np.zeros(capacity + 1), []
+    for k, (length, weight, left) in enumerate(zip(lengths.tolist(), weights.tolist(), np.minimum(most, capacity // lengths).tolist(), strict=True)):
+        copies = 1
+        while left > 0:
+            copies = min(copies, left)
+            size = length * copies
+            more = best[: capacity + 1 - size] + weight * copies
+            better = np.zeros(capacity + 1, bool)
+            np.greater(more, best[size:], out=better[size:])
+            best[size:] = np.maximum(best[size:], more)
+            items.append((k, copies, size, better))
+            left -= copies
+            copies *= 2
     out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-            continue
-        out[int(took[c])] = out.get(int(took[c]), 0) + 1
-        c -= int(lengths[took[c]])
+    room = capacity
+    for k, copies, size, better in reversed(items):
+        if better[room]:
+            out[k] = out.get(k, 0) + copies
+            room -= size
     return out
 
 
-def solve_configurations(histogram: dict[int, int], capacity: int, rounds: int = 600, eta: float = 8.0) -> Plan:
+def _columns(lengths: np.ndarray, counts: np.ndarray, prices: np.ndarray, capacity: int, rate: float, step: float, whole: bool) -> list[tuple[float, dict[int, int]]]:
+    """(uses, copies by class) that hold exactly the counts, with real uses or whole ones.
+
+    A round holds `step` of one class at least, or the rest of it: there are at most classes / step rounds
+    (whole: as many as pieces).
+    """
+    left, out = counts.astype(np.int64 if whole else float), []
+    rng = np.random.default_rng(len(lengths))
+    while True:
+        alive = np.flatnonzero(left > 0)
+        if not len(alive):
+            return out
+        share = left / counts
+        weights = prices * np.exp(rate * (share - 1))
+        if len(alive) > PRICED:
+            # the classes of which most is left, with some chance so that lengths mix
+            alive = alive[np.argpartition(-(share[alive] + 0.3 * rng.random(len(alive))), PRICED)[:PRICED]]
+        alive = alive[np.argsort(-lengths[alive])]
+        found = {int(alive[k]): n for k, n in _price(lengths[alive], weights[alive], np.ceil(left[alive]).astype(np.int64), capacity).items()}
+        uses = min(min(left[k], step * counts[k]) / n for k, n in found.items())
+        if whole:
+            uses = int(uses)
+        for k, n in found.items():
+            left[k] -= uses * n
+            if not whole and left[k] < 1e-6:
+                left[k] = 0.0
+        out.append((uses, found))
+
+
+def fewest(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[int, np.ndarray]:
+    """A bound from below, and the prices of the classes that prove it.
+
+    For some least size, pieces over capacity less that size stand alone and price one, smaller ones
+    price nothing, the others their length; or only pieces of over half the capacity price, one each.
+    """
+    size = np.bincount(lengths, weights=lengths * counts, minlength=capacity + 1)
+    number = np.bincount(lengths, weights=counts, minlength=capacity + 1).astype(np.int64)
+    sums, numbers = np.concatenate([[0], np.cumsum(size)]).astype(np.int64), np.concatenate([[0], np.cumsum(number)])
+    half = capacity // 2
+    alone = int(numbers[-1] - numbers[half + 1])
+    bound, prices = alone, (lengths > half).astype(float)
+    for least in range(half + 1):
+        top = capacity - least + 1
+        beside = int(numbers[-1] - numbers[top]) + -(-int(sums[top] - sums[least]) // capacity)
+        if beside > bound:
+            bound, prices = beside, np.where(lengths >= top, 1.0, np.where(lengths >= least, lengths / capacity, 0.0))
+    return bound, prices
+
+
+def solve_configurations(histogram: dict[int, int], capacity: int) -> Plan:
     """Patterns and their whole numbers of uses that hold exactly the histogram's pieces.
 
-    Work and memory depend on the number of classes and of rounds, never on the number of pieces.
+    Work and memory depend on the number of classes, never on the number of pieces.
     """
     lengths = np.array(sorted(k for k, v in histogram.items() if v > 0), np.int64)
     if not len(lengths):
         return Plan([], [])
     counts = np.array([histogram[int(k)] for k in lengths], np.int64)
-    cover = np.zeros(len(lengths))
-    fraction: dict[tuple, float] = {}
-    for _ in range(rounds):
-        weights = np.exp(-eta * cover) / counts + 1e-9 * lengths / (capacity * counts.sum())
-        pattern = _price(lengths, weights, capacity)
-        # no class may hold more copies than it has pieces
-        pattern = {k: min(n, int(counts[k])) for k, n in pattern.items()}
-        step = min(counts[k] / n for k, n in pattern.items()) * (0.25 if cover.min() > 0 else 1.0)
-        for k, n in pattern.items():
-            cover[k] += step * n / counts[k]
-        key = tuple(sorted(pattern.items()))
-        fraction[key] = fraction.get(key, 0.0) + step
-        if cover.min() >= 1.0:
-            break
-    # Round down the uses of well-filled configurations and place the rest best fit first. How full
-    # a configuration must be to be worth keeping depends on the histogram: try a few, keep the best.
-    size = {p: sum(n * int(lengths[k]) for k, n in p) for p in fraction}
-    over = max(1.0, float(cover.min()))
+    bound, dual = fewest(lengths, counts, capacity)
+    by_length = lengths / capacity
     best: Plan | None = None
-    for slack in (0, capacity // 512, capacity // 64, capacity // 16, capacity, -1):
+    for own, rate, step in RUNS:
+        prices = dual + 0.05 * by_length if own else by_length  # of equal prices, the fuller sequence
+        columns = _columns(lengths, counts, prices, capacity, rate, step, False)
+        plan = [(int(uses + 1e-9), found) for uses, found in columns if uses + 1e-9 >= 1]
         left = counts.copy()
-        done = []
-        for p in sorted(fraction, key=lambda p: (-size[p], -fraction[p], p)):
-            n = min(min(int(left[k]) // m for k, m in p), int(fraction[p] / over))
-            if n > 0 and size[p] >= capacity - slack:
-                done.append((n, {int(lengths[k]): m for k, m in p}))
-                for k, m in p:
-                    left[k] -= n * m
-        done += _best_fit({int(k): int(v) for k, v in zip(lengths, left, strict=True) if v}, capacity)
-        if best is None or sum(n for n, _ in done) < best.sequences:
-            best = Plan([n for n, _ in done], [p for _, p in done])
+        for uses, found in plan:
+            for k, n in found.items():
+                left[k] -= uses * n
+        rounded = sum(uses for uses, _ in plan)
+        some = left > 0
+        index = np.flatnonzero(some).tolist()
+        plan += [(uses, {index[k]: n for k, n in found.items()}) for uses, found in _columns(lengths[some], left[some], prices[some], capacity, rate, 1.0, True)]
+        made = Plan([uses for uses, _ in plan], [{int(lengths[k]): n for k, n in found.items()} for _, found in plan], sum(uses for uses, _ in columns), bound, rounded)
+        if best is None or made.sequences < best.sequences:
+            best = made
+        if best.sequences <= bound + max(1, int(NEAR * bound)):
+            break
     return best
 
 
-def _best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Best fit decreasing on counts: equal open sequences are one entry (uses, pattern)."""
-    open_: dict[int, list[tuple[int, dict[int, int]]]] = {}  # by room left
-    for length in sorted(histogram, reverse=True):
-        n = histogram[length]
-        while n:
-            room = min((r for r in open_ if r >= length), default=None)
-            if room is None:
-                per = max(1, min(n, capacity // length)) if n >= capacity // length else n
-                uses = n // per
-                open_.setdefault(capacity - per * length, []).append((uses, {length: per}))
-                n -= uses * per
-                continue
-            uses, pattern = open_[room].pop()
-            if not open_[room]:
-                del open_[room]
-            per = max(1, min(room // length, n // uses if n >= uses else 1))
-            take = min(uses, n // per)
-            if take < uses:
-                open_.setdefault(room, []).append((uses - take, pattern))
-            new = dict(pattern)
-            new[length] = new.get(length, 0) + per
-            open_.setdefault(room - per * length, []).append((take, new))
-            n -= take * per
-    return [entry for entries in open_.values() for entry in entries]
-
-
 def place(pieces: DataFrame, plan: Plan) -> DataFrame:
     """Give each piece its sequence and offset, by its rank among the pieces of its length.
 
