@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled together; a longer document is handled by itself, in blocks of words.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False

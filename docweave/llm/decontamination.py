@@ -190,7 +190,7 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, least: float = 0.5,
         def search(batches, index=index, size=size):
             for batch in batches:
                 ids = batch.column(0)
-                out = [(ids[a + doc].as_py(), *rest) for a, _, words in runs(batch, lower=True, limit=1 << 20) for doc, *rest in _leaks(index, size, words, least, overlap, by_parts)]
+                out = [(ids[a + doc].as_py(), *rest) for a, _, words in runs(batch, lower=True) for doc, *rest in _leaks(index, size, words, least, overlap, by_parts)]
                 columns = list(zip(*out, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.float64()) for k, c in enumerate(columns)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "overlap"])
 
@@ -211,7 +211,7 @@ def drop_contaminated_rows(docs: DataFrame, items: DataFrame, least: float = 0.5
 
         def clean(batches, index=index, size=size):
             for batch in batches:
-                for a, b, words in runs(batch, lower=True, limit=1 << 20):
+                for a, b, words in runs(batch, lower=True):
                     leaky = np.zeros(b - a, bool)
                     leaky[[x[0] for x in _leaks(index, size, words, least, overlap, True)]] = True
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(pa.array(~leaky))], names=["row"])

@@ -33,6 +33,7 @@ from docweave.llm._text import Words, mix, runs, slices
 
 _SECOND = 0xA0761D6478BD642F | 1
 _THIRD = 0xE7037ED1A0B428DB
+_HOT = np.uint64(1 << 63)
 
 
 def _need(n, num: int, den: int):
@@ -45,29 +46,38 @@ def _need_equal(n, num: int, den: int):
     return -(-2 * num * n // (num + den))
 
 
-def shingle_sets(words: Words, size: int, base: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct n-gram hashes of each document, joined, and where each begins.
+def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct n-gram hashes (63 bits) of each document, joined, and where each begins.
 
     A document of fewer words has its whole sequence as its one n-gram.
     """
     h = words.hashes()
     grams, inside = words.window_hashes(h, size)
-    doc = words.doc()
-    short = np.flatnonzero((words.counts > 0) & (words.counts < size))
-    extra = np.empty(len(short), np.uint64)
-    for i, d in enumerate(short.tolist()):
-        x = np.array([words.counts[d]], np.uint64)
+    counts = words.counts
+    n = np.where(counts >= size, counts - size + 1, counts > 0)
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    short = np.flatnonzero((counts > 0) & (counts < size))
+    token, long = np.empty(bounds[-1], np.uint64), np.ones(bounds[-1], bool)
+    for d in short.tolist():
+        x = np.array([counts[d]], np.uint64)
         for k in range(int(words.bounds[d]), int(words.bounds[d + 1])):
             x = mix(x * np.uint64(31) + h[k : k + 1])
-        extra[i] = x[0]
-    owner = np.concatenate([doc[inside], short])
-    token = np.concatenate([grams[inside], extra])
-    order = np.lexsort((token, owner))
-    owner, token = owner[order], token[order]
+        token[bounds[d]] = x[0]
+    long[bounds[short]] = False
+    token[long] = grams[inside]
+    token >>= np.uint64(1)
+    _sort_parts(token, bounds)
     new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-    owner, token = owner[new], token[new]
-    return token, np.searchsorted(owner, np.arange(len(words.offsets)))
+    new[1:] = token[1:] != token[:-1]
+    new[bounds[:-1][n > 0]] = True
+    return token[new], np.concatenate([[0], np.cumsum(new)])[bounds]
+
+
+def _sort_parts(x: np.ndarray, bounds: np.ndarray) -> None:
+    """Sort each document's part in place: much cheaper than one sort by document and value."""
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a > 1:
+            x[a:b].sort()
 
 
 def _sums(token: np.ndarray, bounds: np.ndarray, salt: int) -> np.ndarray:
@@ -141,20 +151,37 @@ def _frequent(docs: DataFrame, size: int, most: int) -> np.ndarray:
     Tasks count with bounded memory and report what they saw repeatedly; this only orders tokens, so
     it needs to be neither exact nor complete, and its size is `most` for any corpus.
     """
-    room = 1 << 19
+    room, block = 1 << 19, 1 << 21
 
     def count(batches):
         token, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        floor = 1
+        floor, waiting, size_ = 1, [], 0
+
+        def merged():
+            new = np.sort(np.concatenate(waiting))
+            edges = np.flatnonzero(np.diff(new, prepend=new[0] + np.uint64(1)))
+            both = np.concatenate([token, new[edges]])
+            weight = np.concatenate([n, np.diff(edges, append=len(new))])
+            by = np.argsort(both, kind="stable")
+            both, weight = both[by], weight[by]
+            edges = np.flatnonzero(np.diff(both, prepend=both[0] + np.uint64(1)))
+            return both[edges], np.add.reduceat(weight, edges)
+
+        def pruned(token, n, floor):
+            while len(token) > room:
+                floor += 1
+                token, n = token[n >= floor], n[n >= floor]
+            return token, n, floor
+
         for batch in batches:
             for _, _, words in runs(batch, lower=True):
-                both = np.concatenate([token, shingle_sets(words, size)[0]])
-                weight = np.concatenate([n, np.ones(len(both) - len(token), np.int64)])
-                token, at = np.unique(both, return_inverse=True)
-                n = np.bincount(at, weights=weight, minlength=len(token)).astype(np.int64)
-                while len(token) > room:
-                    floor += 1
-                    token, n = token[n >= floor], n[n >= floor]
+                waiting.append(shingle_sets(words, size)[0])
+                size_ += len(waiting[-1])
+                if size_ >= block:
+                    token, n, floor = pruned(*merged(), floor)
+                    waiting, size_ = [], 0
+        if size_:
+            token, n, floor = pruned(*merged(), floor)
         stay = n >= max(floor, 3)
         token, n = token[stay], n[stay]
         if len(token) > most:
@@ -178,20 +205,21 @@ def _prefixes(docs: DataFrame, size: int, num: int, den: int, more: float, frequ
                 token, bounds = shingle_sets(words, size)
                 n = np.diff(bounds)
                 owner = np.repeat(np.arange(len(n)), n)
-                order = token >> np.uint64(1)
-                hot = np.zeros(len(token), bool)
+                content = _content(token, bounds, clashes)
+                # frequent tokens have the highest bit and their rank, so that they come last
                 if len(known):
                     at = np.minimum(np.searchsorted(known, token), len(known) - 1)
-                    hot = known[at] == token
-                    order[hot] = (np.uint64(1) << np.uint64(63)) + ranked[at[hot]].astype(np.uint64)
-                by = np.lexsort((order, owner))
-                token, hot = token[by], hot[by]
+                    token = np.where(known[at] == token, _HOT | ranked[at].astype(np.uint64), token)
+                    _sort_parts(token, bounds)
                 place = np.arange(len(token)) - bounds[owner]
                 extra = (n * more).astype(np.int64)
                 probe, index = n - _need(n, num, den) + 1 + extra, n - _need_equal(n, num, den) + 1 + extra
                 stay = place < probe[owner]
-                content = _content(token, bounds, clashes)
-                yield pa.RecordBatch.from_arrays([pa.array(token[stay].view(np.int64)), pa.array(content[owner][stay]), pa.array(n[owner][stay].astype(np.int32)), pa.array((place < index[owner])[stay]), pa.array(hot[stay])], names=["token", "content", "n", "index", "hot"])
+                token, owner, place = token[stay], owner[stay], place[stay]
+                hot = token >= _HOT
+                token[hot] = frequent[(token[hot] ^ _HOT).astype(np.int64)]
+                columns = [token.view(np.int64), content[owner], n[owner].astype(np.int32), place < index[owner], hot]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "content", "n", "index", "hot"])
 
     return docs.mapInArrow(prefixes, "token long, content long, n int, index boolean, hot boolean")
 

@@ -201,9 +201,9 @@ class Network:
         x = np.concatenate([self.vectors(*self.inputs(t)), np.zeros((1, DIM), np.float32)])
         first, size, doc = windows(t.bounds, self.span)
         out = np.empty(len(first), np.float32)
-        for a in range(0, len(first), 8192):
-            index, live = _steps(t.at, first[a : a + 8192], size[a : a + 8192], self.span, len(x) - 1)
-            out[a : a + 8192] = self.forward(x, index, live)[0]
+        for a in range(0, len(first), 2048):
+            index, live = _steps(t.at, first[a : a + 2048], size[a : a + 2048], self.span, len(x) - 1)
+            out[a : a + 2048] = self.forward(x, index, live)[0]
         return out, first, doc
 
     def scores(self, words: Words) -> np.ndarray:
@@ -393,7 +393,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: in
 
     def score(batches):
         for batch in batches:
-            for a, b, words in runs(batch, lower=True, limit=1 << 20):
+            for a, b, words in runs(batch, lower=True, limit=1 << 19):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(net.scores(words))], names=["doc_id", "score"])
 
     return docs.mapInArrow(score, "doc_id long, score double").select("doc_id", _held("doc_id", folds, fold).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
@@ -409,7 +409,7 @@ def drop_toxic_rows(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: in
 
     def clean(batches):
         for batch in batches:
-            for a, b, words in runs(batch, lower=True, limit=1 << 20):
+            for a, b, words in runs(batch, lower=True, limit=1 << 19):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(pa.array(net.scores(words) < least))], names=["row"])
 
     return with_rows(docs, text_col).mapInArrow(clean, row_type(docs)).select("row.*")
