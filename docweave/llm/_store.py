@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+@contextmanager
+def skew_split(spark: SparkSession, size: str = "4m"):
+    """While a table is written: partitions of a join that are five times the median and over `size` are split."""
+    now = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": size, "spark.sql.adaptive.advisoryPartitionSizeInBytes": size}
+    before = {k: spark.conf.get(k, None) for k in now}
+    for k, v in now.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def with_rows(df: DataFrame, text_col: str) -> DataFrame:
     """(row, text): each row whole as a structure, whatever its columns' names, beside its text."""
     return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"), df[f"`{text_col}`"].cast("string").alias("text"))

@@ -3,11 +3,12 @@
 1. Every document names anchors: in each run of `words` words, the phrase of `phrase` words with the
    least hash. Equal runs name equal phrases, and only about 2/(words - phrase) of all phrases are
    named. Documents with equal word sequences are one content, which its smallest id stands for.
-2. A phrase named by two contents or more is a recurring passage. Each goes to the documents that
-   named it, and each shard of documents compiles an Aho-Corasick automaton of its passages' texts.
-3. The shard's documents stream through the automaton, which finds every occurrence. Runs around an
-   occurrence are candidates; their 128-bit hashes decide, over the whole corpus, which ones
-   start in a document with a smaller id.
+2. A phrase that two contents or more name, by hash and word by word (a byte each), is a confirmed
+   passage. Passages are dealt to shards by ranges of their hash, and an Aho-Corasick automaton is
+   compiled of each shard's passages, whichever documents they are from.
+3. Documents stream through the automata of the shards that hold passages they named. Only what an automaton finds is an
+   occurrence. Runs whose phrase of least hash stands at an occurrence are candidates; their 128-bit
+   hashes decide, over the whole corpus, which ones start in a document with a smaller id.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._store import keep, small_batches
+from docweave.llm._store import drop, keep, skew_split, small_batches
 from docweave.llm._text import Words, column_bytes, runs
 
 _SECOND = 0xC2B2AE3D27D4EB4F | 1
@@ -53,6 +54,11 @@ def named_phrases(words: Words, h: np.ndarray, length: int, phrase: int) -> tupl
     return g, chosen, np.arange(n) + length <= np.repeat(words.bounds[1:], words.counts)
 
 
+def _prints(h: np.ndarray) -> np.ndarray:
+    """One byte a word: the alphabet of the automata."""
+    return (h >> np.uint64(56)).astype(np.uint8)
+
+
 def _survey(docs: DataFrame, length: int, phrase: int) -> DataFrame:
     def survey(batches):
         for batch in batches:
@@ -63,62 +69,83 @@ def _survey(docs: DataFrame, length: int, phrase: int) -> DataFrame:
                 doc = words.doc()
                 picks = np.unique(chosen[inside])
                 # one row per phrase and document
-                key = np.unique(np.stack([doc[picks].astype(np.int64), g[picks].view(np.int64)], 1), axis=0) if len(picks) else np.zeros((0, 2), np.int64)
-                ends = np.searchsorted(key[:, 0], np.arange(b - a + 1))
+                order = np.lexsort((g[picks], doc[picks]))
+                picks = picks[order]
+                new = np.ones(len(picks), bool)
+                new[1:] = (g[picks][1:] != g[picks][:-1]) | (doc[picks][1:] != doc[picks][:-1])
+                picks = picks[new]
+                ends = np.searchsorted(doc[picks], np.arange(b - a + 1)).astype(np.int32)
+                prints = _prints(h1)[picks[:, None] + np.arange(phrase)]
+                texts = pa.FixedSizeBinaryArray.from_buffers(pa.binary(phrase), len(picks), [None, pa.py_buffer(np.ascontiguousarray(prints))]).cast(pa.binary())
+                named = pa.StructArray.from_arrays([pa.array(g[picks].view(np.int64)), texts], names=["gram", "print"])
                 sha = [hashlib.sha256(b" ".join(data[offsets[i] : offsets[i + 1]].tobytes().split())).hexdigest() for i in range(a, b)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(words.counts.astype(np.int64)), pa.array(_sequence_hash(h1, words.bounds)), pa.array(_sequence_hash(h2, words.bounds)), pa.array(sha), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(key[:, 1]))], names=["doc_id", "n_words", "c1", "c2", "sha", "named"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(words.counts.astype(np.int64)), pa.array(_sequence_hash(h1, words.bounds)), pa.array(_sequence_hash(h2, words.bounds)), pa.array(sha), pa.ListArray.from_arrays(pa.array(ends), named)], names=["doc_id", "n_words", "c1", "c2", "sha", "named"])
 
-    return docs.mapInArrow(survey, "doc_id long, n_words long, c1 long, c2 long, sha string, named array<long>")
+    return docs.mapInArrow(survey, "doc_id long, n_words long, c1 long, c2 long, sha string, named array<struct<gram:long,print:binary>>")
 
 
-def _occurrences(texts: list[bytes], wanted: list[np.ndarray], phrase: int) -> list[np.ndarray]:
-    """For each document of a shard, the word positions at which the shard's passages occur."""
-    split = [t.decode("utf-8", "surrogatepass").encode("utf-8", "surrogatepass").split() for t in texts]
+def compiled(passages: list[bytes]) -> ahocorasick.Automaton | None:
+    """The automaton of a shard's passages, each written as one byte a word."""
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for parts, places in zip(split, wanted, strict=True):
-        for p in places.tolist():
-            automaton.add_word(f" {b' '.join(parts[p : p + phrase]).decode('utf-8', 'surrogatepass')} ", 1)
+    for p in passages:
+        automaton.add_word(p.decode("latin-1"), 1)
     if not len(automaton):
-        return [np.zeros(0, np.int64) for _ in texts]
+        return None
     automaton.make_automaton()
-    out = []
-    for parts in split:
-        words = [p.decode("utf-8", "surrogatepass") for p in parts]
-        last = np.cumsum([len(w) + 1 for w in words])  # of each word, the space that follows it in the padded text
-        ends = np.array([e for e, _ in automaton.iter(f" {' '.join(words)} ")], np.int64)
-        out.append(np.unique(np.searchsorted(last, ends)) - phrase + 1)
-    return out
+    return automaton
+
+
+def occurrences(automaton: ahocorasick.Automaton | None, prints: np.ndarray, bounds: np.ndarray, phrase: int) -> np.ndarray:
+    """For each word of some documents whether a passage of the automaton begins there (one word more at the end)."""
+    found = np.zeros(len(prints) + 1, bool)
+    text = prints.tobytes().decode("latin-1")
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if automaton is not None and e - s >= phrase:
+            ends = np.fromiter((at for at, _ in automaton.iter(text, s, e)), np.int64)
+            found[ends - phrase + 1] = True
+    return found
+
 
+#: Passages of a shard, whose automaton takes about 80 MB, and characters that stream through one compiled automaton.
+SHARD_PASSAGES, STREAM = 100_000, 32 << 20
 
-def _locate(named: DataFrame, length: int, phrase: int) -> DataFrame:
-    """named: doc_id, text, grams (hashes of the recurring passages that the document named)."""
+
+def _locate(dealt: DataFrame, length: int, phrase: int) -> DataFrame:
+    """dealt: part, kind, print of a passage (kind 0) or doc_id, text, carry of a document (kind 1); a part's passages come first.
+
+    Runs whose phrase of least hash stands where the part's automaton finds a passage; the text goes along if `carry`.
+    """
 
     def locate(batches):
+        part, passages, automaton = None, [], None
         for batch in batches:
-            grams = batch.column(2)
-            for a, b, words in runs(batch):
-                h1, h2 = words.hashes(), words.hashes(_SECOND)
-                g, chosen, inside = named_phrases(words, h1, length, phrase)
-                signed, bounds = g.view(np.int64), words.bounds
-                texts, places = [], []
-                for i in range(b - a):
-                    s, e = int(bounds[i]), int(bounds[i + 1])
-                    texts.append(words.data[words.offsets[i] : words.offsets[i + 1]].tobytes())
-                    mine = np.isin(signed[s : max(s, e - phrase + 1)], grams[a + i].values.to_numpy(zero_copy_only=False))
-                    places.append(np.flatnonzero(mine))
-                found = np.zeros(len(h1) + 1, bool)
-                for i, at in enumerate(_occurrences(texts, places, phrase)):
-                    found[bounds[i] + at] = True
-                runs_of = np.flatnonzero(inside & found[chosen])
-                w1 = words.window_hashes(h1, length)[0].view(np.int64)[runs_of]
-                w2 = words.window_hashes(h2, length)[0].view(np.int64)[runs_of]
-                ends = np.searchsorted(runs_of, bounds).astype(np.int32)
-                at = (runs_of - bounds[words.doc()[runs_of]]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (at, w1, w2)]
-                kept = [b" ".join(t.split()) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(_sequence_hash(h1, bounds)), pa.array(kept, pa.binary()), *lists], names=["doc_id", "c1", "words", "at", "w1", "w2"])
-
-    return named.mapInArrow(locate, "doc_id long, c1 long, words binary, at array<int>, w1 array<long>, w2 array<long>")
+            parts, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero((np.diff(parts, prepend=-1) != 0) | (np.diff(kinds, prepend=-1) != 0)).tolist()
+            for s, e in zip(edges, [*edges[1:], len(parts)], strict=True):
+                if parts[s] != part:
+                    part, passages, automaton = parts[s], [], None
+                if kinds[s] == 0:
+                    passages += batch.column(2).slice(s, e - s).to_pylist()
+                    continue
+                if passages:
+                    passages, automaton = [], compiled(passages)
+                docs = batch.slice(s, e - s)
+                carry = docs.column(5).to_pylist()
+                for a, b, words in runs(docs):
+                    h1, h2 = words.hashes(), words.hashes(_SECOND)
+                    bounds = words.bounds
+                    found = occurrences(automaton, _prints(h1), bounds, phrase)
+                    _, chosen, inside = named_phrases(words, h1, length, phrase)
+                    runs_of = np.flatnonzero(inside & found[chosen])
+                    w1 = words.window_hashes(h1, length)[0].view(np.int64)[runs_of]
+                    w2 = words.window_hashes(h2, length)[0].view(np.int64)[runs_of]
+                    ends = np.searchsorted(runs_of, bounds).astype(np.int32)
+                    at = (runs_of - bounds[words.doc()[runs_of]]).astype(np.int32)
+                    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (at, w1, w2)]
+                    texts = [words.data[words.offsets[i] : words.offsets[i + 1]].tobytes() if carry[a + i] else None for i in range(b - a)]
+                    yield pa.RecordBatch.from_arrays([docs.column(3).slice(a, b - a), pa.array(_sequence_hash(h1, bounds)), pa.array(texts, pa.binary()), *lists], names=["doc_id", "c1", "words", "at", "w1", "w2"])
+
+    return dealt.mapInArrow(locate, "doc_id long, c1 long, words binary, at array<int>, w1 array<long>, w2 array<long>")
 
 
 def _cut(rows: DataFrame, length: int) -> DataFrame:
@@ -158,14 +185,31 @@ def repeated_passages(docs: DataFrame, length: int = 50, phrase: int = 16, id_co
     rows = survey.select("doc_id", "c1", "c2", "n_words", "sha").join(contents, ["c1", "c2", "n_words"], "left")
     # one content, one document: its smallest id
     firsts = survey.join(contents.select("c1", "c2", F.col("stands").alias("doc_id")), ["c1", "c2", "doc_id"], "left_semi").where(F.size("named") > 0)
-    names = firsts.select("doc_id", F.explode("named").alias("gram"))
-    recurring = names.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram")
-    wanted = names.join(recurring, "gram").groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
-    found = keep(_locate(docs.join(wanted, "doc_id"), length, phrase).where(F.size("at") > 0), "occurrences")
-    candidates = found.select("doc_id", "c1", F.explode(F.arrays_zip("at", "w1", "w2")).alias("x")).select("doc_id", "c1", "x.at", "x.w1", "x.w2")
+    names = firsts.select("doc_id", F.explode("named").alias("x")).select("doc_id", "x.gram", "x.print")
+    confirmed = names.groupBy("gram", "print").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram", "print")
+    passages = keep(confirmed, "passages")
+    # shards are ranges of the passages' hashes; a shard's documents are those that named one of its passages
+    shards = max(1, -(-passages.count() // SHARD_PASSAGES))
+    splits = max(1, -(-(docs.agg(F.sum(F.length("text"))).first()[0] or 0) // (shards * STREAM)))
+    shard = F.floor(F.shiftrightunsigned("gram", 33) * F.lit(shards) / F.lit(1 << 31)).cast("int")
+    wanted = names.join(passages, ["gram", "print"]).groupBy("doc_id").agg(F.sort_array(F.collect_set(shard)).alias("shards"))
+    part = F.col("shard") * F.lit(splits) + F.col("split")
+    none = {"print": F.lit(None).cast("binary"), "doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string"), "carry": F.lit(False)}
+
+    def dealt(frame: DataFrame, kind: int, **columns) -> DataFrame:
+        return frame.select(part.cast("int").alias("part"), F.lit(kind).alias("kind"), *(columns.get(k, v).alias(k) for k, v in none.items()))
+
+    routed = docs.join(wanted, "doc_id").withColumn("split", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(splits))).select("doc_id", "text", "split", F.col("shards")[0].alias("own"), F.explode("shards").alias("shard"))
+    compiled_for = passages.withColumn("shard", shard).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    streams = dealt(compiled_for, 0, **{"print": F.col("print")}).union(dealt(routed, 1, doc_id=F.col("doc_id"), text=F.col("text"), carry=F.col("shard") == F.col("own")))
+    streams = streams.repartition(max(shards * splits, 8), "part").sortWithinPartitions("part", "kind")
+    found = keep(_locate(streams, length, phrase).where("size(at) > 0 or words is not null"), "occurrences")
+    candidates = found.where("size(at) > 0").select("doc_id", "c1", F.explode(F.arrays_zip("at", "w1", "w2")).alias("x")).select("doc_id", "c1", "x.at", "x.w1", "x.w2")
     first = candidates.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    gone = candidates.join(first, ["w1", "w2"]).where("first < doc_id").groupBy("doc_id", "c1").agg(F.collect_list("at").alias("at"))
-    cut = _cut(found.select("doc_id", "c1", "words").join(gone, ["doc_id", "c1"]), length).dropDuplicates(["doc_id", "c1"])
+    with skew_split(spark):
+        gone = keep(candidates.join(first, ["w1", "w2"]).where("first < doc_id").groupBy("doc_id", "c1").agg(F.collect_list("at").alias("at")), "repeated")
+    drop(passages)
+    cut = _cut(found.where("words is not null").select("doc_id", "c1", "words").join(gone, ["doc_id", "c1"]), length).dropDuplicates(["doc_id", "c1"])
     copy = (F.col("stands") < F.col("doc_id")) & (F.col("n_words") >= length)
     empty = hashlib.sha256(b"").hexdigest()
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
