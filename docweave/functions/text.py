@@ -59,10 +59,10 @@ def low_quality_script(x: Column) -> Column:
 
 
 def currency_cents(x: Column) -> Column:
-    """Signed cents of a currency token, else null: optional sign or parentheses, $, grouped or plain digits, two decimals."""
-    form = r"^[-(]?\$?((0|[1-9][0-9]*)|[1-9][0-9]{0,2}(,[0-9]{3})+)\.[0-9]{2}\)?$"
+    """Cents of a currency token, else null: $, grouped or plain digits, two decimals; in a pair of parentheses negative."""
+    amount = r"\$?((0|[1-9][0-9]*)|[1-9][0-9]{0,2}(,[0-9]{3})+)\.[0-9]{2}"
     value = F.regexp_replace(x, "[^0-9]", "").cast("bigint")
-    return F.when(F.coalesce(x.rlike(form), F.lit(False)), F.when(x.rlike(r"^[-(]"), -value).otherwise(value))
+    return F.when(x.rlike(f"^{amount}$"), value).when(x.rlike(rf"^\({amount}\)$"), -value)
 
 
 def checkbox_text(x: Column) -> Column:
@@ -135,9 +135,16 @@ def char_width(c: Column) -> Column:
     return F.when(c.rlike(r"^[ .,:;'|!ilIjt]$"), 0.5).when(c.rlike("^[mwMW@%]$"), 1.1).when(c.rlike("^[A-Z0-9]$"), 1.0).otherwise(0.6)
 
 
+def text_width(x: Column) -> Column:
+    """The sum of the relative widths of a text's characters."""
+    n = F.length(x)
+    narrow, wide, capital = (n - F.length(F.translate(x, cs, "")) for cs in (" .,:;'|!ilIjt", "mwMW@%", "ABCDEFGHJKLNOPQRSTUVXYZ0123456789"))
+    return 0.5 * narrow + 1.1 * wide + capital + 0.6 * (n - narrow - wide - capital)
+
+
 def cursor(at: Column, key: Column) -> Column:
     """A URL-safe keyset cursor without padding."""
-    return F.regexp_replace(F.translate(F.base64(F.concat_ws("|", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), key.cast("string")).cast("binary")), "+/", "-_"), "=+$", "")
+    return F.regexp_replace(F.translate(F.base64(F.concat_ws("|", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), key.cast("string")).cast("binary")), "+/", "-_"), "=+$", "")
 
 
 def cursor_parts(x: Column) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _FENCE = re.compile(r"^\s*```[a-z]*\s*\n?(.*?)\n?\s*```\s*$", re.S)
-_NUMBER = re.compile(r"(?<![^\W_])[+-]?[0-9](?:[0-9.,:/%-]*[0-9%])?(?![^\W_])")
+_NUMBER = re.compile(r"(?<![^\W_])[+-]?[0-9](?:[0-9.,:/%-]*[0-9%])?")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[\"(\[]?[A-Z0-9])")
 
@@ -112,7 +112,7 @@ def raw_records(reads: DataFrame) -> DataFrame:
 
 
 def numeric_tokens(text: str) -> list[str]:
-    """Number-like tokens that stand apart from letters, left to right."""
+    """Number-like tokens that don't begin within a word, left to right; letters that follow end them."""
     return [m[0] for m in _NUMBER.finditer(text)]
 
 

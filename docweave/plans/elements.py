@@ -1,7 +1,7 @@
 """Page elements from document text: the layout that all layout operators read.
 
 doc_id, page_no, idx, chunk_type (text, table, image), text, x0, y0, x1, y1. One element per line,
-40 lines a page of 612 x 792 points.
+10 lines a page of 612 x 792 points.
 """
 
 from __future__ import annotations
@@ -9,40 +9,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOW, UP = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+# What stands before a line, by the line's number: place, condition, kind, text, height.
+_ADDED = (
+    (0, 13, "image", "''", 7),
+    (1, 7, "text", "concat(cast(line_no as string), '. Part')", 7),
+    (2, 11, "text", "'ALL ABOUT THIS'", 9),
+    (3, 17, "text", "concat('Note ', cast(line_no as string), ':')", 7),
+    (4, 19, "text", "'- one item'", 7),
+    (5, 19, "text", "'- one more item'", 7),
+)
 
 
 def elements(documents: DataFrame, decorate: bool = True) -> DataFrame:
-    """Lines of documents as elements. `decorate` adds headings, captions, figures and labels by position."""
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
-    pipes = "length(line) - length(replace(line, '|', ''))"
-    text = (
-        f"case when idx % 13 = 0 then '' when idx % 7 = 0 then concat(cast(idx as string), '. ', left(line, 60)) "
-        f"when idx % 11 = 0 then translate(left(line, 60), '{LOW}', '{UP}') when idx % 17 = 0 then concat(left(line, 30), ':') else line end"
-        if decorate
-        else "line"
-    )
-    kind = f"case when {'idx % 13 = 0' if decorate else 'false'} then 'image' when {pipes} >= 2 then 'table' else 'text' end"
-    return lines.selectExpr(
+    """Lines of documents, whole, as elements. `decorate` adds figures, headings, labels and list items before lines, by their numbers.
+
+    idx is eight times the line's number, plus 7 for the line itself, less for what is added.
+    """
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    own = "named_struct('k', 7, 'kind', if(length(line) - length(replace(line, '|', '')) >= 2, 'table', 'text'), 'text', line, 'at', 50, 'height', 12)"
+    added = [f"if(line_no % {every} = 0, named_struct('k', {k}, 'kind', '{kind}', 'text', {text}, 'at', {8 * k}, 'height', {height}), null)" for k, every, kind, text, height in _ADDED] if decorate else []
+    each = lines.selectExpr("doc_id", "line_no", "line", f"explode(filter(array({', '.join([*added, own])}), x -> x is not null)) x")
+    return each.selectExpr(
         "doc_id",
-        "cast(idx as int) idx",
-        "cast(idx div 40 + 1 as int) page_no",
-        f"{kind} chunk_type",
-        f"{text} text",
+        "cast(line_no * 8 + x.k as int) idx",
+        "cast(line_no div 10 + 1 as int) page_no",
+        "x.kind chunk_type",
+        "x.text text",
         "cast(72 as double) x0",
-        "cast(72 + 16 * (idx % 40) as double) y0",
-        "cast(72 + 5 * least(length(line), 90) as double) x1",
-        f"cast(72 + 16 * (idx % 40) + {'if(idx % 11 = 0, 16, 12)' if decorate else '12'} as double) y1",
+        "cast(72 + 64 * (line_no % 10) + x.at as double) y0",
+        "cast(72 + 5 * least(greatest(length(x.text), if(x.kind = 'image', 40, 0)), 90) as double) x1",
+        "cast(72 + 64 * (line_no % 10) + x.at + x.height as double) y1",
     )
 
 
+def _union() -> str:
+    parts = ["SELECT doc_id, line_no, 7 k, CASE WHEN length(line) - length(replace(line, '|', '')) >= 2 THEN 'table' ELSE 'text' END chunk_type, line AS text, 50 a, 12 h FROM lines"]
+    for k, every, kind, text, height in _ADDED:
+        text = {1: "line_no || '. Part'", 3: "'Note ' || line_no || ':'"}.get(k, text)
+        parts.append(f"SELECT doc_id, line_no, {k}, '{kind}', {text}, {8 * k}, {height} FROM lines WHERE line_no % {every} = 0")
+    return " UNION ALL ".join(parts)
+
+
 #: The same elements for the SQL that checks queries.
 SQL = f"""lines AS (
-  SELECT doc_id, unnest(l) line, unnest(range(len(l)))::INT idx FROM (SELECT doc_id, string_split(text, chr(10)) l FROM documents)
-), e AS (
-  SELECT doc_id, idx, (idx // 40 + 1)::INT page_no,
-    CASE WHEN idx % 13 = 0 THEN 'image' WHEN length(line) - length(replace(line, '|', '')) >= 2 THEN 'table' ELSE 'text' END chunk_type,
-    CASE WHEN idx % 13 = 0 THEN '' WHEN idx % 7 = 0 THEN idx || '. ' || left(line, 60) WHEN idx % 11 = 0 THEN translate(left(line, 60), '{LOW}', '{UP}') WHEN idx % 17 = 0 THEN left(line, 30) || ':' ELSE line END text,
-    72::DOUBLE x0, (72 + 16 * (idx % 40))::DOUBLE y0, (72 + 5 * least(length(line), 90))::DOUBLE x1,
-    (72 + 16 * (idx % 40) + CASE WHEN idx % 11 = 0 THEN 16 ELSE 12 END)::DOUBLE y1
-  FROM lines)"""
+  SELECT doc_id, unnest(l) line, unnest(range(len(l)))::INT line_no, unnest(range(len(l)))::INT idx FROM (SELECT doc_id, string_split(text, chr(10)) l FROM documents)
+), u AS ({_union()}), e AS (
+  SELECT doc_id, (line_no * 8 + k)::INT idx, (line_no // 10 + 1)::INT page_no, chunk_type, text,
+    72::DOUBLE x0, (72 + 64 * (line_no % 10) + a)::DOUBLE y0, (72 + 5 * least(greatest(length(text), CASE WHEN chunk_type = 'image' THEN 40 ELSE 0 END), 90))::DOUBLE x1,
+    (72 + 64 * (line_no % 10) + a + h)::DOUBLE y1
+  FROM u)"""

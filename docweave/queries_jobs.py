@@ -106,7 +106,7 @@ def idempotent_batches(s, d):
 
 
 def _tokens(s, d, n):
-    return _t(s, d, "documents").select((F.col("doc_id") + n).alias("id"), F.explode(F.split(F.left("text", F.lit(600)), " ")).alias("token"))
+    return _t(s, d, "documents").select((F.col("doc_id") + n).alias("id"), F.explode(F.split("text", " ")).alias("token"))
 
 
 def token_f1_pairs(s, d):
@@ -115,12 +115,13 @@ def token_f1_pairs(s, d):
 
 
 def majority_read(s, d):
-    c = _t(s, d, "conversations").where("turn < 3").select("conv_id", F.col("turn").alias("r"), F.explode(F.split("text", " ")).alias("token"))
-    reads = c.select(F.struct("conv_id", "r").alias("id"), "token")
-    three = _t(s, d, "conversations").where("turn < 3").select("conv_id", F.col("turn").alias("r"))
-    pairs = three.alias("x").join(three.alias("y"), "conv_id").where("x.r < y.r").selectExpr("struct(conv_id, x.r as r) a", "struct(conv_id, y.r as r) b")
-    f1 = A.multiset_f1(reads, reads, pairs).selectExpr("a.conv_id page", "a.r a", "b.r b", "f1")
-    return A.majority_read(f1, 0.2).withColumnRenamed("page", "conv_id")
+    # three turns in a row are the reads of a page
+    three = _t(s, d, "conversations").selectExpr("struct(conv_id, turn div 3 as page) page", "turn % 3 r", "text")
+    reads = three.select(F.struct("page", "r").alias("id"), F.explode(F.split("text", " ")).alias("token"))
+    three = three.select("page", "r")
+    pairs = three.alias("x").join(three.alias("y"), "page").where("x.r < y.r").selectExpr("struct(page, x.r as r) a", "struct(page, y.r as r) b")
+    f1 = A.multiset_f1(reads, reads, pairs).selectExpr("a.page page", "a.r a", "b.r b", "f1")
+    return A.majority_read(f1, 0.2).selectExpr("page.conv_id", "page.page", "served_read")
 
 
 def currency_recovery(s, d):
@@ -130,7 +131,7 @@ def currency_recovery(s, d):
 
 def words_in_box(s, d):
     e = elements(_t(s, d, "documents").select("doc_id", "text"))
-    words = e.select("doc_id", "page_no", F.col("idx").alias("line_no"), "x0", "y0", F.posexplode(F.slice(F.split("text", " "), 1, 12)).alias("word_no", "word")).selectExpr("doc_id", "page_no", "line_no", "word_no", "word", "x0 + 30 * word_no x0", "y0", "x0 + 30 * word_no + 25 x1", "y0 + 12 y1")
+    words = e.select("doc_id", "page_no", F.col("idx").alias("line_no"), "x0", "y0", F.posexplode(F.split("text", " ")).alias("word_no", "word")).selectExpr("doc_id", "page_no", "line_no", "word_no", "word", "x0 + 30 * word_no x0", "y0", "x0 + 30 * word_no + 25 x1", "y0 + 12 y1")
     boxes = e.where("idx % 5 = 0").selectExpr("doc_id", "page_no", "idx box_id", "x0", "y0", "x0 + 150 x1", "y0 + 40 y1")
     return A.words_in_boxes(words, boxes)
 
@@ -153,7 +154,7 @@ def value_occurrences(s, d):
 
 
 def grounding_first_match(s, d):
-    e = elements(_t(s, d, "documents").select("doc_id", "text"), decorate=False).select("doc_id", "idx", "text")
+    e = elements(_t(s, d, "documents").select("doc_id", "text"), decorate=False).selectExpr("doc_id", "cast((idx - 7) div 8 as int) idx", "text")
     v = e.where("idx = 1 and text <> ''").selectExpr("doc_id value_id", "doc_id", "left(text, 6) value")
     return R.first_match(v, e, e.where("idx = 2").selectExpr("doc_id value_id", "idx", "0 pos")).select("value_id", "idx")
 
@@ -192,7 +193,7 @@ ORACLE_SQL = {
     "batch_status": f"""WITH {_C} SELECT batch_id, CASE WHEN batch_id % 11 = 0 THEN 'cancelled' WHEN pending + running = 0 THEN CASE WHEN succeeded + failed + cancelled = 0 THEN 'pending' WHEN failed + cancelled = 0 THEN 'completed' WHEN succeeded = 0 AND cancelled = 0 THEN 'failed' WHEN succeeded = 0 THEN 'cancelled' ELSE 'partially_failed' END WHEN running > 0 THEN 'running' ELSE 'pending' END status FROM c""",
     "keyset_page": "SELECT event_id FROM events WHERE (ts, event_id) > (TIMESTAMP '2024-01-05', 100) ORDER BY ts, event_id LIMIT 50",
     "keyset_page_desc": "SELECT event_id FROM events WHERE (ts, event_id) < (TIMESTAMP '2024-01-20', 100) ORDER BY ts DESC, event_id DESC LIMIT 51",
-    "cursor_roundtrip": "SELECT event_id, rtrim(translate(to_base64((strftime(ts, '%Y-%m-%dT%H:%M:%S') || '|' || event_id)::BLOB), '+/', '-_'), '=') AS cursor, event_id back FROM events",
+    "cursor_roundtrip": "SELECT event_id, rtrim(translate(to_base64((strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '|' || event_id)::BLOB), '+/', '-_'), '=') AS cursor, event_id back FROM events",
     "claimable_backlog": f"WITH {_I} SELECT count(*) n FROM i WHERE {_ELIG}",
     "claim_order": f"WITH {_I} SELECT item_id FROM i WHERE {_ELIG} ORDER BY item_id LIMIT 20",
     "oldest_due": f"WITH {_I} SELECT greatest(epoch({NOW})::BIGINT - floor(epoch(min(ts)))::BIGINT, 0) age_s FROM i WHERE status = 'pending'",
@@ -203,10 +204,10 @@ ORACLE_SQL = {
     "retry_ladder": f"SELECT event_id, {_DELAY}[CASE WHEN event_id % 10 BETWEEN 1 AND 7 THEN event_id % 10 END] delay_s, CASE WHEN event_id % 10 > 7 THEN 'exhausted' ELSE 'scheduled' END outcome, CASE WHEN event_type <> 'error' OR event_id % 10 >= 3 THEN 'failed' ELSE 'retry' END job FROM events",
     "resend_outcomes": "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'not_found' WHEN event_id % 4 = 1 THEN 'in_flight' WHEN event_id % 5 = 0 THEN 'results_expired' WHEN event_id % 4 = 2 THEN 'nudged' ELSE 'requeued' END outcome FROM events",
     "idempotent_batches": f"WITH {_B}, r AS (SELECT *, row_number() OVER (PARTITION BY customer_id, idempotency_key ORDER BY created_at, batch_id) n FROM b) SELECT batch_id FROM r WHERE n = 1 OR idempotency_key IS NULL",
-    "token_f1_pairs": "WITH t AS (SELECT doc_id, unnest(string_split(left(text, 600), ' ')) AS token FROM documents), a AS (SELECT doc_id a, token, count(*) na FROM t GROUP BY ALL), b AS (SELECT doc_id + 1 b, token, count(*) nb FROM t GROUP BY ALL), m AS (SELECT a, sum(least(na, nb)) m FROM a JOIN b ON a.a = b.b AND a.token = b.token GROUP BY a), x AS (SELECT d.doc_id a, d.doc_id b, coalesce(m.m, 0) m, coalesce((SELECT sum(na) FROM a WHERE a.a = d.doc_id), 0) ta, coalesce((SELECT sum(nb) FROM b WHERE b.b = d.doc_id), 0) tb FROM documents d LEFT JOIN m ON m.a = d.doc_id) SELECT a, b, CASE WHEN ta = 0 AND tb = 0 THEN NULL WHEN m = 0 THEN 0 ELSE 2.0::DOUBLE * m / (ta + tb) END f1 FROM x",
-    "majority_read": "WITH t AS (SELECT conv_id, turn r, unnest(string_split(text, ' ')) AS token FROM conversations WHERE turn < 3), c AS (SELECT conv_id, r, token, count(*) n FROM t GROUP BY ALL), z AS (SELECT conv_id, r, sum(n) s FROM c GROUP BY ALL), p AS (SELECT x.conv_id, x.r a, y.r b, x.s sa, y.s sb FROM z x JOIN z y ON x.conv_id = y.conv_id AND x.r < y.r), f AS (SELECT p.*, coalesce((SELECT sum(least(u.n, v.n)) FROM c u JOIN c v ON u.conv_id = v.conv_id AND u.token = v.token WHERE u.conv_id = p.conv_id AND u.r = p.a AND v.r = p.b), 0) m FROM p), g AS (SELECT *, 2.0::DOUBLE * m / (sa + sb) f1, row_number() OVER (PARTITION BY conv_id ORDER BY 2.0::DOUBLE * m / (sa + sb) DESC, a, b) k FROM f) SELECT conv_id, CASE WHEN f1 >= 0.2 THEN a END served_read FROM g WHERE k = 1",
+    "token_f1_pairs": "WITH t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS token FROM documents), a AS (SELECT doc_id a, token, count(*) na FROM t GROUP BY ALL), b AS (SELECT doc_id + 1 b, token, count(*) nb FROM t GROUP BY ALL), m AS (SELECT a, sum(least(na, nb)) m FROM a JOIN b ON a.a = b.b AND a.token = b.token GROUP BY a), x AS (SELECT d.doc_id a, d.doc_id b, coalesce(m.m, 0) m, coalesce((SELECT sum(na) FROM a WHERE a.a = d.doc_id), 0) ta, coalesce((SELECT sum(nb) FROM b WHERE b.b = d.doc_id), 0) tb FROM documents d LEFT JOIN m ON m.a = d.doc_id) SELECT a, b, CASE WHEN ta = 0 AND tb = 0 THEN NULL WHEN m = 0 THEN 0 ELSE 2.0::DOUBLE * m / (ta + tb) END f1 FROM x",
+    "majority_read": "WITH t AS (SELECT {'c': conv_id, 'p': turn // 3} conv_id, turn % 3 r, unnest(string_split(text, ' ')) AS token FROM conversations), c AS (SELECT conv_id, r, token, count(*) n FROM t GROUP BY ALL), z AS (SELECT conv_id, r, sum(n) s FROM c GROUP BY ALL), p AS (SELECT x.conv_id, x.r a, y.r b, x.s sa, y.s sb FROM z x JOIN z y ON x.conv_id = y.conv_id AND x.r < y.r), f AS (SELECT p.*, coalesce((SELECT sum(least(u.n, v.n)) FROM c u JOIN c v ON u.conv_id = v.conv_id AND u.token = v.token WHERE u.conv_id = p.conv_id AND u.r = p.a AND v.r = p.b), 0) m FROM p), g AS (SELECT *, 2.0::DOUBLE * m / (sa + sb) f1, row_number() OVER (PARTITION BY conv_id ORDER BY 2.0::DOUBLE * m / (sa + sb) DESC, a, b) k FROM f) SELECT conv_id.c conv_id, conv_id.p page, CASE WHEN f1 >= 0.2 THEN a END served_read FROM g WHERE k = 1",
     "currency_recovery": "WITH l AS (SELECT l_orderkey, l_linenumber, round(l_quantity * 100)::BIGINT cents FROM lineitem) SELECT l_orderkey, cents FROM (SELECT l_orderkey, cents FROM l EXCEPT ALL SELECT l_orderkey, cents FROM l WHERE l_linenumber <> 2)",
-    "words_in_box": f"WITH {E}, s AS (SELECT *, string_split(text, ' ')[1:12] ws FROM e), w AS (SELECT doc_id, page_no, idx line_no, unnest(range(len(ws))) word_no, unnest(ws) word, x0, y0 FROM s), c AS (SELECT *, x0 + 30 * word_no + 12.5 cx, y0 + 6 cy FROM w), b AS (SELECT doc_id, page_no, idx box_id, x0, y0, x0 + 150 x1, y0 + 40 y1 FROM e WHERE idx % 5 = 0) SELECT b.doc_id, box_id, string_agg(word, ' ' ORDER BY line_no, word_no) AS text FROM b JOIN c ON c.doc_id = b.doc_id AND c.page_no = b.page_no AND cx BETWEEN b.x0 - 0.5 AND x1 + 0.5 AND cy BETWEEN b.y0 - 0.5 AND y1 + 0.5 GROUP BY ALL",
+    "words_in_box": f"WITH {E}, s AS (SELECT *, string_split(text, ' ') ws FROM e), w AS (SELECT doc_id, page_no, idx line_no, unnest(range(len(ws))) word_no, unnest(ws) word, x0, y0 FROM s), c AS (SELECT *, x0 + 30 * word_no + 12.5 cx, y0 + 6 cy FROM w), b AS (SELECT doc_id, page_no, idx box_id, x0, y0, x0 + 150 x1, y0 + 40 y1 FROM e WHERE idx % 5 = 0) SELECT b.doc_id, box_id, string_agg(word, ' ' ORDER BY line_no, word_no) AS text FROM b JOIN c ON c.doc_id = b.doc_id AND c.page_no = b.page_no AND cx BETWEEN b.x0 - 0.5 AND x1 + 0.5 AND cy BETWEEN b.y0 - 0.5 AND y1 + 0.5 GROUP BY ALL",
     "nearest_row": "WITH w AS (SELECT l_orderkey % 50 page, l_orderkey * 10 + l_linenumber word_id, l_quantity * 12.7::DOUBLE y FROM lineitem), r AS (SELECT (range + 1)::INT AS row, (range + 1) * 22.0::DOUBLE ry FROM range(28)), p AS (SELECT *, row_number() OVER (PARTITION BY page, word_id ORDER BY abs(y - ry), row) k FROM w JOIN r ON abs(y - ry) <= 0.55::DOUBLE * 22) SELECT page, word_id, row FROM p WHERE k = 1",
     "rect_iou": f"WITH {E}, p AS (SELECT a.doc_id, a.idx, a.x0 ax0, a.y0 ay0, a.x1 ax1, a.y1 ay1, b.x0 bx0, b.y0 - 100 by0, b.x1 bx1, b.y1 + 40 by1 FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.idx = b.idx - 7), q AS (SELECT *, greatest(least(ax1, bx1) - greatest(ax0, bx0), 0) * greatest(least(ay1, by1) - greatest(ay0, by0), 0) i FROM p) SELECT doc_id, idx, CASE WHEN i = 0 THEN 0 ELSE i / ((ax1 - ax0) * (ay1 - ay0) + (bx1 - bx0) * (by1 - by0) - i) END iou FROM q",
     "value_occurrences": "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",

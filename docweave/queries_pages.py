@@ -42,8 +42,8 @@ def native_text_trust(s, d):
 
 
 def coverage_grid(s, d):
-    e = elements(_t(s, d, "documents").select("doc_id", "text")).where("page_no = 1")
-    b = e.selectExpr("doc_id page_id", "idx", "cast(floor(x0 / 12.75) as int) gx0", "cast(floor(y0 / 16.5) as int) gy0", "cast(floor(x1 / 12.75) as int) gx1", "cast(floor(y1 / 16.5) as int) gy1")
+    e = elements(_t(s, d, "documents").select("doc_id", "text"))
+    b = e.selectExpr("concat(doc_id, ':', page_no) page_id", "idx", "cast(floor(x0 / 12.75) as int) gx0", "cast(floor(y0 / 16.5) as int) gy0", "cast(floor(x1 / 12.75) as int) gx1", "cast(floor(y1 / 16.5) as int) gy1")
     ink = b.selectExpr("page_id", "explode(sequence(gx0, gx1)) gx", "gy0", "gy1").selectExpr("page_id", "gx", "explode(sequence(gy0, gy1)) gy").distinct()
     return P.low_coverage(P.coverage(ink, b.where("idx % 3 = 0").drop("idx")))
 
@@ -112,7 +112,7 @@ ORACLE_SQL = {
     "grid_widths": f"WITH {_L}, r AS (SELECT doc_id, length(line) - length(replace(line, '|', '')) - 1 width, regexp_replace(line, '[|\\s]', '', 'g') <> '' AS fll FROM l WHERE length(line) - length(replace(line, '|', '')) >= 2), b AS (SELECT doc_id, width, count(*) n, count(*) FILTER (fll) f FROM r GROUP BY ALL) SELECT doc_id, coalesce(max(width) FILTER (n >= 2), 0)::INT width, sum(f)::BIGINT content_rows FROM b GROUP BY doc_id",
     "blank_tails": "SELECT doc_id, regexp_matches(regexp_replace(text || repeat('| ', (doc_id % 20)::INT) || '\"]', '[\"\\]}\\s]+$', ''), '(\\|[ \\t]*){12,}$') tail FROM documents",
     "native_text_trust": "WITH s AS (SELECT doc_id, n_chars t, n_chars - doc_id % 300 b, CASE WHEN doc_id % 9 = 0 THEN n_chars // 3 + 1 ELSE 0 END r, CASE WHEN doc_id % 8 = 0 THEN n_chars ELSE 0 END g, (doc_id % 10)::DOUBLE / 10 i FROM documents), x AS (SELECT doc_id, i, b >= 40 OR (t >= 80 AND i < 0.25) reliable, t >= 40 AND g >= 0.6::DOUBLE * t ocr_layer, t > 0 AND r >= 0.3::DOUBLE * t corrupt FROM s) SELECT doc_id, reliable, ocr_layer, corrupt, reliable AND NOT ocr_layer AND NOT corrupt AND i <= 0.75 trusted, CASE WHEN corrupt THEN true WHEN ocr_layer THEN false ELSE NOT reliable END needs_ocr FROM x",
-    "coverage_grid": f"WITH {E}, b AS (SELECT doc_id page_id, idx, floor(x0 / 12.75::DOUBLE)::INT gx0, floor(y0 / 16.5::DOUBLE)::INT gy0, floor(x1 / 12.75::DOUBLE)::INT gx1, floor(y1 / 16.5::DOUBLE)::INT gy1 FROM e WHERE page_no = 1), i1 AS (SELECT page_id, unnest(range(gx0, gx1 + 1)) gx, gy0, gy1 FROM b), ink AS (SELECT DISTINCT page_id, gx, unnest(range(gy0, gy1 + 1)) gy FROM i1), c1 AS (SELECT page_id, unnest(range(gx0 - 1, gx1 + 2)) gx, gy0, gy1 FROM b WHERE idx % 3 = 0), c AS (SELECT DISTINCT page_id, gx, unnest(range(gy0 - 1, gy1 + 2)) gy, 1 c FROM c1), r AS (SELECT page_id, gy, count(*) i, count(*) FILTER (c IS NULL) u FROM ink LEFT JOIN c USING (page_id, gx, gy) GROUP BY ALL), w AS (SELECT *, sum(i) OVER x bi, sum(u) OVER x bu FROM r WINDOW x AS (PARTITION BY page_id ORDER BY gy RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)), z AS (SELECT page_id, sum(u)::DOUBLE / sum(i)::DOUBLE uncovered_fraction, max(bu)::BIGINT band, max(bu)::DOUBLE / max(bi)::DOUBLE band_frac FROM w GROUP BY page_id) SELECT *, uncovered_fraction > 0.4 AND band_frac >= 0.5 low FROM z",
+    "coverage_grid": f"WITH {E}, b AS (SELECT doc_id || ':' || page_no page_id, idx, floor(x0 / 12.75::DOUBLE)::INT gx0, floor(y0 / 16.5::DOUBLE)::INT gy0, floor(x1 / 12.75::DOUBLE)::INT gx1, floor(y1 / 16.5::DOUBLE)::INT gy1 FROM e), i1 AS (SELECT page_id, unnest(range(gx0, gx1 + 1)) gx, gy0, gy1 FROM b), ink AS (SELECT DISTINCT page_id, gx, unnest(range(gy0, gy1 + 1)) gy FROM i1), c1 AS (SELECT page_id, unnest(range(gx0 - 1, gx1 + 2)) gx, gy0, gy1 FROM b WHERE idx % 3 = 0), c AS (SELECT DISTINCT page_id, gx, unnest(range(gy0 - 1, gy1 + 2)) gy, 1 c FROM c1), r AS (SELECT page_id, gy, count(*) i, count(*) FILTER (c IS NULL) u FROM ink LEFT JOIN c USING (page_id, gx, gy) GROUP BY ALL), w AS (SELECT *, sum(i) OVER x bi, sum(u) OVER x bu FROM r WINDOW x AS (PARTITION BY page_id ORDER BY gy RANGE BETWEEN 3 PRECEDING AND CURRENT ROW)), z AS (SELECT page_id, sum(u)::DOUBLE / sum(i)::DOUBLE uncovered_fraction, max(bu)::BIGINT band, max(bu)::DOUBLE / max(bi)::DOUBLE band_frac FROM w GROUP BY page_id) SELECT *, uncovered_fraction > 0.4 AND band_frac >= 0.5 low FROM z",
     "image_filter": "WITH x AS (SELECT p_partkey, p_size * 12 w, trunc(p_retailprice % 300)::INT h, p_partkey % 900 sz FROM part) SELECT p_partkey, CASE WHEN w < 30 OR h < 30 THEN 'too_small' WHEN w * h < 5000 THEN 'small_area' WHEN sz < 300 THEN 'small_file' WHEN greatest(w, h) > 20.0 * least(w, h) THEN 'aspect_ratio' WHEN w * h < 0.005 * 612 * 792 THEN 'page_coverage' END reason FROM x",
     "consistency_risks": "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'retry' WHEN doc_id % 13 >= 8 THEN 'empty_run' WHEN n_chars >= 0.85 * 8192 THEN 'near_cap' END reason FROM documents",
     "reread_decision": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 OR (o_orderkey % 10) / 10::DOUBLE >= 0.8 THEN 'trusted' WHEN o_orderkey % 3 = 2 THEN 'flagged' WHEN o_orderkey % 3 = 0 THEN 'confirmed' ELSE 'flagged' END AS action FROM orders",

@@ -62,7 +62,8 @@ def date_forms(s, d):
 
 
 def currency_cents(s, d):
-    t = _t(s, d, "lineitem", F.explode(F.array(F.format_string("$%.2f", "l_extendedprice"), F.format_string("(%.2f)", F.col("l_quantity")), F.format_string("%.3f", "l_tax"))).alias("t"))
+    forms = "printf('$%.2f', l_extendedprice), printf('(%.2f)', l_quantity), printf('%.3f', l_tax), printf('-%.2f', l_quantity), printf('(%.2f', l_quantity), printf('($%.2f)', l_extendedprice), concat('0', printf('%.2f', l_quantity)), format_number(l_extendedprice, 2), printf('%.2f)', l_quantity), concat(l_linenumber, ',', printf('%.2f', l_quantity))"
+    t = s.read.parquet(f"{d}/lineitem.parquet").select(F.explode(F.expr(f"array({forms})")).alias("t"))
     return t.select(T.currency_cents(F.col("t")).alias("cents")).where("cents is not null").groupBy("cents").agg(F.count("*").alias("n"))
 
 
@@ -86,12 +87,11 @@ def webhook_urls(s, d):
 
 
 def checkbox_norm(s, d):
-    return _docs(s, d).select("doc_id", T.checkbox_text(F.concat(F.lit("☑ yes ☐ no ✔ "), F.left("text", F.lit(20)))).alias("t"), T.without_ligatures(F.concat(F.lit("oﬃce ﬁle "), F.left("text", F.lit(9)))).alias("plain"))
+    return _docs(s, d).select("doc_id", T.checkbox_text(F.concat(F.lit("☑ yes ☐ no ✔ "), F.col("text"))).alias("t"), T.without_ligatures(F.concat(F.lit("oﬃce ﬁle "), F.col("text"))).alias("plain"))
 
 
 def char_widths(s, d):
-    c = _docs(s, d).select("doc_id", F.explode(F.split(F.left("text", F.lit(200)), "")).alias("c"))
-    return c.groupBy("doc_id").agg(F.round(F.sum(T.char_width(F.col("c"))), 6).alias("width"))
+    return _docs(s, d).select("doc_id", F.round(T.text_width(F.col("text")), 6).alias("width"))
 
 
 def page_read_cache(s, d):
@@ -111,12 +111,12 @@ ORACLE_SQL = {
     "render_html": f"WITH {_L} SELECT doc_id, idx, '<tr>' || array_to_string(list_transform(cells, lambda c: '<td>' || replace(replace(replace(replace(replace(c, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') || '</td>'), '') || '</tr>' rendered FROM p",
     "id_extract": "WITH r AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda t: regexp_matches(t, '[0-9]')) ids FROM documents WHERE regexp_matches(text, '[0-9]')), x AS (SELECT doc_id, unnest(ids) id, unnest(range(len(ids))) i FROM r) SELECT doc_id, arg_min(id, struct_pack(a := -length(id), b := i)) id FROM x GROUP BY doc_id",
     "date_forms": "WITH t AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') t FROM orders) SELECT o_orderkey, concat_ws(',', t[1:4] || t[6:7] || t[9:10], t[3:4] || t[6:7] || t[9:10], t[6:7] || t[9:10] || t[1:4], t[6:7] || t[9:10] || t[3:4]) forms, array_to_string(list_sort(list_transform(regexp_extract_all(t, '[0-9]+'), lambda x: x::INT)), ',') date_key, regexp_matches(replace(t, '-', ''), t[6:6] || '.*' || t[7:7]) month_in_digits FROM t",
-    "currency_cents": "WITH t AS (SELECT unnest([printf('$%.2f', l_extendedprice), printf('(%.2f)', l_quantity), printf('%.3f', l_tax)]) t FROM lineitem), c AS (SELECT CASE WHEN regexp_matches(t, '^[-(]?\\$?((0|[1-9][0-9]*)|[1-9][0-9]{0,2}(,[0-9]{3})+)\\.[0-9]{2}\\)?$') THEN CASE WHEN t[1] IN ('-', '(') THEN -1 ELSE 1 END * regexp_replace(t, '[^0-9]', '', 'g')::BIGINT END cents FROM t) SELECT cents, count(*) n FROM c WHERE cents IS NOT NULL GROUP BY cents",
+    "currency_cents": r"WITH t AS (SELECT unnest([printf('$%.2f', l_extendedprice), printf('(%.2f)', l_quantity), printf('%.3f', l_tax), printf('-%.2f', l_quantity), printf('(%.2f', l_quantity), printf('($%.2f)', l_extendedprice), '0' || printf('%.2f', l_quantity), format('{:,.2f}', l_extendedprice), printf('%.2f)', l_quantity), l_linenumber || ',' || printf('%.2f', l_quantity)]) t FROM lineitem), p AS (SELECT t[1] = '(' AND t[-1] = ')' neg, CASE WHEN t[1] = '(' AND t[-1] = ')' THEN t[2:-2] ELSE t END s FROM t), q AS (SELECT neg, CASE WHEN s[1] = '$' THEN s[2:] ELSE s END s FROM p), c AS (SELECT CASE WHEN neg THEN -1 ELSE 1 END * replace(replace(s, ',', ''), '.', '')::BIGINT cents FROM q WHERE regexp_full_match(s, '([0-9]+|[0-9]{1,3}(,[0-9]{3})+)[.][0-9]{2}') AND (s[1] <> '0' OR s[2] = '.')) SELECT cents, count(*) n FROM c GROUP BY cents",
     "canonical_numbers": "SELECT l_orderkey, l_linenumber, rtrim(rtrim(printf('%.2f', l_discount), '0'), '.') number FROM lineitem",
     "redact_url": "SELECT page_id, regexp_replace(url, '[?#].*$', '') redacted, 'GET ' || regexp_replace(url, '[?#].*$', '') || ' failed' message FROM pages",
     "kind_from_name": "WITH n AS (SELECT page_id, unnest([url, page_id || '.PDF?x=1', page_id || '.jpeg', page_id || '.docx#p']) AS name FROM pages), p AS (SELECT *, lower(regexp_replace(name, '[?#].*$', '')) q FROM n) SELECT page_id, name, CASE WHEN regexp_matches(q, '\\.pdf$') THEN 'pdf' WHEN regexp_matches(q, '\\.(pptx|ppsx)$') THEN 'pptx' WHEN regexp_matches(q, '\\.(docx|doc)$') THEN 'docx' WHEN regexp_matches(q, '\\.(png|jpg|jpeg|jpe|webp|tif|tiff|heic|heif|bmp)$') THEN 'image' END kind FROM p",
     "webhook_urls": "WITH u AS (SELECT page_id, unnest([url, regexp_replace(url, '^http:', 'https:'), 'https://10.0.0.1/x', 'https://u:p@h.example/x', 'https://a.localhost/']) url FROM pages), h AS (SELECT *, lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)', 1)) host FROM u) SELECT page_id, url, CASE WHEN NOT regexp_matches(url, '^https://') THEN 'url must use https' WHEN regexp_matches(url, '^https://[^/?#]*@') THEN 'url must not contain credentials' WHEN host = '' THEN 'url must have a hostname' WHEN regexp_matches(host, '^[0-9.]+$|^\\[') THEN 'url must not be an ip address' WHEN host = 'localhost' OR ends_with(host, '.localhost') THEN 'url must not be localhost' END error FROM h",
-    "checkbox_norm": "SELECT doc_id, regexp_replace(regexp_replace('☑ yes ☐ no ✔ ' || left(text, 20), '[☑☒✓✔✗✘]', '[x]', 'g'), '[☐□]', '[ ]', 'g') t, 'office file ' || left(text, 9) plain FROM documents",
-    "char_widths": "WITH c AS (SELECT doc_id, unnest(string_split(left(text, 200), '')) c FROM documents) SELECT doc_id, round(sum(CASE WHEN regexp_matches(c, '^[ .,:;''|!ilIjt]$') THEN 0.5 WHEN regexp_matches(c, '^[mwMW@%]$') THEN 1.1 WHEN regexp_matches(c, '^[A-Z0-9]$') THEN 1.0 ELSE 0.6 END::DOUBLE), 6) width FROM c GROUP BY doc_id",
+    "checkbox_norm": "SELECT doc_id, regexp_replace(regexp_replace('☑ yes ☐ no ✔ ' || text, '[☑☒✓✔✗✘]', '[x]', 'g'), '[☐□]', '[ ]', 'g') t, 'office file ' || text plain FROM documents",
+    "char_widths": "WITH c AS (SELECT doc_id, unnest(string_split(text, '')) c FROM documents) SELECT doc_id, round(sum(CASE WHEN regexp_matches(c, '^[ .,:;''|!ilIjt]$') THEN 0.5 WHEN regexp_matches(c, '^[mwMW@%]$') THEN 1.1 WHEN regexp_matches(c, '^[A-Z0-9]$') THEN 1.0 ELSE 0.6 END::DOUBLE), 6) width FROM c GROUP BY doc_id",
     "page_read_cache": "SELECT sha256(text) sha, count(*) n_docs, min(doc_id) first_doc FROM documents GROUP BY 1",
 }

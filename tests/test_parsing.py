@@ -16,6 +16,7 @@ def test_records():
 def test_text():
     assert is_table_text("a | b\n--- | ---\n1 | 2") and not is_table_text("a | b\n1 | 2")
     assert numeric_tokens("a1 12.5% 1,000.00, x-3 (7) 2024-01-02.") == ["12.5%", "1,000.00", "3", "7", "2024-01-02"]
+    assert numeric_tokens("5mg 10kg 3.5x HbA1c +7% 1/2, -") == ["5", "10", "3.5", "+7%", "1/2"]
     assert has_repeated_content("x " * 18) and not has_repeated_content("x " * 17)
     assert has_repeated_content("a b c " * 8) and not has_repeated_content("a b c " * 7)
     assert not has_repeated_content("| " * 100) and not has_repeated_content(None)
