@@ -208,51 +208,3 @@ def split_text(text: str, most: int) -> list[tuple[int, int]]:
         else:
             parts.append([a, b])
     return [(a, a + len(text[a:b].rstrip())) for a, b in parts]
-
-
-def segments(e: DataFrame, size: int = 1000) -> DataFrame:
-    """Size-banded segments: cut at pages and gaps, split at the widest gap while over 1.25 size, and merge
-    what is under 0.75 size with the neighbour that comes nearest to the size, first such pair first."""
-    most, least = round(1.25 * size), round(0.75 * size)
-
-    def build(rows):
-        groups: list[list[dict]] = []
-        units: list[dict] = []
-        for r in rows:
-            parts = split_text(r["text"], most) if len(r["text"]) > most and r["chunk_type"] == "text" else [(0, len(r["text"]))]
-            units += [r | {"text": r["text"][a:b], "part": k} for k, (a, b) in enumerate(parts)]
-        for u in units:
-            last = groups[-1][-1] if groups else None
-            if last is None or last["page_no"] != u["page_no"] or u["y0"] - last["y1"] >= 12:
-                groups.append([])
-            groups[-1].append(u)
-
-        def length(g):
-            texts = [u["text"] for u in g if u["text"]]
-            return sum(map(len, texts)) + 2 * max(0, len(texts) - 1)
-
-        fitted: list[list[dict]] = []
-        stack = list(reversed(groups))
-        while stack:
-            g = stack.pop()
-            if length(g) <= most or len(g) == 1:
-                fitted.append(g)
-                continue
-            k = max(range(1, len(g)), key=lambda i: (g[i]["y0"] - g[i - 1]["y1"], -i))
-            stack += [g[k:], g[:k]]
-        again = True
-        while again:
-            again = False
-            for i, g in enumerate(fitted):
-                if length(g) >= least:
-                    continue
-                near = [j for j in (i - 1, i + 1) if 0 <= j < len(fitted) and fitted[j][0]["page_no"] == g[0]["page_no"] and length(fitted[min(i, j)] + fitted[max(i, j)]) <= most]
-                if near:
-                    j = min(near, key=lambda j: (abs(length(fitted[min(i, j)] + fitted[max(i, j)]) - size), j))
-                    a, b = min(i, j), max(i, j)
-                    fitted[a : b + 1] = [fitted[a] + fitted[b]]
-                    again = True
-                    break
-        return [{"doc_id": g[0]["doc_id"], "seg_no": n, "page_no": g[0]["page_no"], "first_idx": g[0]["idx"], "last_idx": g[-1]["idx"], "content": "\n\n".join(u["text"] for u in g if u["text"])} for n, g in enumerate(fitted)]
-
-    return _per_document(e, build, "doc_id long, seg_no int, page_no int, first_idx int, last_idx int, content string")

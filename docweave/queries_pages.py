@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docweave.operators import pages as P
 from docweave.operators import parsing as R
+from docweave.operators import segmentation as S
 from docweave.plans.elements import elements
 from docweave.plans.elements import SQL as E
 
@@ -100,10 +101,14 @@ def context_batches(s, d):
 
 
 def segments(s, d):
-    return R.segments(elements(_t(s, d, "documents").select("doc_id", "text"))).selectExpr("doc_id", "seg_no", "page_no", "first_idx", "last_idx", "length(content) char_count")
+    return S.segments(elements(_t(s, d, "documents").select("doc_id", "text"))).selectExpr("doc_id", "seg_no", "pages", "size(members) n_members", "length(content) char_count")
 
 
-QUERIES = {f.__name__: f for f in (unusable_reasons, blank_row_runs, grid_widths, blank_tails, native_text_trust, coverage_grid, image_filter, consistency_risks, reread_decision, raster_zooms, logprob_stats, html_blocks, raw_records, repeated_content, numeric_tokens, webhook_signatures, context_batches, segments)}
+def segment_counters(s, d):
+    return S.segment_counters(S.segments(elements(_t(s, d, "documents").select("doc_id", "text"))))
+
+
+QUERIES = {f.__name__: f for f in (unusable_reasons, blank_row_runs, grid_widths, blank_tails, native_text_trust, coverage_grid, image_filter, consistency_risks, reread_decision, raster_zooms, logprob_stats, html_blocks, raw_records, repeated_content, numeric_tokens, webhook_signatures, context_batches, segments, segment_counters)}
 
 _L = "l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10)))))::INT idx FROM documents), l AS (SELECT doc_id, idx, CASE WHEN doc_id % 7 = 0 AND idx % 4 < 3 THEN '|  | |' WHEN doc_id % 5 = 0 AND idx % 6 = 5 THEN ' ' ELSE line END line FROM l0)"
 ORACLE_SQL = {
