@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("queries_layout", "queries_text", "queries_jobs", "queries_pages", "queries_lane")
+_MODULES = ("queries_layout", "queries_text", "queries_jobs", "queries_pages", "queries_lane", "queries_reads")
 
 
 def collect() -> tuple[dict, dict]:
