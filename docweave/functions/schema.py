@@ -6,15 +6,26 @@ SCALARS = ("string", "number", "integer", "boolean", "null")
 
 
 def resolved(node: dict, root: dict, seen: tuple[str, ...] = ()) -> dict:
-    """A node with local references followed and a null alternative dropped; a cycle ends in an empty node."""
+    """A node with local references followed, parts of allOf put together and a null alternative dropped.
+
+    Raises ValueError for a cycle and for references to other documents.
+    """
     while "$ref" in node:
         ref = node["$ref"]
         if ref in seen or not ref.startswith("#/"):
-            return {}
+            raise ValueError(f"{ref}: a cycle" if ref in seen else f"{ref}: not in this schema")
         seen, target = (*seen, ref), root
         for part in ref[2:].split("/"):
             target = target.get(part, {})
         node = target
+    if "allOf" in node:
+        whole = {k: v for k, v in node.items() if k != "allOf"}
+        for part in node["allOf"]:
+            part = resolved(part, root, seen)
+            fields = {**part.get("properties", {}), **whole.get("properties", {})}
+            order = [*whole.get("properties", {}), *(k for k in part.get("properties", {}) if k not in whole.get("properties", {}))]
+            whole = {**part, **whole, **({"properties": {k: fields[k] for k in order}} if fields else {})}
+        node = whole
     for key in ("anyOf", "oneOf"):
         real = [n for n in node.get(key, []) if n.get("type") != "null"]
         if len(real) == 1:
@@ -70,7 +81,8 @@ def leaf_values(value, path: str = "") -> list[tuple[str, object]]:
 
 
 def union_records(a: list[dict], b: list[dict]) -> list[dict]:
-    """Pair records by shared identity values, most shared first, then nearest place; fill nulls; append the rest of b."""
+    """Pair records by shared identity values, most shared first, then nearest place, then the last; records
+    without any pair by place among themselves; fill nulls; append the rest of b."""
     def identity(r: dict) -> set[str]:
         flat = ("".join(c for c in str(v).lower() if c.isalnum()) for _, v in leaf_values(r) if v is not None and not isinstance(v, bool))
         return {x for x in flat if len(x) >= 3}
@@ -87,12 +99,12 @@ def union_records(a: list[dict], b: list[dict]) -> list[dict]:
                 score[i, j] = score.get((i, j), 0) + 1
     pair: dict[int, int] = {}
     used: set[int] = set()
-    for (i, j), _ in sorted(score.items(), key=lambda x: (-x[1], abs(x[0][0] - x[0][1]), x[0])):
+    for (i, j), _ in sorted(score.items(), key=lambda x: (x[1], -abs(x[0][0] - x[0][1]), x[0]), reverse=True):
         if i not in used and j not in pair:
             pair[j] = i
             used.add(i)
     for j in range(len(b)):
-        if j not in pair and not ib[j] and j < len(a) and j not in used:
+        if j not in pair and not ib[j] and j < len(a) and j not in used and not ia[j]:
             pair[j] = j
             used.add(j)
     back = {i: j for j, i in pair.items()}

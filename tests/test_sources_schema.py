@@ -2,6 +2,8 @@ import io
 import json
 import zipfile
 
+import pytest
+
 from docweave.functions import schema as S
 from docweave.operators.assembly import assemble_tables
 from docweave.sources import documents as D
@@ -40,7 +42,10 @@ def test_schema():
     schema = {"$defs": {"T": {"type": "object", "properties": {"q": {"type": "number"}, "u": {"anyOf": [{"type": "string"}, {"type": "null"}]}}}}, "type": "object", "properties": {"a": {"type": ["string", "null"]}, "l": {"type": "array", "items": {"$ref": "#/$defs/T"}}, "z": {"type": "object", "properties": {"k": {"type": "integer"}}}}}
     assert S.leaves(schema) == [("a", "string", False), ("l[].q", "number", True), ("l[].u", "string", True), ("z.k", "integer", False)]
     assert S.groups(schema, 2) == [["a"], ["l"], ["z"]] and S.groups(schema, 3) == [["a", "l"], ["z"]]
-    assert S.resolved({"$ref": "#/a"}, {"a": {"$ref": "#/a"}}) == {}
+    with pytest.raises(ValueError):
+        S.resolved({"$ref": "#/a"}, {"a": {"$ref": "#/a"}})
+    assert S.leaves({"type": "object", "properties": {"a": {"allOf": [{"type": "object", "properties": {"x": {"type": "string"}}}, {"properties": {"y": {"type": "integer"}}}]}}}) == [("a.x", "string", False), ("a.y", "integer", False)]
+    assert S.union_records([{"n": 1}, {"n": "abcd"}], [{"n": None}, {"n": 2}]) == [{"n": 1}, {"n": "abcd"}, {"n": 2}]
     assert S.merged({"a": None, "b": [1]}, {"a": 2, "b": [1, 3], "c": 4}) == {"a": 2, "b": [1, 3], "c": 4}
     assert S.leaf_values({"a": [{"b": 1}]}) == [("a[0].b", 1)]
     got = S.union_records([{"id": "abc1", "x": None}, {"id": "zzz9", "x": 2}], [{"id": "ZZZ-9", "x": 5}, {"id": "abc1", "x": 7}, {"id": "new4"}])
