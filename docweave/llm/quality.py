@@ -168,14 +168,17 @@ def verdict(rules: list[Rule]) -> Column:
 def quality_verdicts(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row per row of docs: the statistics, base_failed, and kept by the learned list.
 
-    The list is fitted on at most `sample` labelled rows, those of least hash of the id (a
-    documented bound; the list itself covers all rows). Rows without a label, null labels and no
+    The list is fitted on at most `sample` labelled rows of least hash of the id among about twice as many
+    (a documented bound, also of what the driver receives; the list itself covers all rows). Rows without a label, null labels and no
     labels at all are no examples; without examples the list is empty and keeps what the base keeps.
     Null and empty texts fail the base. Equal rows get equal verdicts; no rows give no rows.
     """
     stats = keep(text_statistics(docs, id_col, text_col), "statistics")
     told = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).alias("_y")).where("_id is not null and _y is not null").dropDuplicates(["_id"])
-    drawn = stats.join(told, stats["doc_id"] == told["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    labelled = stats.join(told, stats["doc_id"] == told["_id"]).select("_id", "_y", *FEATURES)
+    # a cut-off on the hash that leaves about twice the sample comes first, so that a partition sends few rows
+    share = min(1.0, (2 * sample + 100) / max(1, labelled.count()))
+    drawn = labelled.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("_id"), "_id", *FEATURES).limit(sample)
     rows = drawn.select(F.pmod(F.crc32(F.col("_id").cast("string")), F.lit(3)).alias("fold"), "_y", *FEATURES).collect()
     x = np.array([[float(r[f]) for f in FEATURES] for r in rows]).reshape(len(rows), len(FEATURES))
     rules = learn_rules(x, np.array([r["_y"] == 0 for r in rows], bool), np.array([r["fold"] == 0 for r in rows], bool))
