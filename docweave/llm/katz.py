@@ -164,15 +164,24 @@ class Model:
     hot: np.ndarray  # sorted numbers of first words whose pairs are spread
     discount: np.ndarray | None = None
     alpha: np.ndarray | None = None  # of `hot`
+    whole: np.ndarray | None = None  # what divides the counts of pairs of `hot`
 
-    def weights(self, context: np.ndarray, kinds: np.ndarray, mass: np.ndarray) -> np.ndarray:
-        """alpha of first words: their training count, seen pairs of count 1..CUTOFF, counts of the words seen after them."""
+    def weights(self, context: np.ndarray, kinds: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """alpha of first words and what divides their pairs' discounted counts, from their training count, seen
+        pairs of count 1..CUTOFF, and counts of the words seen after them.
+
+        Where no pair is discounted one count is added to the context and left to words not seen after it.
+        So the discounted counts and the backoff of any context add up to one: the class of words
+        never seen has a share in the unigrams, and some of it is always left (but with `vocabulary`, whose
+        class of other words can have been seen after a context: then nothing may be left to back off to).
+        """
         lost = kinds @ ((1 - self.discount[1:]) * np.arange(1, CUTOFF + 1))
+        none = lost <= 0
+        whole = np.maximum(context, 1) + none
         rest = (self.total + self.unseen - mass) / (self.total + self.unseen)
-        # if a context was followed by every word there is nothing to back off to; it keeps its discounts
-        some = (rest > 1e-12) & (lost > 0)
-        alpha = np.where(some, lost / np.maximum(context, 1) / np.where(some, rest, 1.0), 1e-12)
-        return np.where(context > 0, alpha, 1.0)
+        some = rest > 1e-12
+        alpha = np.where(some, np.where(none, 1.0, lost) / whole / np.where(some, rest, 1.0), 1e-12)
+        return np.where(context > 0, alpha, 1.0), np.where(some, whole, np.maximum(context, 1))
 
 
 @dataclass
@@ -308,7 +317,7 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, vocabulary: int
     added = {r["c"]: r for r in zipped.groupBy("x.c").agg(*(F.sum(F.expr(f"x.k[{i}]")).alias(f"k{i}") for i in range(k))).collect()}  # as many as `hot` at most
     parts = np.array([[added[h][f"k{i}"] if h in added else 0 for i in range(k)] for h in model.hot.tolist()], np.int64).reshape(-1, k)
     of_hot = {r["words"]: r["counts"] for r in words} | {0: other}
-    model.alpha = model.weights(np.array([of_hot[h] for h in model.hot.tolist()], np.int64), parts[:, :CUTOFF], parts[:, CUTOFF])
+    model.alpha, model.whole = model.weights(np.array([of_hot[h] for h in model.hot.tolist()], np.int64), parts[:, :CUTOFF], parts[:, CUTOFF])
 
     def score(batches):
         for batch in batches:
@@ -318,12 +327,14 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, vocabulary: int
                 cuts = [8 + int.from_bytes(x[:8], "little") for x in blobs]
                 c2 = np.concatenate([_unpack(x[8:c])[0] for x, c in zip(blobs, cuts, strict=True)]).astype(np.int64)
                 *kinds, mass = (np.concatenate(x).astype(np.int64) for x in zip(*(_unpack(x[c:]) for x, c in zip(blobs, cuts, strict=True)), strict=True))
-                alpha = model.weights(p.context[p.runs], np.stack(kinds, 1), mass)
+                alpha, whole = model.weights(p.context[p.runs], np.stack(kinds, 1), mass)
                 first = p.first[p.runs]
                 spread = np.isin(first, model.hot)
-                alpha[spread] = model.alpha[np.searchsorted(model.hot, first[spread])]
-                alpha = np.repeat(alpha, np.diff(p.runs, append=len(p.first)))
-                direct = model.discount[np.where(c2 <= CUTOFF, c2, 0)] * c2 / np.maximum(p.context, 1)
+                place = np.searchsorted(model.hot, first[spread])
+                alpha[spread], whole[spread] = model.alpha[place], model.whole[place]
+                n = np.diff(p.runs, append=len(p.first))
+                alpha, whole = np.repeat(alpha, n), np.repeat(whole, n)
+                direct = model.discount[np.where(c2 <= CUTOFF, c2, 0)] * c2 / whole
                 backed = alpha * p.second_of / (model.total + model.unseen)
                 logp = np.log10(np.where(c2 > 0, direct, backed))[p.at]
                 base = np.log10(p.count + 1) - math.log10(model.total + model.types + 1)

@@ -27,9 +27,14 @@ def brute(rows, vocabulary):
     for (h, _), n in pairs.items():
         context[h] += n
 
+    few, mass = {h for (h, _), n in pairs.items() if n <= CUTOFF}, Counter()
+    for h, w in pairs:
+        mass[h] += uni[w]
+
     def seen(h, w):
         n = pairs[h, w]
-        return (disc[n] if n <= CUTOFF else 1) * n / context[h]
+        # a context without discounted pairs has one count more, which it leaves to other words
+        return (disc[n] if n <= CUTOFF else 1) * n / (context[h] + (h not in few and 1 - mass[h] > 1e-12))
 
     for h in context:
         mine = [w for g, w in pairs if g == h]
@@ -95,3 +100,13 @@ def test_more_words_than_65536(spark):
     got = {r.doc_id: r.score for r in score_texts(docs).collect()}
     for d, t in train[:20] + held:
         assert math.isclose(got[d], sum(map(logp, [None, *t], [*t, None])), rel_tol=1e-9), d
+
+
+def test_contexts_without_rare_pairs(spark):
+    """Where all pairs of a word are frequent, words not seen after it still have a share."""
+    is_out = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    train = [(d, "a b") for d in range(100) if not is_out(d)][:20] + [(1000 + i, f"c{i}") for i in range(30) if not is_out(1000 + i)]
+    held = [next(d for d in range(2000, 3000) if is_out(d))]
+    got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame(train + [(held[0], "a a")], "doc_id long, text string")).collect()}
+    want = {d: s for d, *_, s in brute(train + [(held[0], "a a")], 1 << 16)}
+    assert math.isfinite(got[held[0]]) and all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in got)
