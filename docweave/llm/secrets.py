@@ -209,7 +209,7 @@ def digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in kinds]
-    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def spans_sha256(spans: list[tuple[int, int, str]]) -> str:

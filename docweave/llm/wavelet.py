@@ -172,7 +172,10 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, bits: int =
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = np.frombuffer(encoder.ids(text.as_py()) + end, "<u4").astype(kind)
+                tokens = np.frombuffer(encoder.ids(text.as_py()) + end, "<u4")
+                if int(tokens.max()) >> bits:
+                    raise ValueError(f"token id {tokens.max()} doesn't fit into {bits} bits")
+                tokens = tokens.astype(kind)
                 ids.append(doc)
                 lengths.append(len(tokens))
                 held.append(tokens)

@@ -38,3 +38,5 @@ def test_shards(spark):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert read_token_shards(write_token_shards(docs.limit(0), path, 2)).count() == 0
+    with pytest.raises(Exception, match="doesn't fit into 8 bits"):
+        write_token_shards(docs, path, 2, bits=8)
