@@ -250,7 +250,7 @@ def context_lines(e: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("page_no", "idx")
     full = e.where(F.trim("text") != "").withColumn("i", F.row_number().over(order) - 1)
     head = F.concat(F.lit("["), F.col("i").cast("string"), F.lit(" | page "), F.col("page_no").cast("string"), F.when(F.col("chunk_type") == "table", " | table]").otherwise("]"))
-    return full.select("doc_id", "idx", F.concat(head, F.when(F.col("text").contains("\n"), "\n").otherwise(" "), F.col("text")).alias("line"))
+    return full.select("doc_id", "page_no", "idx", F.concat(head, F.when(F.col("text").contains("\n"), "\n").otherwise(" "), F.col("text")).alias("line"))
 
 
 def high_stakes(path: Column, suffixes: tuple[str, ...]) -> Column:

@@ -48,6 +48,9 @@ class Element:
     box: Box | None = None
     cells: tuple[Cell, ...] = ()
     part: tuple[str, int, int, int, int] | None = None  # kind, number, count, first, last (rows, or characters)
+    confidence: float | None = None
+    pages: tuple[int, ...] = ()  # of a table that was put together
+    form: str | None = None  # cell_grid or markdown: how exact its cells' boxes are
 
     @property
     def shown(self) -> str:

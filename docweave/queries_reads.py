@@ -125,7 +125,7 @@ ORACLE_SQL = {
     "structure_gaps": f"WITH x AS (SELECT doc_id, {_RAW} raw FROM documents), y AS (SELECT doc_id, raw, raw || repeat('|', (doc_id % 17)::INT) o FROM x), z AS (SELECT doc_id, coalesce(list_max(list_transform(regexp_extract_all(coalesce(raw, ''), '(\\|[ \\t]*)+'), lambda t: {_P.format('t')})), 0) a, coalesce(list_max(list_transform(regexp_extract_all(coalesce(o, ''), '(\\|[ \\t]*)+'), lambda t: {_P.format('t')})), 0) b FROM y) SELECT doc_id, doc_id % 11 > 8 OR abs(a - b) >= 8 AS differ FROM z",
     "second_sources": "SELECT event_id, event_id % 9 = 0 OR user_id % 4 = 0 OR event_id % 5 >= 3 needed FROM events",
     "layer_matches": "WITH d AS (SELECT doc_id id, string_split(text, ' ') b, doc_id % 3 = 0 cut FROM documents), s AS (SELECT id, CASE WHEN cut THEN b[1:greatest(1, len(b) - 2)] ELSE b END a, b FROM d), t AS (SELECT id, unnest(a) AS token, 1 na, 0 nb FROM s UNION ALL SELECT id, unnest(b), 0, 1 FROM s), c AS (SELECT id, token, sum(na) na, sum(nb) nb FROM t GROUP BY ALL) SELECT id, 2 * sum(least(na, nb)) >= 0.8 * sum(na + nb) AND coalesce(sum(na) FILTER (regexp_matches(token, '[0-9]')), 0) >= coalesce(sum(nb) FILTER (regexp_matches(token, '[0-9]')), 0) matches FROM c GROUP BY id",
-    "context_lines": f"WITH {E}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, idx) - 1 i FROM e WHERE trim(text) <> '') SELECT doc_id, idx, '[' || i || ' | page ' || page_no || CASE WHEN chunk_type = 'table' THEN ' | table] ' ELSE '] ' END || text AS line FROM f",
+    "context_lines": f"WITH {E}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, idx) - 1 i FROM e WHERE trim(text) <> '') SELECT doc_id, page_no, idx, '[' || i || ' | page ' || page_no || CASE WHEN chunk_type = 'table' THEN ' | table] ' ELSE '] ' END || text AS line FROM f",
     "high_stakes_fields": "SELECT event_id, event_id % 4 IN (0, 1) high FROM events",
     "restored_answers": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"rows": [{"quantity": ' || event_id || ', "part": null}], "name": null, "more": {"x": null}}' WHEN 1 THEN '{"name": "n' || event_id || '", "more": {"x": null}, "rows": []}' END restored FROM events""",
     "layer_amounts": "WITH x AS (SELECT l_orderkey page_id, l_linenumber n, round(l_extendedprice * 100)::BIGINT cents FROM lineitem), s AS (SELECT page_id, n FROM x WHERE n % 4 = 0), p AS (SELECT s.page_id, s.n sign, x.n, row_number() OVER (PARTITION BY s.page_id, s.n ORDER BY x.n DESC) k FROM s JOIN x ON x.page_id = s.page_id AND abs((x.n % 3) - (s.n % 3)) * 14 < 12 AND x.n * 60 + 40 < s.n * 60 + 42) SELECT page_id, n * 10 word_id, cents FROM x WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.page_id = x.page_id AND p.n = x.n AND k = 1)",

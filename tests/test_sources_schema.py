@@ -5,7 +5,6 @@ import zipfile
 import pytest
 
 from docweave.functions import schema as S
-from docweave.operators.assembly import assemble_tables
 from docweave.sources import documents as D
 from pyspark.sql import functions as F
 
@@ -50,11 +49,3 @@ def test_schema():
     assert S.leaf_values({"a": [{"b": 1}]}) == [("a[0].b", 1)]
     got = S.union_records([{"id": "abc1", "x": None}, {"id": "zzz9", "x": 2}], [{"id": "ZZZ-9", "x": 5}, {"id": "abc1", "x": 7}, {"id": "new4"}])
     assert got == [{"id": "abc1", "x": 7}, {"id": "zzz9", "x": 2}, {"id": "new4"}]
-
-
-def test_assembly(spark):
-    head = ["h", "k"]
-    rows = [(1, p, 0, 50.0, 30.0 if p > 1 else 400.0, 550.0, 780.0, [head, [f"r{p}", "v"]]) for p in (1, 2, 3)] + [(2, 1, 0, 50.0, 30.0, 550.0, 500.0, [head]), (2, 2, 0, 50.0, 30.0, 550.0, 500.0, [head])]
-    frame = spark.createDataFrame(rows, "doc_id long, page_no int, idx int, x0 double, y0 double, x1 double, y1 double, rows array<array<string>>")
-    got = {(r.doc_id, r.page_no): (list(r.pages), r.n_rows) for r in assemble_tables(frame).collect()}
-    assert got == {(1, 1): ([1, 2, 3], 4), (2, 1): ([1], 1), (2, 2): ([2], 1)}
