@@ -39,10 +39,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-@contextmanager
 def skew_split(spark: SparkSession, size: str = "4m"):
     """While a table is written: partitions of a join that are five times the median and over `size` are split."""
-    now = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": size, "spark.sql.adaptive.advisoryPartitionSizeInBytes": size}
+    return settings(spark, {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": size, "spark.sql.adaptive.advisoryPartitionSizeInBytes": size})
+
+
+@contextmanager
+def settings(spark: SparkSession, now: dict[str, str]):
+    """The session's settings for a while; then what they were."""
     before = {k: spark.conf.get(k, None) for k in now}
     for k, v in now.items():
         spark.conf.set(k, v)
@@ -64,10 +68,12 @@ def row_type(df: DataFrame, *more: tuple[str, DataType]) -> StructType:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later steps survive a lost executor and don't repeat the work."""
+    """Write df as a table in the shared folder and read it back: later steps survive a lost executor and don't
+    repeat the work. Shuffle files of the writing go when it has ended."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/docweave-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
     if not _made:
         atexit.register(_clear)
     kept = spark.read.schema(df.schema).parquet(path)

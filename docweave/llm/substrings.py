@@ -182,7 +182,7 @@ def repeated_passages(docs: DataFrame, length: int = 50, phrase: int = 16, id_co
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     survey = keep(_survey(docs, length, phrase), "survey")
     contents = survey.where("doc_id is not null").groupBy("c1", "c2", "n_words").agg(F.min("doc_id").alias("stands"))
-    rows = survey.select("doc_id", "c1", "c2", "n_words", "sha").join(contents, ["c1", "c2", "n_words"], "left")
+    rows = keep(survey.select("doc_id", "c1", "c2", "n_words", "sha").join(contents, ["c1", "c2", "n_words"], "left"), "documents")
     # one content, one document: its smallest id
     firsts = survey.join(contents.select("c1", "c2", F.col("stands").alias("doc_id")), ["c1", "c2", "doc_id"], "left_semi").where(F.size("named") > 0)
     names = firsts.select("doc_id", F.explode("named").alias("x")).select("doc_id", "x.gram", "x.print")
@@ -204,11 +204,11 @@ def repeated_passages(docs: DataFrame, length: int = 50, phrase: int = 16, id_co
     streams = dealt(compiled_for, 0, **{"print": F.col("print")}).union(dealt(routed, 1, doc_id=F.col("doc_id"), text=F.col("text"), carry=F.col("shard") == F.col("own")))
     streams = streams.repartition(max(shards * splits, 8), "part").sortWithinPartitions("part", "kind")
     found = keep(_locate(streams, length, phrase).where("size(at) > 0 or words is not null"), "occurrences")
+    drop(survey, passages)
     candidates = found.where("size(at) > 0").select("doc_id", "c1", F.explode(F.arrays_zip("at", "w1", "w2")).alias("x")).select("doc_id", "c1", "x.at", "x.w1", "x.w2")
     first = candidates.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     with skew_split(spark):
         gone = keep(candidates.join(first, ["w1", "w2"]).where("first < doc_id").groupBy("doc_id", "c1").agg(F.collect_list("at").alias("at")), "repeated")
-    drop(passages)
     cut = _cut(found.where("words is not null").select("doc_id", "c1", "words").join(gone, ["doc_id", "c1"]), length).dropDuplicates(["doc_id", "c1"])
     copy = (F.col("stands") < F.col("doc_id")) & (F.col("n_words") >= length)
     empty = hashlib.sha256(b"").hexdigest()
