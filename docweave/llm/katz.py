@@ -1,15 +1,16 @@
-"""Katz backoff language model: Good-Turing discounts, exactly normalised backoff weights.
-
-Counting and lookup are one exchange per n-gram order. Blocks of documents send their distinct keys,
-packed, to the tables' partitions; a partition adds up the training counts of all blocks, keeps its
-part of the table, and answers every block with what it asked for: counts and numbers of words, then
-counts of pairs and what the backoff weights of their first words are made of. Text moves once into
-compact blocks and tables never move to one machine.
-
-Every word of the training rows is itself; one class stands for words never seen, with Good-Turing's
-share of unseen words. P(w|h) is d(c) c(hw)/c(h) where the pair was seen in training, else
-alpha(h) P(w); the alphas make each P(.|h) add up to one. Only first words of over a thousandth of
-all pairs, whose pairs are spread over partitions, have their weights added up on the driver.
+"""Katz backoff language model of order three: Good-Turing discounts, exactly normalised backoff weights.
+
+Counting and lookup are one exchange per order. Blocks of documents send their distinct n-grams, packed, to the
+partition of the n-gram's context. There the training counts of all blocks are added up, that part of the count
+table is made, and every block is told what it asked for: counts, and what the backoff weights of its contexts
+are made of. Text moves in compact blocks and
+tables never move to one machine.
+
+Every word of the training rows is itself; one class stands for words never seen, with Good-Turing's share of
+unseen words. P(w|uv) is d(c) c(uvw)/c(uv) where the triple was seen in training, else alpha(uv) P(w|v); P(w|v)
+is the same of pairs, with the unigrams P(w) below it. The alphas make each P(.|uv) and P(.|v) add up to one. A
+text's first word has one word before it, the end of a text. Contexts of over a thousandth of all tokens are
+spread over partitions; only for these are parts added up on the driver.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm._store import keep, small_batches
+from docweave.llm._store import drop, keep, small_batches
 from docweave.llm._text import mix, runs
 
 END_HASH = int(mix(np.array([0xE4D], np.uint64))[0])
@@ -63,6 +64,8 @@ def held_out(doc_id: int | None, folds: int, fold: int) -> bool:
 def _requests(block: int, bucket: np.ndarray, pack) -> list[tuple]:
     """One row per run of a bucket, with what pack(first, past last) makes of it."""
     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+    if not len(edges):
+        return []
     return [(block, int(bucket[a]), pack(a, b)) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True)]
 
 
@@ -153,101 +156,215 @@ def discounts(n: dict[int, int]) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    """What every block needs: its size doesn't depend on the corpus."""
+class Hot:
+    """Contexts that are spread over partitions, under a thousand: sorted, with their numbers of n-grams of count
+    1..CUTOFF and parts of the lower order's counts."""
 
-    total: int  # training tokens
-    types: int  # training words
-    unseen: int  # Good-Turing's count of all words never seen
-    other: int  # training tokens of words outside `kept`
-    kept: np.ndarray | None  # sorted numbers of the words that are themselves; None: all
-    hot: np.ndarray  # sorted numbers of first words whose pairs are spread
-    discount: np.ndarray | None = None
-    alpha: np.ndarray | None = None  # of `hot`
-    whole: np.ndarray | None = None  # what divides the counts of pairs of `hot`
-
-    def weights(self, context: np.ndarray, kinds: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """alpha of first words and what divides their pairs' discounted counts, from their training count, seen
-        pairs of count 1..CUTOFF, and counts of the words seen after them.
-
-        Where no pair is discounted one count is added to the context and left to words not seen after it.
-        So the discounted counts and the backoff of any context add up to one: the class of words
-        never seen has a share in the unigrams, and some of it is always left (but with `vocabulary`, whose
-        class of other words can have been seen after a context: then nothing may be left to back off to).
-        """
-        lost = kinds @ ((1 - self.discount[1:]) * np.arange(1, CUTOFF + 1))
-        none = lost <= 0
-        whole = np.maximum(context, 1) + none
-        rest = (self.total + self.unseen - mass) / (self.total + self.unseen)
-        some = rest > 1e-12
-        alpha = np.where(some, np.where(none, 1.0, lost) / whole / np.where(some, rest, 1.0), 1e-12)
-        return np.where(context > 0, alpha, 1.0), np.where(some, whole, np.maximum(context, 1))
+    contexts: np.ndarray
+    sums: np.ndarray | None = None
+
+    def whole(self, context: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Sums of contexts, those of hot ones over all partitions."""
+        at = np.isin(context, self.contexts)
+        sums[at] = self.sums[np.searchsorted(self.contexts, context[at])]
+        return sums
+
+
+def lower_parts(c: np.ndarray, split: bool) -> list[np.ndarray]:
+    """Counts of the lower order in parts that stay whole numbers when added up: those that are discounted by count, and the rest."""
+    return [*((c == r).astype(np.int64) for r in range(1, CUTOFF + 1)), np.where(c > CUTOFF, c, 0)] if split else [c]
+
+
+def lower_mass(parts: np.ndarray, discount: np.ndarray) -> np.ndarray:
+    """The discounted counts that sums of such parts come to."""
+    return parts[:, 0] if parts.shape[1] == 1 else parts[:, :CUTOFF] @ (discount[1:] * np.arange(1, CUTOFF + 1)) + parts[:, CUTOFF]
+
+
+def backoff(context: np.ndarray, kinds: np.ndarray, share: np.ndarray, discount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """alpha of contexts and what divides their n-grams' discounted counts, from their training count, their
+    n-grams of count 1..CUTOFF, and the share that the lower order gives to all words seen after them.
+
+    Where no n-gram is discounted one count is added to the context and left to words not seen after it. So a
+    context's discounted counts and its backoff add up to one: the class of words never seen has a
+    share in every lower order, and some of it is always left. Contexts never seen leave all to the lower order.
+    """
+    lost = kinds @ ((1 - discount[1:]) * np.arange(1, CUTOFF + 1))
+    none = lost <= 0
+    whole = np.maximum(context, 1) + none
+    alpha = np.where(none, 1.0, lost) / whole / np.maximum(1 - share, 1e-15)
+    return np.where(context > 0, alpha, 1.0), whole
 
 
 @dataclass
-class Pairs:
-    """A block's documents, tokens and distinct pairs; pairs lie in order of bucket, first and second word."""
-
-    ids: list
-    n: np.ndarray
-    starts: np.ndarray
-    count: np.ndarray  # training count of each token's word
-    at: np.ndarray  # pair of each token
+class Level:
+    """Distinct n-grams of a block in order of bucket, context and word."""
+
+    at: np.ndarray  # n-gram of each position
+    where: np.ndarray  # a position of each n-gram
     bucket: np.ndarray
-    first: np.ndarray
-    second: np.ndarray
-    context: np.ndarray  # training count of a pair's first word
-    second_of: np.ndarray
-    runs: np.ndarray  # first pair of each run of one bucket and first word
-
-
-def _pairs(body: bytes, answers, model: Model, bits: int) -> Pairs:
-    doc, null, n, local = _unpack(body)
-    n = n.astype(np.int64)
-    ids = [None if z else d for d, z in zip(doc.view(np.int64).tolist(), null.tolist(), strict=True)]
-    counts, word = _told(answers)
-    if model.kept is not None:
-        word = np.where(np.isin(word, model.kept), word, 0)
-    count, token = counts[local], word[local]
-    as_first = np.where(token == 0, model.other, count)
-    of = np.where(token == 0, model.other + model.unseen, count)
-    starts = np.cumsum(n) - n
-    # a document's first token follows the end of a text, which is every document's last token
-    before, context = np.empty_like(token), np.empty_like(count)
-    before[1:], context[1:] = token[:-1], as_first[:-1]
-    before[starts], context[starts] = token[n[0] - 1], as_first[n[0] - 1]
-    pair, where, at = np.unique(before.astype(np.uint64) << np.uint64(32) | token.astype(np.uint64), return_index=True, return_inverse=True)
-    first, second = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    bucket = _pair_bucket(first, second, bits, model.hot)
+    context: np.ndarray
+    word: np.ndarray
+    runs: np.ndarray  # first n-gram of each run of one bucket and context
+
+    def asks(self, block: int, seen: np.ndarray, lower: np.ndarray) -> list[tuple]:
+        """Rows for the table: contexts, how many words of each, the words, training counts here, counts of the lower order."""
+
+        def pack(a, b):
+            run = self.runs[np.searchsorted(self.runs, a) : np.searchsorted(self.runs, b)]
+            return _pack(self.context[run], np.diff(run, append=b), self.word[a:b], seen[a:b], lower[a:b])
+
+        return _requests(block, self.bucket, pack)
+
+    def spread(self, of_runs: np.ndarray) -> np.ndarray:
+        return np.repeat(of_runs, np.diff(self.runs, append=len(self.context)))
+
+
+def _bucket(context: np.ndarray, word: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
+    """By context; the n-grams of a hot one are spread by their word."""
+    salt = np.where(np.isin(context, hot), word % 64 + 1, 0)
+    return (mix((context * 131 + salt).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _level(context: np.ndarray, word: np.ndarray, bits: int, hot: np.ndarray) -> Level:
+    own, local = np.unique(context, return_inverse=True)
+    gram, where, at = np.unique(local.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64), return_index=True, return_inverse=True)
+    context, word = own[(gram >> np.uint64(32)).astype(np.int64)], (gram & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    bucket = _bucket(context, word, bits, hot)
     order = np.argsort(bucket, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    bucket, first, second, where = bucket[order], first[order], second[order], where[order]
-    edges = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(first, prepend=-1) != 0))
-    return Pairs(ids, n, starts, count, place[at], bucket, first, second, context[where], of[where], edges)
+    bucket, context, word = bucket[order], context[order], word[order]
+    runs = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(context, prepend=-1) != 0))
+    return Level(place[at], where[order], bucket, context, word, runs)
+
+
+def _table(split: bool, hot: np.ndarray, often_over: float):
+    """The part of a count table that one partition makes, and its answers. split: whether the lower order's counts
+    are discounted. Pairs of counts over often_over are reported: they are hot contexts of triples."""
+
+    def table(_bucket_no, asks):
+        contexts, local = np.unique(np.concatenate([np.repeat(a[0].astype(np.int64), a[1]) for a in asks]), return_inverse=True)
+        gram, where, at = np.unique(local.astype(np.uint64) << np.uint64(32) | np.concatenate([a[2] for a in asks]).astype(np.uint64), return_index=True, return_inverse=True)
+        c = np.bincount(at, weights=np.concatenate([a[3] for a in asks]), minlength=len(gram)).astype(np.int64)
+        lower = np.concatenate([a[4].astype(np.int64) for a in asks])[where]
+        whose = (gram >> np.uint64(32)).astype(np.int64)
+        sums = [np.bincount(whose[c == r], minlength=len(contexts)) for r in range(1, CUTOFF + 1)]
+        sums += [np.bincount(whose[c > 0], weights=x, minlength=len(contexts)).astype(np.int64) for x in lower_parts(lower[c > 0], split)]
+        often = contexts[whose[c > often_over]] << 32 | (gram & np.uint64(0xFFFFFFFF)).astype(np.int64)[c > often_over]
+        told, cut = [], np.cumsum([0] + [len(a[2]) for a in asks])
+        for k, a in enumerate(asks):
+            mine = at[cut[k] : cut[k + 1]]
+            of = np.searchsorted(contexts, a[0].astype(np.int64))
+            x, y = _pack(c[mine]), _pack(*(t[of] for t in sums))
+            told.append(len(x).to_bytes(8, "little") + x + y)
+        parts = np.flatnonzero(np.isin(contexts, hot))
+        return told, {"kinds": [int((c == r).sum()) for r in range(1, CUTOFF + 2)], "often": often.tolist(), "context": contexts[parts].tolist(), "parts": np.stack(sums, 1)[parts].reshape(-1).tolist()}
+
+    return table
+
+
+_EXTRA = "kinds array<long>, often array<long>, context array<long>, parts array<long>"
+
+
+def _summary(told: DataFrame, hot: np.ndarray, split: bool) -> tuple[np.ndarray, Hot, np.ndarray]:
+    """Discounts, sums over the parts of hot contexts, and the numbers of frequent n-grams: all of bounded size."""
+    sums, k = told.where("block is null"), CUTOFF + (CUTOFF + 1 if split else 1)
+    d = discounts({r + 1: int(x or 0) for r, x in enumerate(sums.agg(*(F.sum(F.col("kinds")[i]) for i in range(CUTOFF + 1))).first())})
+    often = np.sort(np.array([int(r[0]) for r in sums.select(F.explode("often")).collect()], np.int64))
+    each = sums.where("size(context) > 0").select(F.explode(F.expr(f"transform(sequence(0, size(context) - 1), i -> struct(context[i] as c, slice(parts, i * {k} + 1, {k}) as k))")).alias("x"))
+    added = {int(r["c"]): r for r in each.groupBy("x.c").agg(*(F.sum(F.expr(f"x.k[{i}]")).alias(f"k{i}") for i in range(k))).collect()}
+    parts = np.array([[added[h][f"k{i}"] if h in added else 0.0 for i in range(k)] for h in hot.tolist()]).reshape(-1, k)
+    return d, Hot(hot, parts), often
 
 
-def _pair_bucket(first: np.ndarray, second: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
-    """By first word; the pairs of a frequent first word are spread by the second."""
-    salt = np.where(np.isin(first, hot), second % 64 + 1, 0)
-    return (mix((first * 131 + salt).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+def _heard(answers) -> tuple[np.ndarray, np.ndarray]:
+    """What a block was told: the count of each n-gram, the sums of each run."""
+    blobs = [x["told"] for x in answers or []]
+    cuts = [8 + int.from_bytes(x[:8], "little") for x in blobs]
+    counts = np.concatenate([_unpack(b[8:c])[0] for b, c in zip(blobs, cuts, strict=True)]).astype(np.int64)
+    sums = [np.concatenate(x).astype(float) for x in zip(*(_unpack(b[c:]) for b, c in zip(blobs, cuts, strict=True)), strict=True)]
+    return counts, np.stack(sums, 1)
 
 
-def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, vocabulary: int | None = None, block_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@dataclass
+class Model:
+    """What every block needs: its size doesn't depend on the corpus."""
+
+    total: int  # training tokens
+    types: int  # training words
+    unseen: int  # Good-Turing's count of all words never seen
+    hot: list[Hot]  # by order of the context
+    discount: list[np.ndarray]  # of pairs, of triples
+
+
+class Block:
+    """Documents, tokens, and the levels that have been answered so far."""
+
+    def __init__(self, body: bytes, uni, model: Model, bits: tuple[int, int]):
+        doc, null, n, local = _unpack(body)
+        self.model, self.bits, self.n = model, bits, n.astype(np.int64)
+        self.ids = [None if z else d for d, z in zip(doc.view(np.int64).tolist(), null.tolist(), strict=True)]
+        counts, word = _told(uni)
+        self.count, self.word = counts[local], word[local]
+        self.starts = np.cumsum(self.n) - self.n
+        # a document's first token follows the end of a text, which is every document's last token
+        before, self.before_count = np.empty_like(self.word), np.empty_like(self.count)
+        before[1:], self.before_count[1:] = self.word[:-1], self.count[:-1]
+        end = self.n[0] - 1
+        before[self.starts], self.before_count[self.starts] = self.word[end], self.count[end]
+        self.pairs = _level(before, self.word, bits[0], model.hot[0].contexts)
+        self.lower = np.where(self.word == 0, model.unseen, self.count)[self.pairs.where]
+
+    def seen(self, level: Level, positions, folds: int, fold: int) -> np.ndarray:
+        train = np.repeat(np.array([not held_out(d, folds, fold) for d in self.ids]), self.n)[positions]
+        return np.bincount(level.at[train], minlength=len(level.context))
+
+    def hear_pairs(self, answers) -> None:
+        """Probabilities of pairs, and the triples: those whose first two words were seen in training."""
+        self.c2, sums = _heard(answers)
+        m, p = self.model, self.pairs
+        sums = m.hot[0].whole(p.context[p.runs], sums)
+        alpha, whole = backoff(self.before_count[p.where[p.runs]], sums[:, :CUTOFF], lower_mass(sums[:, CUTOFF:], m.discount[0]) / (m.total + m.unseen), m.discount[0])
+        self.whole = p.spread(whole)
+        direct = m.discount[0][np.where(self.c2 <= CUTOFF, self.c2, 0)] * self.c2 / self.whole
+        self.p2 = np.where(self.c2 > 0, direct, p.spread(alpha) * self.lower / (m.total + m.unseen))
+        inner = np.ones(len(self.word), bool)
+        inner[self.starts] = False
+        inner[1:] &= self.c2[p.at[:-1]] > 0
+        self.positions = np.flatnonzero(inner)
+        pair = p.at[self.positions - 1]
+        self.triples = _level(p.context[pair] << 32 | p.word[pair], self.word[self.positions], self.bits[1], m.hot[1].contexts)
+
+    def log_probabilities(self, answers) -> np.ndarray:
+        """Of each token, by its longest context that was seen."""
+        out = np.log10(self.p2)[self.pairs.at]
+        if len(self.positions):
+            c3, sums = _heard(answers)
+            m, t = self.model, self.triples
+            sums = m.hot[1].whole(t.context[t.runs], sums)
+            place = self.positions[t.where]  # of each triple
+            pair = self.pairs.at[place]
+            first = pair[t.runs]
+            alpha, whole = backoff(self.c2[self.pairs.at[place[t.runs] - 1]], sums[:, :CUTOFF], lower_mass(sums[:, CUTOFF:], m.discount[0]) / self.whole[first], m.discount[1])
+            direct = m.discount[1][np.where(c3 <= CUTOFF, c3, 0)] * c3 / t.spread(whole)
+            out[self.positions] = np.log10(np.where(c3 > 0, direct, t.spread(alpha) * self.p2[pair]))[t.at]
+        return out
+
+
+def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, block_tokens: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Rows whose crc32(id as text) % folds is `fold` are held out of training; a null id is trained on.
     A null or empty text is its end alone. Equal rows each count. Without training rows counts are 0.
-    No rows give no rows; other columns of docs aren't read. With `vocabulary`, which the driver then
-    holds, all but the words of that many greatest counts join the class of words never seen.
+    No rows give no rows; other columns of docs aren't read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # one partition of a table for about two million requests
-    size = docs.agg(F.sum(F.length("text"))).collect()[0][0] or 0
-    bits = max(4, math.ceil(math.log2(max(1, size / 6 / 4 / (1 << 21)))))
-    pair_bits = bits + 1
+    # one partition of a table for about a million requests
+    tokens = (docs.agg(F.sum(F.length("text"))).first()[0] or 0) / 6
+    bits = max(4, math.ceil(math.log2(max(1, tokens / 4 / (1 << 21)))))
+    pair_bits, triple_bits = bits + 1, max(5, math.ceil(math.log2(max(1, tokens / (1 << 20)))))
     blocks = keep(_blocks(docs, folds, fold, block_tokens, bits), "blocks")
 
     def unigram_table(bucket, asks):
@@ -262,85 +379,58 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, vocabulary: int
         number[top] = (np.arange(len(top)) << bits | bucket) + 1
         cut = np.cumsum([0] + [len(a[0]) for a in asks])
         told = [_pack(counts[at[a:b]], number[at[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        top = top[counts[top] * 1000 > seen.sum()] if vocabulary is None else top[:vocabulary]
+        top = top[counts[top] * 1000 > seen.sum()]
         return told, {"totals": [int(seen.sum()), len(seen), int((seen == 1).sum())], "words": number[top].tolist(), "counts": counts[top].tolist()}
 
-    told = keep(_exchange(blocks.where("ask is not null").select("block", "bucket", "ask"), unigram_table, "totals array<long>, words array<long>, counts array<long>"), "unigrams")
-    sums = told.where("block is null")
-    total, types, once = (int(x or 0) for x in sums.agg(*(F.sum(F.col("totals")[i]) for i in range(3))).collect()[0])
-    top = sums.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select("x.words", "x.counts")
-    if vocabulary is None:
-        words = top.where(F.col("counts") * 1000 > total).collect()  # under 1,000
-        kept, other = None, 0
-    else:
-        words = top.orderBy(F.desc("counts"), "words").limit(vocabulary).collect()
-        kept, other = np.sort(np.array([r["words"] for r in words], np.int64)), total - sum(r["counts"] for r in words)
-    hot = [r["words"] for r in words if r["counts"] * 1000 > total] + ([0] if other * 1000 > total else [])
-    model = Model(total, types, max(once, 1), other, kept, np.sort(np.array(hot, np.int64)))
-    known = blocks.where("body is not null").select("block", "body").join(_answers(told, "uni"), "block")
-
-    def ask_pairs(batches):
-        for batch in batches:
-            for block, body, uni in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                p = _pairs(body.as_py(), uni.as_py(), model, pair_bits)
-                train = np.repeat(np.array([not held_out(d, folds, fold) for d in p.ids]), p.n)
-                seen = np.bincount(p.at[train], minlength=len(p.first))
-
-                def pack(a, b, p=p, seen=seen):
-                    run = p.runs[np.searchsorted(p.runs, a) : np.searchsorted(p.runs, b)]
-                    return _pack(p.first[run], np.diff(run, append=b), p.second[a:b], seen[a:b], p.second_of[a:b])
-
-                rows = _requests(block, p.bucket, pack)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "bucket", "ask"])
-
-    def pair_table(_bucket, asks):
-        pair = np.concatenate([np.repeat(a[0].astype(np.uint64), a[1]) << np.uint64(32) | a[2].astype(np.uint64) for a in asks])
-        pair, where, at = np.unique(pair, return_index=True, return_inverse=True)
-        c = np.bincount(at, weights=np.concatenate([a[3] for a in asks]), minlength=len(pair)).astype(np.int64)
-        of = np.concatenate([a[4].astype(np.int64) for a in asks])[where]
-        context, whose = np.unique((pair >> np.uint64(32)).astype(np.int64), return_inverse=True)
-        kinds = [np.bincount(whose[c == r], minlength=len(context)) for r in range(1, CUTOFF + 1)]
-        # counts of the words seen after a context
-        mass = np.bincount(whose[c > 0], weights=of[c > 0], minlength=len(context)).astype(np.int64)
-        told, cut = [], np.cumsum([0] + [len(a[2]) for a in asks])
-        for k, a in enumerate(asks):
-            mine = np.searchsorted(context, a[0].astype(np.int64))
-            told.append((_pack(c[at[cut[k] : cut[k + 1]]]), _pack(*(x[mine] for x in kinds), mass[mine])))
-        told = [len(x).to_bytes(8, "little") + x + y for x, y in told]
-        spread = np.flatnonzero(np.isin(context, model.hot))
-        return told, {"kinds": [int((c == r).sum()) for r in range(1, CUTOFF + 2)], "context": context[spread].tolist(), "parts": np.stack([*kinds, mass], 1)[spread].reshape(-1).tolist()}
-
-    told = keep(_exchange(known.mapInArrow(ask_pairs, "block long, bucket int, ask binary"), pair_table, "kinds array<long>, context array<long>, parts array<long>"), "pairs")
-    sums, k = told.where("block is null"), CUTOFF + 1
-    model.discount = discounts({r + 1: int(x or 0) for r, x in enumerate(sums.agg(*(F.sum(F.col("kinds")[i]) for i in range(k))).collect()[0])})
-    zipped = sums.where("size(context) > 0").select(F.explode(F.expr(f"transform(sequence(0, size(context) - 1), i -> struct(context[i] as c, slice(parts, i * {k} + 1, {k}) as k))")).alias("x"))
-    added = {r["c"]: r for r in zipped.groupBy("x.c").agg(*(F.sum(F.expr(f"x.k[{i}]")).alias(f"k{i}") for i in range(k))).collect()}  # as many as `hot` at most
-    parts = np.array([[added[h][f"k{i}"] if h in added else 0 for i in range(k)] for h in model.hot.tolist()], np.int64).reshape(-1, k)
-    of_hot = {r["words"]: r["counts"] for r in words} | {0: other}
-    model.alpha, model.whole = model.weights(np.array([of_hot[h] for h in model.hot.tolist()], np.int64), parts[:, :CUTOFF], parts[:, CUTOFF])
+    told_1 = keep(_exchange(blocks.where("ask is not null").select("block", "bucket", "ask"), unigram_table, "totals array<long>, words array<long>, counts array<long>"), "unigrams")
+    sums = told_1.where("block is null")
+    total, types, once = (int(x or 0) for x in sums.agg(*(F.sum(F.col("totals")[i]) for i in range(3))).first())
+    frequent = sums.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).where(F.col("x.counts") * 1000 > total).collect()  # under 1,000
+    none = np.zeros(0, np.int64)
+    unset = Hot(none, np.zeros((0, 2 * CUTOFF + 1)))
+    model = Model(total, types, max(once, 1), [Hot(np.sort(np.array([r["x"]["words"] for r in frequent], np.int64))), unset], [np.ones(CUTOFF + 1)] * 2)
+    known = keep(blocks.where("body is not null").select("block", "body").join(_answers(told_1, "uni"), "block"), "bodies")
+    drop(blocks, told_1)
+    levels = (pair_bits, triple_bits)
+
+    def asking(step):
+        def ask(batches):
+            for batch in batches:
+                for row in zip(*(batch.column(i).to_pylist() if i != 1 else batch.column(i) for i in range(batch.num_columns)), strict=True):
+                    rows = step(row[0], Block(row[1].as_py(), row[2], model, levels), *row[3:])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "bucket", "ask"])
+
+        return ask
+
+    def pairs_of(block, b):
+        return b.pairs.asks(block, b.seen(b.pairs, slice(None), folds, fold), b.lower)
+
+    asked = known.mapInArrow(asking(pairs_of), "block long, bucket int, ask binary")
+    told_2 = keep(_exchange(asked, _table(False, model.hot[0].contexts, total / 1000), _EXTRA), "pairs")
+    d2, hot_1, often = _summary(told_2, model.hot[0].contexts, False)
+    model.hot, model.discount = [hot_1, Hot(often, np.zeros((len(often), 2 * CUTOFF + 1)))], [d2, model.discount[1]]
+    known = known.join(_answers(told_2, "bi"), "block")
+
+    def triples_of(block, b, bi):
+        b.hear_pairs(bi)
+        return b.triples.asks(block, b.seen(b.triples, b.positions, folds, fold), b.c2[b.pairs.at[b.positions[b.triples.where]]])
+
+    asked = known.select("block", "body", "uni", "bi").mapInArrow(asking(triples_of), "block long, bucket int, ask binary")
+    told_3 = keep(_exchange(asked, _table(True, often, math.inf), _EXTRA), "triples")
+    d3, hot_2, _ = _summary(told_3, often, True)
+    model.hot, model.discount = [hot_1, hot_2], [d2, d3]
 
     def score(batches):
         for batch in batches:
-            for body, uni, told in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                p = _pairs(body.as_py(), uni.as_py(), model, pair_bits)
-                blobs = [x["told"] for x in told.as_py()]
-                cuts = [8 + int.from_bytes(x[:8], "little") for x in blobs]
-                c2 = np.concatenate([_unpack(x[8:c])[0] for x, c in zip(blobs, cuts, strict=True)]).astype(np.int64)
-                *kinds, mass = (np.concatenate(x).astype(np.int64) for x in zip(*(_unpack(x[c:]) for x, c in zip(blobs, cuts, strict=True)), strict=True))
-                alpha, whole = model.weights(p.context[p.runs], np.stack(kinds, 1), mass)
-                first = p.first[p.runs]
-                spread = np.isin(first, model.hot)
-                place = np.searchsorted(model.hot, first[spread])
-                alpha[spread], whole[spread] = model.alpha[place], model.whole[place]
-                n = np.diff(p.runs, append=len(p.first))
-                alpha, whole = np.repeat(alpha, n), np.repeat(whole, n)
-                direct = model.discount[np.where(c2 <= CUTOFF, c2, 0)] * c2 / whole
-                backed = alpha * p.second_of / (model.total + model.unseen)
-                logp = np.log10(np.where(c2 > 0, direct, backed))[p.at]
-                base = np.log10(p.count + 1) - math.log10(model.total + model.types + 1)
+            for body, uni, bi, tri in zip(batch.column(0), *(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                b = Block(body.as_py(), uni, model, levels)
+                b.hear_pairs(bi)
+                logp = b.log_probabilities(tri)
+                base = np.log10(b.count + 1) - math.log10(model.total + model.types + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.ids, pa.int64()), pa.array([held_out(d, folds, fold) for d in p.ids], pa.bool_()), pa.array(p.n), pa.array(np.add.reduceat((p.count > 0).astype(np.int64), p.starts)), pa.array(np.full(len(p.n), model.total)), pa.array(np.add.reduceat(base, p.starts)), pa.array(np.add.reduceat(logp, p.starts))],
+                    [pa.array(b.ids, pa.int64()), pa.array([held_out(d, folds, fold) for d in b.ids], pa.bool_()), pa.array(b.n), pa.array(np.add.reduceat((b.count > 0).astype(np.int64), b.starts)), pa.array(np.full(len(b.n), model.total)), pa.array(np.add.reduceat(base, b.starts)), pa.array(np.add.reduceat(logp, b.starts))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return known.join(_answers(told, "bi"), "block").select("body", "uni", "bi").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    whole = known.join(_answers(told_3, "tri"), "block", "left").select("body", "uni", "bi", "tri")
+    return whole.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -8,60 +8,61 @@ import pytest
 from docweave.llm.katz import CUTOFF, discounts, score_texts
 
 
-def brute(rows, vocabulary):
+def brute(rows, check=False):
+    """The model from its definition: texts with an end, a first word after the end, triples within a text."""
     tokens = lambda t: [*re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())), None]
     out_ = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     texts = [(d, tokens(t)) for d, t in rows]
-    c = Counter(w for d, t in texts if not out_(d) for w in t)
-    total, types, once = sum(c.values()), len(c), max(1, sum(v == 1 for v in c.values()))
-    assert vocabulary >= types or vocabulary == 0
-    kept = c if vocabulary else {}
-    uni = {w: n / (total + once) for w, n in kept.items()} | {"?": (total - sum(kept.values()) + once) / (total + once)}
-    name = lambda w: w if w in kept else "?"
-    pairs = Counter()
-    for d, t in texts:
-        if not out_(d):
-            pairs.update(zip([name(None), *map(name, t[:-1])], map(name, t)))
-    disc = discounts({r: sum(v == r for v in pairs.values()) for r in range(1, CUTOFF + 2)})
-    context, alpha = Counter(), {}
-    for (h, _), n in pairs.items():
-        context[h] += n
-
-    few, mass = {h for (h, _), n in pairs.items() if n <= CUTOFF}, Counter()
-    for h, w in pairs:
-        mass[h] += uni[w]
-
-    def seen(h, w):
-        n = pairs[h, w]
-        # a context without discounted pairs has one count more, which it leaves to other words
-        return (disc[n] if n <= CUTOFF else 1) * n / (context[h] + (h not in few and 1 - mass[h] > 1e-12))
-
-    for h in context:
-        mine = [w for g, w in pairs if g == h]
-        rest = 1 - sum(uni[w] for w in mine)
-        alpha[h] = (1 - sum(seen(h, w) for w in mine)) / rest if rest > 1e-12 else 1e-12
-        if rest > 1e-12:
-            assert math.isclose(sum(seen(h, w) if pairs[h, w] else alpha[h] * uni[w] for w in uni), 1, rel_tol=1e-9)
+    train = [t for d, t in texts if not out_(d)]
+    c = Counter(w for t in train for w in t)
+    total, types, unseen = sum(c.values()), len(c), max(1, sum(v == 1 for v in c.values()))
+    uni = lambda w: (c[w] or unseen) / (total + unseen)
+    pairs = Counter((h, w) for t in train for h, w in zip([None, *t], t))
+    triples = Counter(((u, v), w) for t in train for u, v, w in zip([None, *t], t, t[1:]))
+
+    def order(grams, lower):
+        disc = discounts({r: sum(v == r for v in grams.values()) for r in range(1, CUTOFF + 2)})
+        context, after = Counter(), {}
+        for (h, w), n in grams.items():
+            context[h] += n
+            after.setdefault(h, []).append(w)
+        alpha, few = {}, {h for (h, _), n in grams.items() if n <= CUTOFF and disc[n] < 1}
+
+        def seen(h, w):
+            n = grams[h, w]
+            # a context without discounted n-grams has one count more, which it leaves to other words
+            return (disc[n] if n <= CUTOFF else 1) * n / (context[h] + (h not in few))
+
+        for h, ws in after.items():
+            alpha[h] = (1 - sum(seen(h, w) for w in ws)) / (1 - sum(lower(h, w) for w in ws))
+
+        def p(h, w):
+            return lower(h, w) if h not in after else seen(h, w) if grams[h, w] else alpha[h] * lower(h, w)
+
+        if check:
+            for h in list(after)[:200]:
+                assert math.isclose(sum(p(h, w) for w in [*c, b"never seen"]), 1, rel_tol=1e-9)
+        return p
+
+    p2 = order(pairs, lambda h, w: uni(w))
+    p3 = order(triples, lambda h, w: p2(h[1], w))
     res = []
     for d, t in texts:
-        s, h = 0, name(None)
-        for w in map(name, t):
-            s += math.log10(seen(h, w) if pairs[h, w] else alpha.get(h, 1) * uni[w])
-            h = w
+        s = math.log10(p2(None, t[0])) + sum(math.log10(p3((u, v), w)) for u, v, w in zip([None, *t], t, t[1:]))
         res.append((d, out_(d), len(t), sum(c[w] > 0 for w in t), total, sum(math.log10((c[w] + 1) / (total + types + 1)) for w in t), s))
     return res
 
 
-@pytest.mark.parametrize("vocabulary", [1 << 16, 0])
-def test_against_brute_force(spark, vocabulary):
+@pytest.mark.parametrize("block_tokens", [300, 1 << 19])
+def test_against_brute_force(spark, block_tokens):
     rng = random.Random(3)
     vocab = ["The", "the", "a", "é", "É", "x."] + [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(rng.choice(vocab) if rng.random() < 0.4 else vocab[min(int(rng.expovariate(0.3)), 60)] for _ in range(rng.randint(0, 40))) + ("\n" if i % 2 else "")) for i in range(120)]
-    rows += [(700, None), (701, ""), (None, "the a the"), rows[3], rows[3]]
+    rows += [(700, None), (701, ""), (None, "a the a"), rows[3], rows[3], (800, "the a " * 400)]
     docs = spark.createDataFrame([(d, t, 0.5) for d, t in rows], "doc_id long, text string, score double")
-    got = score_texts(docs, vocabulary=vocabulary, block_tokens=300).collect()
+    got = score_texts(docs, block_tokens=block_tokens).collect()
     key = lambda r: (r[0] is None, r[0] or 0)
-    for g, b in zip(sorted(got, key=key), sorted(brute(rows, vocabulary), key=key), strict=True):
+    for g, b in zip(sorted(got, key=key), sorted(brute(rows, True), key=key), strict=True):
         assert tuple(g)[:5] == b[:5]
         assert math.isclose(g.base_score, b[5], rel_tol=1e-9) and math.isclose(g.score, b[6], rel_tol=1e-9), (g, b)
 
@@ -83,23 +84,11 @@ def test_more_words_than_65536(spark):
     held = [(d, t) for d, t in zip([d for d in range(100) if is_out(d)], [[a, "thrice"], [a, b], ["never", "thrice"], ["thrice", "never"]], strict=False)]
     c = Counter(w for _, t in train for w in [*t, None])
     assert len(c) > 1 << 16
-    pairs = Counter(p for _, t in train for p in zip([None, *t], [*t, None], strict=True))
-    disc = discounts({r: sum(v == r for v in pairs.values()) for r in range(1, CUTOFF + 2)})
-    unseen = sum(v == 1 for v in c.values())
-    n = sum(c.values()) + unseen
-    direct = {(h, w): (disc[k] if k <= CUTOFF else 1) * k / c[h] for (h, w), k in pairs.items()}
-    used, mass = Counter(), Counter()
-    for (h, w), x in direct.items():
-        used[h] += x
-        mass[h] += c[w] / n
-
-    def logp(h, w):
-        return math.log10(direct.get((h, w)) or (((1 - used[h]) / (1 - mass[h])) if c[h] else 1) * (c[w] or unseen) / n)
-
-    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in train + held], "doc_id long, text string")
+    rows = [(d, " ".join(t)) for d, t in train + held]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.score for r in score_texts(docs).collect()}
-    for d, t in train[:20] + held:
-        assert math.isclose(got[d], sum(map(logp, [None, *t], [*t, None])), rel_tol=1e-9), d
+    for d, *_, s in brute(rows):
+        assert math.isclose(got[d], s, rel_tol=1e-9), d
 
 
 def test_contexts_without_rare_pairs(spark):
@@ -108,5 +97,5 @@ def test_contexts_without_rare_pairs(spark):
     train = [(d, "a b") for d in range(100) if not is_out(d)][:20] + [(1000 + i, f"c{i}") for i in range(30) if not is_out(1000 + i)]
     held = [next(d for d in range(2000, 3000) if is_out(d))]
     got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame(train + [(held[0], "a a")], "doc_id long, text string")).collect()}
-    want = {d: s for d, *_, s in brute(train + [(held[0], "a a")], 1 << 16)}
+    want = {d: s for d, *_, s in brute(train + [(held[0], "a a")])}
     assert math.isfinite(got[held[0]]) and all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in got)
