@@ -33,7 +33,7 @@ class _Recent(dict):
         self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
-        value = self.old.get(key)
+        value = self.old.get(key) if self.old else None
         if value is None:
             value = self.make(key)
         if len(self) >= self.size:
@@ -74,6 +74,10 @@ class Encoder:
         self.simple = not any(t.rstrip(".,;:!?").lstrip().isalpha() for t in added)
         self.added = re.compile("|".join(re.escape(t) for t in added) or r"(?!)")
         self.split = regex.compile(WORD_SPLIT if self.words else BYTE_SPLIT)
+        # the same pattern with Latin-1's letters and numerals written out, which the standard library's engine finds faster
+        letters, numerals = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+        self.plain_split = re.compile(BYTE_SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}{numerals}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numerals}]"))
+        self.space = self.alphabet_of(" ")
         self.alphabet = str.maketrans(_byte_alphabet())
         self.core = _Recent(self._core, pieces)
         self.piece = _Recent(self._piece, pieces)
@@ -82,8 +86,17 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    @staticmethod
+    def alphabet_of(c: str) -> str:
+        return _byte_alphabet()[ord(c)]
+
     def _core(self, pretoken: str) -> bytes:
-        mapped = (pretoken if pretoken.isascii() else pretoken.encode().decode("latin-1")).translate(self.alphabet)
+        if pretoken.isascii():
+            # of ASCII only blanks and control characters are written otherwise
+            word = pretoken[1:] if pretoken[0] == " " else pretoken
+            mapped = pretoken.translate(self.alphabet) if not word.isalnum() else word if word is pretoken else self.space + word
+        else:
+            mapped = pretoken.encode().decode("latin-1").translate(self.alphabet)
         return _packed([t.id for t in self.model.tokenize(mapped)])
 
     def _piece(self, piece: str) -> bytes:
@@ -103,6 +116,15 @@ class Encoder:
         found = self.split.findall(piece.lower() if self.words else piece)
         return b"".join(map(self.core.__getitem__, found))
 
+    def _plain(self, text: str) -> bool:
+        """Latin-1 without added tokens or signs that engines take differently: the pattern finds all pieces of the whole text."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return False
+        return not _NOT_RUST_SPACE.search(text) and "\x85" not in text and not self.added.search(text)
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -110,6 +132,8 @@ class Encoder:
             if _NOT_RUST_SPACE.search(text):
                 return self._whole(text)
             return b"".join(map(self.piece.__getitem__, text.split()))
+        if self._plain(text):
+            return b"".join(map(self.core.__getitem__, self.plain_split.findall(text)))
         if _DOUBTFUL_SPACE.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")
