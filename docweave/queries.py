@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("queries_layout", "queries_text", "queries_jobs", "queries_pages", "queries_lane", "queries_reads")
+_MODULES = ("queries_layout", "queries_text", "queries_jobs", "queries_pages", "queries_lane", "queries_reads", "queries_geometry")
 
 
 def collect() -> tuple[dict, dict]:
