@@ -78,4 +78,26 @@ def op10_config_lp_packing(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_wavelet_tokens, op3_randomness_secrets, op4_bigru_toxicity, op5_bm25_decontamination, op6_token_group_join, op7_decision_list_quality, op8_weak_pii, op9_katz_backoff, op10_config_lp_packing)}
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: From the definitions, over whole tables: every window of 50 words, and every pair of documents that share a shingle.
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} ws FROM documents),
+h AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) i FROM w WHERE len(ws) >= 50)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t) least FROM h),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) j FROM f WHERE least < doc_id),
+u AS (SELECT doc_id, unnest(ws) word, generate_subscripts(ws, 1) j FROM w),
+k AS (SELECT u.doc_id, count(*) n_words, count(g.j) n_removed, string_agg(word, ' ' ORDER BY u.j) FILTER (g.j IS NULL) kept FROM u LEFT JOIN g ON g.doc_id = u.doc_id AND g.j = u.j GROUP BY u.doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id""",
+    "op6_token_group_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) g FROM w),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id reached FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) n_shingles, min(reached) component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.doc_id = w.doc_id GROUP BY w.doc_id""",
+}
