@@ -4,9 +4,10 @@ Every run of 16 or more key characters that mixes letters with digits, or upper
 inside, is a candidate. Its encoding (hex, base32, letters and digits, base64) is inferred, and
 three tests ask whether its characters look drawn at random from that alphabet: chi-squared
 uniformity, runs about the middle of the alphabet, and serial correlation. Fisher's method joins
-their p-values into one score. How often ordinary text scores as well depends on length, so
-ordinary words of the same length class, found in all documents, give the null distribution; the
-Benjamini-Hochberg procedure over all candidates then fixes one threshold per length class.
+their p-values into one score. How often ordinary text scores as well depends on length and encoding, so the
+letters of all texts, without blanks and cut into pieces of every length class, are scored as words
+and as keys of mixed case; they give the null distribution of each length and kind of encoding. The
+Benjamini-Hochberg procedure over all candidates then fixes one threshold for each.
 """
 
 from __future__ import annotations
@@ -59,20 +60,29 @@ def _normal_sf(z: np.ndarray) -> np.ndarray:
     return np.where(z >= 0, tail, 1 - tail)
 
 
-def randomness(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The joint p-value of the battery for each token, and whether the token is an ordinary word.
+def is_word(t: str) -> bool:
+    return (t[1:].islower() and t.isalpha()) or (t.isalpha() and t.isupper())
+
+
+def encoding(t: str) -> str:
+    """The first alphabet that has all of a candidate's characters."""
+    there = set(t)
+    return next((a for a in _ALPHABETS if there <= set(a)), _ALPHABETS[-1] + "+/")
+
+
+#: Kinds of encodings: of one case (hex, base32), and of mixed case.
+SINGLE, MIXED = 0, 1
+
+
+def randomness(tokens: list[str], alphabets: list[str]) -> np.ndarray:
+    """The joint p-value of the battery for each token in an alphabet.
 
     A small p-value speaks against characters drawn at random.
     """
-    score, word = np.zeros(len(tokens)), np.zeros(len(tokens), bool)
+    score = np.zeros(len(tokens))
     groups: dict[str, list[int]] = {}
-    for i, t in enumerate(tokens):
-        if (t[1:].islower() and t.isalpha()) or (t.isalpha() and t.isupper()):
-            word[i] = True
-            groups.setdefault(_LETTERS, []).append(i)
-            continue
-        there = set(t)
-        groups.setdefault(next((a for a in _ALPHABETS if there <= set(a)), _ALPHABETS[-1] + "+/"), []).append(i)
+    for i, a in enumerate(alphabets):
+        groups.setdefault(a, []).append(i)
     for alphabet, members in groups.items():
         code = np.zeros(128, np.int64)
         for i, c in enumerate(alphabet):
@@ -101,9 +111,21 @@ def randomness(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
             lag = np.bincount(owner[1:][inner], weights=(mid[1:] * mid[:-1])[inner], minlength=len(part))
             r = np.where(power > 0, lag / np.maximum(power, 1e-9), 1.0)
             p_serial = np.minimum(1, 2 * _normal_sf(np.abs(r + 1 / n) * np.sqrt(n)))
-            half = -np.log(np.clip(p_chi, 1e-300, 1) * np.clip(p_runs, 1e-300, 1) * np.clip(p_serial, 1e-300, 1))
+            half = -sum(np.log(np.clip(p, 1e-300, 1)) for p in (p_chi, p_runs, p_serial))
             score[part] = np.exp(-half) * (1 + half + half * half / 2)
-    return score, word
+    return score
+
+
+_PIECE = re.compile("[A-Za-z]+")
+
+
+def ordinary(text: str) -> list[str]:
+    """The letters of a whole text without what is between them, in pieces of each length class by turns."""
+    letters, out, at, k = "".join(_PIECE.findall(text)), [], 0, 0
+    while at + LENGTHS[k] <= len(letters):
+        out.append(letters[at : at + LENGTHS[k]])
+        at, k = at + int(LENGTHS[k]), (k + 1) % len(LENGTHS)
+    return out
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
@@ -127,14 +149,17 @@ def _score_class(p: np.ndarray) -> np.ndarray:
 
 
 def thresholds(counts: dict[tuple[int, int, bool], int], rate: float) -> dict[int, int]:
-    """The least score class taken as random in each length class: Benjamini-Hochberg at `rate`.
+    """The least score class taken as random in each class: Benjamini-Hochberg at `rate`.
 
-    counts: pieces by (length class, score class, ordinary word). A length class with few ordinary
-    words also counts those of shorter classes: shorter words score higher, so this errs to caution.
+    counts: pieces by (class, score class, ordinary). Classes are those of length, of encodings of one
+    case, then of mixed case. A class with few ordinary pieces also counts those of shorter classes:
+    shorter ones score higher, so this errs to caution.
     """
     null: dict[int, np.ndarray] = {}
     held = np.zeros(SCORES)
-    for k in range(len(LENGTHS)):
+    for k in range(2 * len(LENGTHS)):
+        if k == len(LENGTHS):
+            held = np.zeros(SCORES)
         own = np.array([counts.get((k, s, True), 0) for s in range(SCORES)], float)
         held = own if own.sum() >= 1000 else held + own
         null[k] = (np.cumsum(held[::-1])[::-1] + 1) / (held.sum() + 1)
@@ -156,20 +181,33 @@ def _scan(docs: DataFrame) -> DataFrame:
                 text = text.as_py() or ""
                 rows.append([[], [], [], [], [], base_spans(text)])
                 for s, e, t in candidates(text):
-                    found.append(t)
-                    owner.append((i, s, e))
-            score, word = randomness(found)
-            lengths = np.searchsorted(LENGTHS, [len(t) for t in found], "right") - 1
-            for (i, s, e), t, k, c, w in zip(owner, found, lengths.tolist(), _score_class(score).tolist(), word.tolist(), strict=True):
-                if w or _mixed(t):
-                    for column, value in zip(rows[i], (s, e, k, c, w), strict=False):
-                        column.append(value)
-            columns = [pa.array([r[j] for r in rows], pa.list_(pa.int32() if j < 4 else pa.bool_())) for j in range(5)]
+                    if not is_word(t) and _mixed(t):
+                        found.append(t)
+                        owner.append((i, s, e))
+            alphabets = [encoding(t) for t in found]
+            kinds = [SINGLE if len(a) <= 32 else MIXED for a in alphabets]
+            for (i, s, e), k, c in zip(owner, _length_class(found, kinds), _score_class(randomness(found, alphabets)).tolist(), strict=True):
+                for column, value in zip(rows[i], (s, e, k, c), strict=False):
+                    column.append(value)
+            # of ordinary pieces only the counts matter: one row's lists hold those of a batch
+            null: dict[tuple[int, int], int] = {}
+            for a in range(0, len(texts), 64):
+                pieces = [p for t in texts.slice(a, 64) for p in ordinary(t.as_py() or "")]
+                for kind, alphabet in ((SINGLE, _LETTERS), (MIXED, _ALPHABETS[4])):
+                    for key in zip(_length_class(pieces, [kind] * len(pieces)), _score_class(randomness(pieces, [alphabet] * len(pieces))).tolist(), strict=True):
+                        null[key] = null.get(key, 0) + 1
+            counts = [[{"k": k, "c": c, "n": n} for (k, c), n in sorted(null.items())]] + [[]] * (len(rows) - 1) if rows else []
+            columns = [pa.array([r[j] for r in rows], pa.list_(pa.int32())) for j in range(4)]
+            columns.append(pa.array(counts, pa.list_(pa.struct([("k", pa.int32()), ("c", pa.int32()), ("n", pa.int64())]))))
             base = [pa.array([[x[j] for x in r[5]] for r in rows], pa.list_(t)) for j, t in ((0, pa.int32()), (1, pa.int32()), (2, pa.string()))]
-            yield pa.RecordBatch.from_arrays([ids, *columns, *base], names=["doc_id", "s", "e", "k", "c", "w", "bs", "be", "bk"])
+            yield pa.RecordBatch.from_arrays([ids, *columns, *base], names=["doc_id", "s", "e", "k", "c", "null", "bs", "be", "bk"])
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(scan, "doc_id long, s array<int>, e array<int>, k array<int>, c array<int>, w array<boolean>, bs array<int>, be array<int>, bk array<string>")
+    return docs.mapInArrow(scan, "doc_id long, s array<int>, e array<int>, k array<int>, c array<int>, null array<struct<k:int,c:int,n:bigint>>, bs array<int>, be array<int>, bk array<string>")
+
+
+def _length_class(tokens: list[str], kinds: list[int]) -> list[int]:
+    return ((np.searchsorted(LENGTHS, [len(t) for t in tokens], "right") - 1) + np.array(kinds, np.int64) * len(LENGTHS)).tolist()
 
 
 def find_secrets(docs: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,15 +217,16 @@ def find_secrets(docs: DataFrame, rate: float = 0.05, id_col: str = "doc_id", te
     spans; equal documents have equal spans; no rows give no rows; other columns aren't read.
     """
     found = keep(_scan(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))), "secrets")
-    histogram = found.select(F.explode(F.arrays_zip("k", "c", "w")).alias("x")).groupBy("x.k", "x.c", "x.w").count()
-    least = thresholds({(r["k"], r["c"], r["w"]): r["count"] for r in histogram.collect()}, rate)  # at most 11 * 64 * 2 rows
+    seen = found.select(F.explode(F.arrays_zip("k", "c")).alias("x")).groupBy("x.k", "x.c").agg(F.count("*").alias("n")).withColumn("w", F.lit(False))
+    null = found.select(F.explode("null").alias("x")).groupBy("x.k", "x.c").agg(F.sum("x.n").alias("n")).withColumn("w", F.lit(True))
+    least = thresholds({(r["k"], r["c"], r["w"]): r["n"] for r in seen.union(null).collect()}, rate)  # at most 22 * 64 * 2 rows
 
     def choose(batches):
         for batch in batches:
             out: list[list] = [[], [], []]
             for row in batch.to_pylist():
                 base = list(zip(row["bs"], row["be"], row["bk"], strict=True))
-                extra = [(s, e, "random") for s, e, k, c, w in zip(row["s"], row["e"], row["k"], row["c"], row["w"], strict=True) if not w and c >= least[k] and not any(s < y and x < e for x, y, _ in base)]
+                extra = [(s, e, "random") for s, e, k, c in zip(row["s"], row["e"], row["k"], row["c"], strict=True) if c >= least[k] and not any(s < y and x < e for x, y, _ in base)]
                 both = sorted(base + extra, key=lambda x: (x[0], KINDS.index(x[2])))
                 out[0].append(row["doc_id"])
                 for column, spans in ((out[1], base), (out[2], both)):
