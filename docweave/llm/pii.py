@@ -155,6 +155,7 @@ def reliabilities(counts: dict[tuple[int, int], int], rounds: int = 50) -> tuple
     v = np.array([[p // 3**i % 3 for i in range(LABELERS)] for _, p in patterns], np.int64).reshape(-1, LABELERS)
     kind = np.array([k for k, _ in patterns], np.int64)
     n = np.array([counts[p] for p in patterns], float)
+    checked = np.isin(kind, [KINDS.index("ip"), KINDS.index("card")])
     q = np.clip(0.5 + 0.2 * ((v == FOR).sum(1) - (v == AGAINST).sum(1)), 0.05, 0.95)
     prior, table = np.full(len(KINDS), 0.5), np.full((len(KINDS), LABELERS, 2, 3), 1 / 3)
     for _ in range(rounds):
@@ -172,6 +173,8 @@ def reliabilities(counts: dict[tuple[int, int], int], rounds: int = 50) -> tuple
         for i in range(LABELERS):
             logit = logit + np.log(table[kind, i, 1, v[:, i]] / table[kind, i, 0, v[:, i]])
         q = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        # a card or an address whose checks fail is taken to be none, whatever the other labelers say
+        q = np.where(checked & (v[:, 3] == AGAINST), np.minimum(q, 0.02), q)
     return prior, table, dict(zip(patterns, q.tolist(), strict=True))
 
 
