@@ -202,13 +202,15 @@ def repeated_passages(docs: DataFrame, length: int = 50, phrase: int = 16, id_co
     routed = docs.join(wanted, "doc_id").withColumn("split", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(splits))).select("doc_id", "text", "split", F.col("shards")[0].alias("own"), F.explode("shards").alias("shard"))
     compiled_for = passages.withColumn("shard", shard).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     streams = dealt(compiled_for, 0, **{"print": F.col("print")}).union(dealt(routed, 1, doc_id=F.col("doc_id"), text=F.col("text"), carry=F.col("shard") == F.col("own")))
-    streams = streams.repartition(max(shards * splits, 8), "part").sortWithinPartitions("part", "kind")
+    streams = streams.repartition(max(4 * shards * splits, 8), "part").sortWithinPartitions("part", "kind")
     found = keep(_locate(streams, length, phrase).where("size(at) > 0 or words is not null"), "occurrences")
     drop(survey, passages)
     candidates = found.where("size(at) > 0").select("doc_id", "c1", F.explode(F.arrays_zip("at", "w1", "w2")).alias("x")).select("doc_id", "c1", "x.at", "x.w1", "x.w2")
-    first = candidates.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    # a table of its own, so that the join has a shuffle on either side and windows of very many documents are split
+    first = keep(candidates.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "windows")
     with skew_split(spark):
-        gone = keep(candidates.join(first, ["w1", "w2"]).where("first < doc_id").groupBy("doc_id", "c1").agg(F.collect_list("at").alias("at")), "repeated")
+        gone = keep(candidates.join(first.hint("merge"), ["w1", "w2"]).where("first < doc_id").groupBy("doc_id", "c1").agg(F.collect_list("at").alias("at")), "repeated")
+    drop(first)
     cut = _cut(found.where("words is not null").select("doc_id", "c1", "words").join(gone, ["doc_id", "c1"]), length).dropDuplicates(["doc_id", "c1"])
     copy = (F.col("stands") < F.col("doc_id")) & (F.col("n_words") >= length)
     empty = hashlib.sha256(b"").hexdigest()
