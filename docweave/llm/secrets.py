@@ -243,7 +243,10 @@ def written(spans: str):
 
 
 def digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """The counts of base spans by kind, the hash of the base spans, and all spans as text."""
+    """The counts of base spans by kind, the hash of the base spans, and all spans as text and their number.
+
+    One row per row of found, whatever its id; no spans are the empty text and its hash.
+    """
     def count(kind):
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 

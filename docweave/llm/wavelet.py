@@ -194,7 +194,11 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int, bits: int =
 
 
 def read_token_shards(shards: DataFrame) -> DataFrame:
-    """From the files: doc_id, start (tokens of all documents before it), n_tokens, and the crc of its ids."""
+    """From the files: doc_id, start (tokens of all documents before it), n_tokens, and the crc of its ids.
+
+    One row per document that was written: null ids stay null, repeated ids are rows of their own in the order in
+    which they were written; no shards give no rows; other columns aren't read.
+    """
 
     def decode(batches):
         for batch in batches:
