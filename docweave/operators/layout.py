@@ -53,10 +53,23 @@ def with_gaps(e: DataFrame) -> DataFrame:
     return e.withColumn("gap", F.col("y0") - F.lag("y1").over(_page()))
 
 
+def _measured(e: DataFrame) -> DataFrame:
+    return with_gaps(e).withColumn("h", F.when((F.col("chunk_type") == "text") & (F.col("text") != ""), (F.col("y1") - F.col("y0")) / F.size(F.split("text", "\n"))))
+
+
+def _positive_median(c: str) -> F.Column:
+    return F.median(F.when(F.col(c) > 0, F.col(c)))
+
+
 def page_stats(e: DataFrame) -> DataFrame:
     """Per page the medians of text line height and of positive gaps."""
-    g = with_gaps(e).withColumn("h", F.when((F.col("chunk_type") == "text") & (F.col("text") != ""), (F.col("y1") - F.col("y0")) / F.size(F.split("text", "\n"))))
-    return g.groupBy("doc_id", "page_no").agg(F.median(F.when(F.col("h") > 0, F.col("h"))).alias("line_h_median"), F.median(F.when(F.col("gap") > 0, F.col("gap"))).alias("gap_median"))
+    return _measured(e).groupBy("doc_id", "page_no").agg(_positive_median("h").alias("line_h_median"), _positive_median("gap").alias("gap_median"))
+
+
+def with_page_stats(e: DataFrame) -> DataFrame:
+    """Elements with their gap and their page's medians: one shuffle by page, no join."""
+    page = Window.partitionBy("doc_id", "page_no")
+    return _measured(e).withColumn("line_h_median", _positive_median("h").over(page)).withColumn("gap_median", _positive_median("gap").over(page)).drop("h")
 
 
 def upper_median(x) -> F.Column:
@@ -74,7 +87,12 @@ def typography(e: DataFrame) -> DataFrame:
 def heading_strength(e: DataFrame) -> DataFrame:
     """strength: strong, weak or null. Tests in order: text, one short line, no closing mark, a letter,
     not one of two aligned list items, not too tall; then numbering or height, then capitals."""
-    joined = e.join(page_stats(e), ["doc_id", "page_no"], "left")
+    return with_strength(e).select("doc_id", "idx", "strength")
+
+
+def with_strength(e: DataFrame) -> DataFrame:
+    """Elements with page medians and strength."""
+    joined = with_page_stats(e)
     h = F.col("y1") - F.col("y0")
     item = F.col("text").rlike(LIST_ITEM) & (F.col("chunk_type") == "text")
     marked = joined.withColumn("_item", item).withColumn("_next", F.lead("_item").over(_page())).withColumn("_x", F.lead("x0").over(_page()))
@@ -82,7 +100,7 @@ def heading_strength(e: DataFrame) -> DataFrame:
     may = (F.col("chunk_type") == "text") & F.length("text").between(1, HEADING_CHARS) & ~F.col("text").rlike(r"[.,]$") & F.col("text").rlike("[A-Za-z]") & ~listed & ~(F.coalesce(h > SINGLE_LINE_RATIO * F.col("line_h_median"), F.lit(False)))
     strong = F.col("text").rlike(NUMBERED) | F.coalesce(h >= HEADING_RATIO * F.col("line_h_median"), F.lit(False))
     capitals = (F.size(F.expr(r"regexp_extract_all(text, '[A-Z]{2,}', 0)")) >= 2) & ~F.col("text").rlike("[a-z]")
-    return marked.select("doc_id", "idx", F.when(may & strong, "strong").when(may & capitals, "weak").alias("strength"))
+    return marked.withColumn("strength", F.when(may & strong, "strong").when(may & capitals, "weak")).drop("_item", "_next", "_x")
 
 
 def caption_pairs(e: DataFrame) -> DataFrame:
@@ -96,7 +114,7 @@ def caption_pairs(e: DataFrame) -> DataFrame:
 
 def boundaries(e: DataFrame) -> DataFrame:
     """Where the stream of elements is cut: page, heading, heading_weak or gap; and the group of each element."""
-    g = with_gaps(e).join(heading_strength(e), ["doc_id", "idx"]).join(page_stats(e).select("doc_id", "page_no", "gap_median"), ["doc_id", "page_no"], "left")
+    g = with_strength(e)
     before = F.lag("page_no").over(_doc())
     wide = F.col("gap") >= F.greatest(GAP_RATIO * F.coalesce(F.col("gap_median"), F.lit(0.0)), F.lit(GAP_LEAST))
     kind = F.when(before.isNull(), None).when(before != F.col("page_no"), "page").when(F.col("strength") == "strong", "heading").when(F.col("strength") == "weak", "heading_weak").when(wide, "gap")
@@ -117,14 +135,14 @@ def normalize_boxes(e: DataFrame, width: float = 612.0, height: float = 792.0) -
     def k(c, size):
         return F.least(F.greatest(F.col(c) / size * 1000, F.lit(0.0)), F.lit(1000.0))
 
-    scaled = e.select("doc_id", "idx", *(k(c, s).alias(f"k{i}") for i, (c, s) in enumerate((("x0", width), ("y0", height), ("x1", width), ("y1", height)))))
-    return scaled.select("*", (F.least("k0", "k2") * width / 1000).alias("p0"), (F.least("k1", "k3") * height / 1000).alias("p1"), (F.greatest("k0", "k2") * width / 1000).alias("p2"), (F.greatest("k1", "k3") * height / 1000).alias("p3"))
+    scaled = e.select("*", *(k(c, s).alias(f"k{i}") for i, (c, s) in enumerate((("x0", width), ("y0", height), ("x1", width), ("y1", height)))))
+    points = (F.least("k0", "k2") * width / 1000, F.least("k1", "k3") * height / 1000, F.greatest("k0", "k2") * width / 1000, F.greatest("k1", "k3") * height / 1000)
+    return scaled.select("*", *(p.alias(f"p{i}") for i, p in enumerate(points)))
 
 
 def layout_prefix(e: DataFrame) -> DataFrame:
     """Each element's text behind its place on the page in per cent, sections marked."""
-    k = normalize_boxes(e)
-    joined = e.join(k, ["doc_id", "idx"])
+    joined = normalize_boxes(e)
     place = F.concat(F.lit("("), ((F.col("k0") + F.col("k2")) / 2 / 10).cast("int").cast("string"), F.lit("%,"), ((F.col("k1") + F.col("k3")) / 2 / 10).cast("int").cast("string"), F.lit("%) "))
     section = F.when(F.col("text").rlike(NUMBERED), "[SECTION] ").otherwise("")
     return joined.select("doc_id", "idx", F.concat(section, place, F.col("text")).alias("rendered"))

@@ -26,7 +26,7 @@ QUERIES = {
     "caption_pairs": _on(L.caption_pairs),
     "boundary_kinds": _on(L.boundaries),
     "furniture_flags": _on(L.furniture),
-    "bbox_normalize": _on(L.normalize_boxes),
+    "bbox_normalize": _on(lambda e: L.normalize_boxes(e).select("doc_id", "idx", *(f"{c}{i}" for c in "kp" for i in range(4)))),
     "layout_prefix": _on(L.layout_prefix),
     "fixed_partitions": _on(L.fixed_partitions),
     "design_sample": _on(L.design_sample),
