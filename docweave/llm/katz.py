@@ -225,10 +225,11 @@ def _bucket(context: np.ndarray, word: np.ndarray, bits: int, hot: np.ndarray) -
     return (mix((context * 131 + salt).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _level(context: np.ndarray, word: np.ndarray, bits: int, hot: np.ndarray) -> Level:
-    own, local = np.unique(context, return_inverse=True)
+def _level(local: np.ndarray, word: np.ndarray, bits: int, hot: np.ndarray, contexts: np.ndarray | None = None) -> Level:
+    """local: each position's context, by its number of 32 bits or its place among `contexts`."""
     gram, where, at = np.unique(local.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64), return_index=True, return_inverse=True)
-    context, word = own[(gram >> np.uint64(32)).astype(np.int64)], (gram & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    context, word = (gram >> np.uint64(32)).astype(np.int64), (gram & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    context = context if contexts is None else contexts[context]
     bucket = _bucket(context, word, bits, hot)
     order = np.argsort(bucket, kind="stable")
     place = np.empty(len(order), np.int64)
@@ -243,7 +244,9 @@ def _table(split: bool, hot: np.ndarray, often_over: float):
     are discounted. Pairs of counts over often_over are reported: they are hot contexts of triples."""
 
     def table(_bucket_no, asks):
-        contexts, local = np.unique(np.concatenate([np.repeat(a[0].astype(np.int64), a[1]) for a in asks]), return_inverse=True)
+        contexts, local = np.unique(np.concatenate([a[0].astype(np.int64) for a in asks]), return_inverse=True)
+        of_asks = np.split(local, np.cumsum([len(a[0]) for a in asks])[:-1])
+        local = np.repeat(local, np.concatenate([a[1] for a in asks]).astype(np.int64))
         gram, where, at = np.unique(local.astype(np.uint64) << np.uint64(32) | np.concatenate([a[2] for a in asks]).astype(np.uint64), return_index=True, return_inverse=True)
         c = np.bincount(at, weights=np.concatenate([a[3] for a in asks]), minlength=len(gram)).astype(np.int64)
         lower = np.concatenate([a[4].astype(np.int64) for a in asks])[where]
@@ -254,8 +257,7 @@ def _table(split: bool, hot: np.ndarray, often_over: float):
         told, cut = [], np.cumsum([0] + [len(a[2]) for a in asks])
         for k, a in enumerate(asks):
             mine = at[cut[k] : cut[k + 1]]
-            of = np.searchsorted(contexts, a[0].astype(np.int64))
-            x, y = _pack(c[mine]), _pack(*(t[of] for t in sums))
+            x, y = _pack(c[mine]), _pack(*(t[of_asks[k]] for t in sums))
             told.append(len(x).to_bytes(8, "little") + x + y)
         parts = np.flatnonzero(np.isin(contexts, hot))
         return told, {"kinds": [int((c == r).sum()) for r in range(1, CUTOFF + 2)], "often": often.tolist(), "context": contexts[parts].tolist(), "parts": np.stack(sums, 1)[parts].reshape(-1).tolist()}
@@ -332,8 +334,7 @@ class Block:
         inner[self.starts] = False
         inner[1:] &= self.c2[p.at[:-1]] > 0
         self.positions = np.flatnonzero(inner)
-        pair = p.at[self.positions - 1]
-        self.triples = _level(p.context[pair] << 32 | p.word[pair], self.word[self.positions], self.bits[1], m.hot[1].contexts)
+        self.triples = _level(p.at[self.positions - 1], self.word[self.positions], self.bits[1], m.hot[1].contexts, p.context << 32 | p.word)
 
     def log_probabilities(self, answers) -> np.ndarray:
         """Of each token, by its longest context that was seen."""
@@ -409,7 +410,8 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, block_tokens: in
     told_2 = keep(_exchange(asked, _table(False, model.hot[0].contexts, total / 1000), _EXTRA), "pairs")
     d2, hot_1, often = _summary(told_2, model.hot[0].contexts, False)
     model.hot, model.discount = [hot_1, Hot(often, np.zeros((len(often), 2 * CUTOFF + 1)))], [d2, model.discount[1]]
-    known = known.join(_answers(told_2, "bi"), "block")
+    bodies, known = known, keep(known.join(_answers(told_2, "bi"), "block"), "bodies")
+    drop(bodies, told_2)
 
     def triples_of(block, b, bi):
         b.hear_pairs(bi)
