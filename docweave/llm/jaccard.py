@@ -381,7 +381,9 @@ def _classes(docs: DataFrame, size: int, num: int, den: int, more: float, freque
     chunks = _chunked(members, contents)
     rows = chunks.join(packed, "content").select("gid", "chunk", "chunks", F.when(F.col("content") == F.col("head"), 0).otherwise(1).alias("role"), "content", "packed")
     # the head goes to every chunk
-    heads = chunks.select("gid", "head", "chunks").distinct().where("chunks > 1").select("gid", F.col("head").alias("content"), "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).join(packed, "content").select("gid", "chunk", "chunks", F.lit(0).alias("role"), "content", "packed")
+    each_chunk = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    heads = chunks.select("gid", "head", "chunks").distinct().where("chunks > 1").select("gid", F.col("head").alias("content"), "chunks", each_chunk)
+    heads = heads.join(packed, "content").select("gid", "chunk", "chunks", F.lit(0).alias("role"), "content", "packed")
     opened = table(_open_groups(rows.union(heads), size, num, den), "links")
     links = opened.where("b is not null").select("a", "b")
     labels = components(links)
@@ -391,7 +393,8 @@ def _classes(docs: DataFrame, size: int, num: int, den: int, more: float, freque
     # tokens that the same contents hold are one column, which counts for as many tokens: the pairs that a
     # column brings together then don't grow with the number of tokens that two contents share
     of, holders = ["column", "check", "df"], [F.bit_xor(F.xxhash64(F.lit(k), "content", "index")) for k in (1, 2)]
-    several = table(labelled.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.count("*").alias("df"), holders[0].alias("column"), holders[1].alias("check")).where("x <> y").drop("x", "y"), "several")
+    by_token = labelled.groupBy("token").agg(F.min("grp").alias("x"), F.max("grp").alias("y"), F.count("*").alias("df"), holders[0].alias("column"), holders[1].alias("check"))
+    several = table(by_token.where("x <> y").drop("x", "y"), "several")
     columns = labelled.join(several, "token").groupBy(*of, "content").agg(F.count("*").alias("w"), *(F.first(c).alias(c) for c in ("n", "index", "grp")))
     crossing = table(columns.join(contents.drop("n"), "content"), "crossing")
     agree = [f(b).alias(f"{name}{k}") for k, b in enumerate(_BITS) for f, name in ((F.bit_and, "and"), (F.bit_or, "or"))]
@@ -401,10 +404,12 @@ def _classes(docs: DataFrame, size: int, num: int, den: int, more: float, freque
     need = F.floor(F.ceil(F.col("n") * num / den) * F.lit(more)) + 1
     mine = Window.partitionBy("content")
     ranked = crossing.withColumn("need", need).withColumn("there", F.sum("w").over(mine)).withColumn("sum", F.sum("w").over(mine.orderBy(F.desc("df"), "column", "check").rowsBetween(Window.unboundedPreceding, 0)))
-    queries = ranked.where((F.col("there") >= F.col("need")) & (F.col("sum") > F.floor(F.col("need") / 2))).select(*of, "content", "w", "n", "need", F.col("grp").alias("own"), *(F.col(b).alias(f"q{k}") for k, b in enumerate(_BITS)))
+    asking = ranked.where((F.col("there") >= F.col("need")) & (F.col("sum") > F.floor(F.col("need") / 2)))
+    queries = asking.select(*of, "content", "w", "n", "need", F.col("grp").alias("own"), *(F.col(b).alias(f"q{k}") for k, b in enumerate(_BITS)))
     sizes_fit = (F.col("own") != F.col("grp")) & (F.col("lo") <= F.col("n")) & (F.col("hi") * den >= F.col("n") * num)
     fits = sizes_fit & ~F.expr(_differs_too_much(num, den))
-    asked = queries.join(matrix, of).where(fits).groupBy("content", "own", "grp", "need").agg(F.sum("w").alias("s")).where(F.col("s") >= F.col("need") - F.floor(F.col("need") / 2)).select("content", "own", F.col("grp").alias("gid"), "s")
+    shared_with = queries.join(matrix, of).where(fits).groupBy("content", "own", "grp", "need").agg(F.sum("w").alias("s"))
+    asked = shared_with.where(F.col("s") >= F.col("need") - F.floor(F.col("need") / 2)).select("content", "own", F.col("grp").alias("gid"), "s")
     asked = table(asked, "asked")
     held = table(labelled.select("content", F.col("grp").alias("gid")).distinct().join(asked.select("gid").distinct(), "gid", "left_semi"), "held")
 
@@ -461,7 +466,8 @@ def one_of_each_class(docs: DataFrame, size: int = 5, num: int = 80, den: int =
         for batch in batches:
             for a, b, words in runs(batch, lower=True):
                 token, bounds = shingle_sets(words, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(bounds).astype(np.int64)), pa.array(_content(token, bounds, clashes))], names=["row", "doc_id", "n", "content"])
+                columns = [*(batch.column(i).slice(a, b - a) for i in (0, 2)), pa.array(np.diff(bounds).astype(np.int64)), pa.array(_content(token, bounds, clashes))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n", "content"])
 
     whole = with_rows(docs, text_col).withColumn("doc_id", F.col("row")[id_col].cast("long"))
     keyed = whole.mapInArrow(key, row_type(docs, ("doc_id", LongType()), ("n", LongType()), ("content", LongType()))).withColumn("single", F.when(F.col("n") == 0, F.monotonically_increasing_id()))
@@ -503,6 +509,8 @@ def _ask(asked: DataFrame, members: DataFrame, contents: DataFrame, packed: Data
     chunks = group.select("gid", "chunks").distinct()
     each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     rows = group.join(n, "gid").select("gid", "content", "chunk", "parts", each.alias("part"), F.lit(1).alias("role"))
-    queries = asked.join(n, "gid").join(chunks, "gid").withColumn("part", F.pmod(F.xxhash64("content", F.lit(7)), F.col("parts")).cast("int")).select("gid", "content", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "parts", "part", F.lit(2).alias("role"))
+    part = F.pmod(F.xxhash64("content", F.lit(7)), F.col("parts")).cast("int").alias("part")
+    each_chunk = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    queries = asked.join(n, "gid").join(chunks, "gid").select("gid", "content", each_chunk, "parts", part, F.lit(2).alias("role"))
     both = rows.union(queries).join(packed, "content").select("gid", (F.col("chunk") * F.col("parts") + F.col("part")).alias("chunk"), F.lit(1).alias("chunks"), "role", "content", "packed")
     return _open_groups(both, size, num, den).where("b is not null").select("a", "b")

@@ -29,6 +29,8 @@ from docweave.llm._store import drop, keep, small_batches
 from docweave.llm._text import mix, runs
 
 END_HASH = int(mix(np.array([0xE4D], np.uint64))[0])
+#: Turns in which triples are counted.
+TURNS = 2
 #: Counts up to this are discounted.
 CUTOFF = 5
 
@@ -42,7 +44,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
             if int(a.min(initial=0)) >= 0:
                 a = a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
         planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
-        body = zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+        body = zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
         parts.append(a.dtype.str.encode().ljust(4) + len(body).to_bytes(8, "little") + body)
     return b"".join(parts)
 
@@ -61,12 +63,12 @@ def held_out(doc_id: int | None, folds: int, fold: int) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
-def _requests(block: int, bucket: np.ndarray, pack) -> list[tuple]:
+def _requests(block: int, bucket: np.ndarray, pack, turn: int = 0, turns: int = 1) -> list[tuple]:
     """One row per run of a bucket, with what pack(first, past last) makes of it."""
     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
     if not len(edges):
         return []
-    return [(block, int(bucket[a]), pack(a, b)) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True)]
+    return [(block, int(bucket[a]), pack(a, b)) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True) if bucket[a] % turns == turn]
 
 
 def _blocks(docs: DataFrame, folds: int, fold: int, block_tokens: int, bits: int) -> DataFrame:
@@ -206,14 +208,14 @@ class Level:
     word: np.ndarray
     runs: np.ndarray  # first n-gram of each run of one bucket and context
 
-    def asks(self, block: int, seen: np.ndarray, lower: np.ndarray) -> list[tuple]:
+    def asks(self, block: int, seen: np.ndarray, lower: np.ndarray, turn: int = 0, turns: int = 1) -> list[tuple]:
         """Rows for the table: contexts, how many words of each, the words, training counts here, counts of the lower order."""
 
         def pack(a, b):
             run = self.runs[np.searchsorted(self.runs, a) : np.searchsorted(self.runs, b)]
             return _pack(self.context[run], np.diff(run, append=b), self.word[a:b], seen[a:b], lower[a:b])
 
-        return _requests(block, self.bucket, pack)
+        return _requests(block, self.bucket, pack, turn, turns)
 
     def spread(self, of_runs: np.ndarray) -> np.ndarray:
         return np.repeat(of_runs, np.diff(self.runs, append=len(self.context)))
@@ -413,12 +415,19 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, block_tokens: in
     bodies, known = known, keep(known.join(_answers(told_2, "bi"), "block"), "bodies")
     drop(bodies, told_2)
 
-    def triples_of(block, b, bi):
-        b.hear_pairs(bi)
-        return b.triples.asks(block, b.seen(b.triples, b.positions, folds, fold), b.c2[b.pairs.at[b.positions[b.triples.where]]])
+    def triples_of(turn):
+        def asks(block, b, bi):
+            b.hear_pairs(bi)
+            return b.triples.asks(block, b.seen(b.triples, b.positions, folds, fold), b.c2[b.pairs.at[b.positions[b.triples.where]]], turn, TURNS)
 
-    asked = known.select("block", "body", "uni", "bi").mapInArrow(asking(triples_of), "block long, bucket int, ask binary")
-    told_3 = keep(_exchange(asked, _table(True, often, math.inf), _EXTRA), "triples")
+        return asks
+
+    # in turns, each for some of the buckets, so that requests of a part only are on disk at a time
+    told_3 = None
+    for turn in range(TURNS):
+        asked = known.select("block", "body", "uni", "bi").mapInArrow(asking(triples_of(turn)), "block long, bucket int, ask binary")
+        part = keep(_exchange(asked, _table(True, often, math.inf), _EXTRA), f"triples-{turn}")
+        told_3 = part if told_3 is None else told_3.union(part)
     d3, hot_2, _ = _summary(told_3, often, True)
     model.hot, model.discount = [hot_1, hot_2], [d2, d3]
 
