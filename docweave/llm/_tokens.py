@@ -76,7 +76,10 @@ class Encoder:
         self.split = regex.compile(WORD_SPLIT if self.words else BYTE_SPLIT)
         # the same pattern with Latin-1's letters and numerals written out, which the standard library's engine finds faster
         letters, numerals = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
-        self.plain_split = re.compile(BYTE_SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}{numerals}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numerals}]"))
+        split = (WORD_SPLIT if self.words else BYTE_SPLIT).replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}{numerals}]")
+        for name, members in ((r"\p{L}", letters), (r"\p{N}", numerals)):
+            split = split.replace(f"[{name}]", f"[{members}]").replace(name, f"[{members}]")
+        self.plain_split = re.compile(split)
         self.space = self.alphabet_of(" ")
         self.alphabet = str.maketrans(_byte_alphabet())
         self.core = _Recent(self._core, pieces)
@@ -128,12 +131,12 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self._plain(text):
+            return b"".join(map(self.core.__getitem__, self.plain_split.findall(text.lower() if self.words else text)))
         if self.words:
             if _NOT_RUST_SPACE.search(text):
                 return self._whole(text)
             return b"".join(map(self.piece.__getitem__, text.split()))
-        if self._plain(text):
-            return b"".join(map(self.core.__getitem__, self.plain_split.findall(text)))
         if _DOUBTFUL_SPACE.search(text):
             return self._whole(text)
         first, *rest = text.split(" ")
