@@ -94,12 +94,15 @@ def with_strength(e: DataFrame) -> DataFrame:
     """Elements with page medians and strength."""
     joined = with_page_stats(e)
     h = F.col("y1") - F.col("y0")
-    item = F.col("text").rlike(LIST_ITEM) & (F.col("chunk_type") == "text")
+    text = F.trim("text")
+    item = text.rlike(LIST_ITEM) & (F.col("chunk_type") == "text")
     marked = joined.withColumn("_item", item).withColumn("_next", F.lead("_item").over(_page())).withColumn("_x", F.lead("x0").over(_page()))
     listed = F.col("_item") & F.coalesce(F.col("_next"), F.lit(False)) & (F.abs(F.col("x0") - F.col("_x")) <= LIST_ALIGN)
-    may = (F.col("chunk_type") == "text") & F.length("text").between(1, HEADING_CHARS) & ~F.col("text").rlike(r"[.,]$") & F.col("text").rlike("[A-Za-z]") & ~listed & ~(F.coalesce(h > SINGLE_LINE_RATIO * F.col("line_h_median"), F.lit(False)))
-    strong = F.col("text").rlike(NUMBERED) | F.coalesce(h >= HEADING_RATIO * F.col("line_h_median"), F.lit(False))
-    capitals = (F.size(F.expr(r"regexp_extract_all(text, '[A-Z]{2,}', 0)")) >= 2) & ~F.col("text").rlike("[a-z]")
+    tall = F.coalesce(h > SINGLE_LINE_RATIO * F.col("line_h_median"), F.lit(False))
+    may = (F.col("chunk_type") == "text") & F.length(text).between(1, HEADING_CHARS) & ~text.rlike(r"[.,]$") & text.rlike(r"\p{L}") & ~listed & ~tall
+    strong = text.rlike(NUMBERED) | F.coalesce(h >= HEADING_RATIO * F.col("line_h_median"), F.lit(False))
+    words = F.filter(F.split(text, r"\s+"), lambda w: F.length(F.regexp_replace(w, r"\P{L}", "")) >= 2)
+    capitals = (F.size(words) >= 2) & (F.upper(text) == text)
     return marked.withColumn("strength", F.when(may & strong, "strong").when(may & capitals, "weak")).drop("_item", "_next", "_x")
 
 

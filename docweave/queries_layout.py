@@ -34,10 +34,10 @@ QUERIES = {
 
 _STATS = """g AS (SELECT *, y0 - lag(y1) OVER (PARTITION BY doc_id, page_no ORDER BY idx) gap FROM e),
 st AS (SELECT doc_id, page_no, median(CASE WHEN chunk_type = 'text' AND text <> '' THEN y1 - y0 END) line_h_median, median(CASE WHEN gap > 0 THEN gap END) gap_median FROM g GROUP BY ALL)"""
-_HEAD = _STATS + r""", m AS (SELECT e.*, st.line_h_median lh, st.gap_median gm, regexp_matches(text, '^([-•*‣▪]|[0-9]{1,3}[.)]|[a-z][.)])\s+\S') AND chunk_type = 'text' item FROM e LEFT JOIN st USING (doc_id, page_no)),
+_HEAD = _STATS + r""", m AS (SELECT e.*, st.line_h_median lh, st.gap_median gm, regexp_matches(trim(text), '^([-•*‣▪]|[0-9]{1,3}[.)]|[a-z][.)])\s+\S') AND chunk_type = 'text' item FROM e LEFT JOIN st USING (doc_id, page_no)),
 m2 AS (SELECT *, lead(item) OVER w nitem, lead(x0) OVER w nx FROM m WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY idx)),
-m3 AS (SELECT *, chunk_type = 'text' AND length(text) BETWEEN 1 AND 80 AND NOT regexp_matches(text, '[.,]$') AND regexp_matches(text, '[A-Za-z]') AND NOT (item AND coalesce(nitem, false) AND coalesce(abs(x0 - nx) <= 12, false)) AND NOT coalesce(y1 - y0 > 1.8 * lh, false) may FROM m2),
-hs AS (SELECT doc_id, idx, CASE WHEN may AND (regexp_matches(text, '^[0-9]+(\.[0-9]+)*[.)]?\s+\S') OR coalesce(y1 - y0 >= 1.15 * lh, false)) THEN 'strong' WHEN may AND len(regexp_extract_all(text, '[A-Z]{2,}')) >= 2 AND NOT regexp_matches(text, '[a-z]') THEN 'weak' END strength FROM m3)"""
+m3 AS (SELECT *, chunk_type = 'text' AND length(trim(text)) BETWEEN 1 AND 80 AND NOT regexp_matches(trim(text), '[.,]$') AND regexp_matches(text, '\pL') AND NOT (item AND coalesce(nitem, false) AND coalesce(abs(x0 - nx) <= 12, false)) AND NOT coalesce(y1 - y0 > 1.8 * lh, false) may FROM m2),
+hs AS (SELECT doc_id, idx, CASE WHEN may AND (regexp_matches(trim(text), '^[0-9]+(\.[0-9]+)*[.)]?\s+\S') OR coalesce(y1 - y0 >= 1.15 * lh, false)) THEN 'strong' WHEN may AND len(list_filter(string_split_regex(trim(text), '\s+'), lambda w: length(regexp_replace(w, '\PL', '', 'g')) >= 2)) >= 2 AND upper(text) = text THEN 'weak' END strength FROM m3)"""
 
 ORACLE_SQL = {
     "document_content": f"WITH {E} SELECT doc_id, coalesce(string_agg(CASE WHEN text <> '' THEN text END, chr(10) || chr(10) ORDER BY page_no, idx), '') AS content, count(*) AS n_elements FROM e GROUP BY doc_id",

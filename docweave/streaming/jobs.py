@@ -27,27 +27,42 @@ def _status(n: dict[str, int]) -> str | None:
     return "partially_failed"
 
 
-def batch_events(changes: DataFrame) -> DataFrame:
+def batch_events(changes: DataFrame, at: str | None = None, late: str = "1 hour", remember: float = 7 * 24 * 3600) -> DataFrame:
     """changes: a stream of (batch_id, total_items, was, now), one per item's change of state, `was` null for
-    a new item. One event per batch, when all its items have ended; later changes give no second one."""
+    a new item. One event per batch, when all its items have ended; later changes give no second one.
+
+    With `at`, the time of a change, a finished batch's state is dropped `remember` seconds of event time after
+    its last change; without it all states stay.
+    """
 
     def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         n = dict(zip((*STATES, "total", "done"), state.get if state.exists else (0,) * (len(STATES) + 2)))
+        latest = 0
         for frame in frames:
-            for row in frame.itertuples():
-                if isinstance(row.was, str):
-                    n[row.was] -= 1
-                n[row.now] += 1
-                n["total"] = max(n["total"], int(row.total_items))
+            if at:
+                latest = max(latest, int(frame[at].max().timestamp() * 1000))
+            for sign, column in ((-1, "was"), (1, "now")):
+                for s, k in frame[column].dropna().value_counts().items():
+                    n[s] += sign * int(k)
+            n["total"] = max(n["total"], int(frame["total_items"].max()))
         counts = {s: n[s] for s in STATES}
         status = _status(counts) if sum(counts.values()) >= n["total"] else None
         emit = status is not None and not n["done"]
         n["done"] = int(n["done"] or emit)
         state.update(tuple(n.values()))
+        if n["done"]:
+            dropped = max(latest, state.getCurrentWatermarkMs()) + int(remember * 1000) if at else None
+            if dropped is not None:
+                state.setTimeoutTimestamp(dropped)
         if emit:
             yield pd.DataFrame([{"batch_id": key[0], "status": status, **counts}])
 
-    return changes.groupBy("batch_id").applyInPandasWithState(step, EVENTS, _COUNTS + ", total long, done long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if at else GroupStateTimeout.NoTimeout
+    timed = changes.withWatermark(at, late) if at else changes
+    return timed.groupBy("batch_id").applyInPandasWithState(step, EVENTS, _COUNTS + ", total long, done long", "append", timeout)
 
 
 def request_windows(requests: DataFrame, late: str = "10 seconds", limit: int = 200) -> DataFrame:

@@ -26,6 +26,18 @@ def test_one_event_a_batch(spark, tmp_path):
     assert got == {1: "partially_failed", 2: "failed", 3: "completed"} and spark.table("batch_events").count() == 3
 
 
+def test_state_of_finished_batches_goes(spark, tmp_path):
+    """A change that comes long after the end finds no state: the batch counts as new."""
+    schema = "batch_id long, total_items long, was string, now string, ts timestamp"
+    t = lambda d: datetime.datetime(2024, 1, d)
+    parts = [[(1, 1, None, "succeeded", t(1))], [(1, 1, None, "succeeded", t(1))], [(9, 5, None, "pending", t(20))], [(9, 5, None, "pending", t(21))], [(1, 1, None, "succeeded", t(21))]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*")
+    _drain(batch_events(stream, "ts", remember=24 * 3600), "dropped_events")
+    assert [r.batch_id for r in spark.table("dropped_events").collect()] == [1, 1]
+
+
 def test_windows_and_duplicates(spark, tmp_path):
     t = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
     rows = [(1, t(0), "a"), (1, t(0), "a"), (2, t(0), "b"), (1, t(1), "b"), (9, t(59), "z")]
