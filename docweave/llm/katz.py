@@ -213,7 +213,8 @@ class Level:
 
         def pack(a, b):
             run = self.runs[np.searchsorted(self.runs, a) : np.searchsorted(self.runs, b)]
-            return _pack(self.context[run], np.diff(run, append=b), self.word[a:b], seen[a:b], lower[a:b])
+            sizes = np.diff(run, append=b)
+            return _pack(self.context[run], self.word[a:b], np.concatenate([sizes, seen[a:b], lower[a:b]]))
 
         return _requests(block, self.bucket, pack, turn, turns)
 
@@ -246,9 +247,10 @@ def _table(split: bool, hot: np.ndarray, often_over: float):
     are discounted. Pairs of counts over often_over are reported: they are hot contexts of triples."""
 
     def table(_bucket_no, asks):
-        contexts, local = np.unique(np.concatenate([a[0].astype(np.int64) for a in asks]), return_inverse=True)
+        asks = [(a[0].astype(np.int64), a[2][: len(a[0])].astype(np.int64), a[1], *a[2][len(a[0]) :].reshape(2, -1)) for a in asks]
+        contexts, local = np.unique(np.concatenate([a[0] for a in asks]), return_inverse=True)
         of_asks = np.split(local, np.cumsum([len(a[0]) for a in asks])[:-1])
-        local = np.repeat(local, np.concatenate([a[1] for a in asks]).astype(np.int64))
+        local = np.repeat(local, np.concatenate([a[1] for a in asks]))
         gram, where, at = np.unique(local.astype(np.uint64) << np.uint64(32) | np.concatenate([a[2] for a in asks]).astype(np.uint64), return_index=True, return_inverse=True)
         c = np.bincount(at, weights=np.concatenate([a[3] for a in asks]), minlength=len(gram)).astype(np.int64)
         lower = np.concatenate([a[4].astype(np.int64) for a in asks])[where]
@@ -259,7 +261,8 @@ def _table(split: bool, hot: np.ndarray, often_over: float):
         told, cut = [], np.cumsum([0] + [len(a[2]) for a in asks])
         for k, a in enumerate(asks):
             mine = at[cut[k] : cut[k + 1]]
-            x, y = _pack(c[mine]), _pack(*(t[of_asks[k]] for t in sums))
+            # all sums as one array: a message is small, and every array costs the tables of its code
+            x, y = _pack(c[mine]), _pack(np.concatenate([t[of_asks[k]] for t in sums]))
             told.append(len(x).to_bytes(8, "little") + x + y)
         parts = np.flatnonzero(np.isin(contexts, hot))
         return told, {"kinds": [int((c == r).sum()) for r in range(1, CUTOFF + 2)], "often": often.tolist(), "context": contexts[parts].tolist(), "parts": np.stack(sums, 1)[parts].reshape(-1).tolist()}
@@ -281,13 +284,13 @@ def _summary(told: DataFrame, hot: np.ndarray, split: bool) -> tuple[np.ndarray,
     return d, Hot(hot, parts), often
 
 
-def _heard(answers) -> tuple[np.ndarray, np.ndarray]:
+def _heard(answers, width: int) -> tuple[np.ndarray, np.ndarray]:
     """What a block was told: the count of each n-gram, the sums of each run."""
     blobs = [x["told"] for x in answers or []]
     cuts = [8 + int.from_bytes(x[:8], "little") for x in blobs]
     counts = np.concatenate([_unpack(b[8:c])[0] for b, c in zip(blobs, cuts, strict=True)]).astype(np.int64)
-    sums = [np.concatenate(x).astype(float) for x in zip(*(_unpack(b[c:]) for b, c in zip(blobs, cuts, strict=True)), strict=True)]
-    return counts, np.stack(sums, 1)
+    sums = [_unpack(b[c:])[0].reshape(width, -1) for b, c in zip(blobs, cuts, strict=True)]
+    return counts, np.concatenate(sums, 1).astype(float).T.copy()
 
 
 @dataclass
@@ -325,7 +328,7 @@ class Block:
 
     def hear_pairs(self, answers) -> None:
         """Probabilities of pairs, and the triples: those whose first two words were seen in training."""
-        self.c2, sums = _heard(answers)
+        self.c2, sums = _heard(answers, CUTOFF + 1)
         m, p = self.model, self.pairs
         sums = m.hot[0].whole(p.context[p.runs], sums)
         alpha, whole = backoff(self.before_count[p.where[p.runs]], sums[:, :CUTOFF], lower_mass(sums[:, CUTOFF:], m.discount[0]) / (m.total + m.unseen), m.discount[0])
@@ -342,7 +345,7 @@ class Block:
         """Of each token, by its longest context that was seen."""
         out = np.log10(self.p2)[self.pairs.at]
         if len(self.positions):
-            c3, sums = _heard(answers)
+            c3, sums = _heard(answers, 2 * CUTOFF + 1)
             m, t = self.model, self.triples
             sums = m.hot[1].whole(t.context[t.runs], sums)
             place = self.positions[t.where]  # of each triple
