@@ -29,7 +29,7 @@ from docweave.llm._store import drop, keep, small_batches
 from docweave.llm._text import mix, runs
 
 END_HASH = int(mix(np.array([0xE4D], np.uint64))[0])
-#: Turns in which triples are counted.
+#: Turns in which triples are counted and texts are scored.
 TURNS = 2
 #: Counts up to this are discounted.
 CUTOFF = 5
@@ -426,10 +426,11 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, block_tokens: in
         return asks
 
     # in turns, each for some of the buckets, so that requests of a part only are on disk at a time
-    told_3 = None
+    told_3, parts = None, []
     for turn in range(TURNS):
         asked = known.select("block", "body", "uni", "bi").mapInArrow(asking(triples_of(turn)), "block long, bucket int, ask binary")
         part = keep(_exchange(asked, _table(True, often, math.inf), _EXTRA), f"triples-{turn}")
+        parts.append(part)
         told_3 = part if told_3 is None else told_3.union(part)
     d3, hot_2, _ = _summary(told_3, often, True)
     model.hot, model.discount = [hot_1, hot_2], [d2, d3]
@@ -446,5 +447,13 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, block_tokens: in
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    whole = known.join(_answers(told_3, "tri"), "block", "left").select("body", "uni", "bi", "tri")
-    return whole.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # in turns again: the bodies of a part of the blocks only are on their way at a time
+    shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = None
+    for turn in range(TURNS):
+        mine = F.pmod(F.xxhash64("block"), F.lit(TURNS)) == turn
+        whole = known.where(mine).join(_answers(told_3.where(mine), "tri"), "block", "left").select("body", "uni", "bi", "tri")
+        part = keep(whole.mapInArrow(score, shape), f"scores-{turn}")
+        out = part if out is None else out.union(part)
+    drop(known, *parts)
+    return out
