@@ -217,4 +217,5 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
     inside = sizes.select("part", "seq", before(Window.partitionBy("part").orderBy("seq")).alias("_within"))
     base = inside.join(parts, "part").select("part", "seq", (F.col("_before") + F.col("_within")).alias("_base"))
     rows = shards.select("part", "seq", "file").mapInArrow(decode, "part int, seq int, doc_id long, _at long, n_tokens long, ids_crc32 long")
-    return rows.join(base, ["part", "seq"]).select("doc_id", (F.col("_base") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32")
+    # a small table, so that a reader's second look doesn't undo the planes again
+    return keep(rows.join(base, ["part", "seq"]).select("doc_id", (F.col("_base") + F.col("_at")).alias("start"), "n_tokens", "ids_crc32"), "tokens")
