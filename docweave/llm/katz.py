@@ -33,6 +33,8 @@ END_HASH = int(mix(np.array([0xE4D], np.uint64))[0])
 TURNS = 2
 #: Counts up to this are discounted.
 CUTOFF = 5
+_COMPRESS = zstandard.ZstdCompressor(level=3)
+_DECOMPRESS = zstandard.ZstdDecompressor()
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -41,10 +43,10 @@ def _pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         if a.dtype.kind in "iu" and a.dtype != np.uint64:
             top = int(a.max(initial=0))
-            if int(a.min(initial=0)) >= 0:
+            if a.dtype.kind == "u" or int(a.min(initial=0)) >= 0:
                 a = a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
         planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
-        body = zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+        body = _COMPRESS.compress(np.ascontiguousarray(planes).reshape(-1))
         parts.append(a.dtype.str.encode().ljust(4) + len(body).to_bytes(8, "little") + body)
     return b"".join(parts)
 
@@ -52,23 +54,67 @@ def _pack(*arrays: np.ndarray) -> bytes:
 def _unpack(blob: bytes) -> list[np.ndarray]:
     at, out = 0, []
     while at < len(blob):
-        kind, n = blob[at : at + 4].decode().strip(), int.from_bytes(blob[at + 4 : at + 12], "little")
-        planes = np.frombuffer(zstandard.decompress(blob[at + 12 : at + 12 + n]), np.uint8)
-        out.append(np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1))
+        kind, n = np.dtype(blob[at : at + 4].decode().strip()), int.from_bytes(blob[at + 4 : at + 12], "little")
+        planes = np.frombuffer(_DECOMPRESS.decompress(blob[at + 12 : at + 12 + n]), np.uint8).reshape(kind.itemsize, -1)
+        a = np.empty(planes.shape[::-1], np.uint8)
+        for i, plane in enumerate(planes):
+            a[:, i] = plane
+        out.append(a.reshape(-1).view(kind))
         at += 12 + n
     return out
 
 
+def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct whole numbers in order, a place of each, and which of them is at each place.
+
+    Number and place are sorted as one number where they fit in 64 bits: several times as fast as to sort places.
+    """
+    n, x = len(x), x.astype(np.uint64)
+    bits = np.uint64(n.bit_length())
+    if int(x.max(initial=0)).bit_length() + int(bits) <= 64:
+        x <<= bits
+        x |= np.arange(n, dtype=np.uint64)
+        x.sort()
+        place = (x & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+        x >>= bits
+    else:
+        place = np.argsort(x)
+        x = x[place]
+    new = np.ones(n, bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    at = np.empty(n, np.int64)
+    at[place] = np.cumsum(new) - 1
+    return x[new], place[new], at
+
+
+def _grams(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of numbers of 32 bits in order: their two parts, a place of each, and which is at each place."""
+    words, bits = None, int(word.max(initial=0)).bit_length()
+    if int(context.max(initial=0)).bit_length() + bits + len(word).bit_length() > 64:
+        words, _, word = _unique(word)
+        bits = len(words).bit_length()
+    gram, where, at = _unique(context.astype(np.uint64) << np.uint64(bits) | word.astype(np.uint64))
+    context, word = (gram >> np.uint64(bits)).astype(np.int64), (gram & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return context, word if words is None else words[word].astype(np.int64), where, at
+
+
+def _among(x: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Which numbers of x are among few sorted ones."""
+    if not len(few):
+        return np.zeros(len(x), bool)
+    return few[np.minimum(np.searchsorted(few, x), len(few) - 1)] == x
+
+
 def held_out(doc_id: int | None, folds: int, fold: int) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == fold
 
 
-def _requests(block: int, bucket: np.ndarray, pack, turn: int = 0, turns: int = 1) -> list[tuple]:
+def _requests(block: int, bucket: np.ndarray, pack) -> list[tuple]:
     """One row per run of a bucket, with what pack(first, past last) makes of it."""
     edges = np.flatnonzero(np.diff(bucket, prepend=-1))
     if not len(edges):
         return []
-    return [(block, int(bucket[a]), pack(a, b)) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True) if bucket[a] % turns == turn]
+    return [(block, int(bucket[a]), pack(a, b)) for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True)]
 
 
 def _blocks(docs: DataFrame, folds: int, fold: int, block_tokens: int, bits: int) -> DataFrame:
@@ -166,20 +212,27 @@ class Hot:
     sums: np.ndarray | None = None
 
     def whole(self, context: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        """Sums of contexts, those of hot ones over all partitions."""
-        at = np.isin(context, self.contexts)
-        sums[at] = self.sums[np.searchsorted(self.contexts, context[at])]
+        """Sums of contexts, a column each, those of hot ones over all partitions."""
+        at = _among(context, self.contexts)
+        sums[:, at] = self.sums[np.searchsorted(self.contexts, context[at])].T
         return sums
 
 
-def lower_parts(c: np.ndarray, split: bool) -> list[np.ndarray]:
-    """Counts of the lower order in parts that stay whole numbers when added up: those that are discounted by count, and the rest."""
-    return [*((c == r).astype(np.int64) for r in range(1, CUTOFF + 1)), np.where(c > CUTOFF, c, 0)] if split else [c]
+def by_count(whose: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """How many n-grams of count 1..CUTOFF each of n contexts has: a row for each count."""
+    kinds = CUTOFF + 2
+    return np.bincount(whose * kinds + np.minimum(c, CUTOFF + 1), minlength=n * kinds).reshape(n, kinds)[:, 1 : CUTOFF + 1].T
+
+
+def lower_parts(whose: np.ndarray, c: np.ndarray, n: int, split: bool) -> list[np.ndarray]:
+    """Counts of the lower order, by context, in parts that stay whole numbers when added up: those that are discounted by count, and the rest."""
+    rest = np.bincount(whose, weights=np.where(c > CUTOFF, c, 0) if split else c, minlength=n).astype(np.int64)
+    return [*(by_count(whose, c, n) if split else ()), rest]
 
 
 def lower_mass(parts: np.ndarray, discount: np.ndarray) -> np.ndarray:
     """The discounted counts that sums of such parts come to."""
-    return parts[:, 0] if parts.shape[1] == 1 else parts[:, :CUTOFF] @ (discount[1:] * np.arange(1, CUTOFF + 1)) + parts[:, CUTOFF]
+    return parts[0] if len(parts) == 1 else (discount[1:] * np.arange(1, CUTOFF + 1)) @ parts[:CUTOFF] + parts[CUTOFF]
 
 
 def backoff(context: np.ndarray, kinds: np.ndarray, share: np.ndarray, discount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +243,7 @@ def backoff(context: np.ndarray, kinds: np.ndarray, share: np.ndarray, discount:
     context's discounted counts and its backoff add up to one: the class of words never seen has a
     share in every lower order, and some of it is always left. Contexts never seen leave all to the lower order.
     """
-    lost = kinds @ ((1 - discount[1:]) * np.arange(1, CUTOFF + 1))
+    lost = ((1 - discount[1:]) * np.arange(1, CUTOFF + 1)) @ kinds
     none = lost <= 0
     whole = np.maximum(context, 1) + none
     alpha = np.where(none, 1.0, lost) / whole / np.maximum(1 - share, 1e-15)
@@ -208,7 +261,7 @@ class Level:
     word: np.ndarray
     runs: np.ndarray  # first n-gram of each run of one bucket and context
 
-    def asks(self, block: int, seen: np.ndarray, lower: np.ndarray, turn: int = 0, turns: int = 1) -> list[tuple]:
+    def asks(self, block: int, seen: np.ndarray, lower: np.ndarray) -> list[tuple]:
         """Rows for the table: contexts, how many words of each, the words, training counts here, counts of the lower order."""
 
         def pack(a, b):
@@ -216,28 +269,32 @@ class Level:
             sizes = np.diff(run, append=b)
             return _pack(self.context[run], self.word[a:b], np.concatenate([sizes, seen[a:b], lower[a:b]]))
 
-        return _requests(block, self.bucket, pack, turn, turns)
+        return _requests(block, self.bucket, pack)
 
     def spread(self, of_runs: np.ndarray) -> np.ndarray:
         return np.repeat(of_runs, np.diff(self.runs, append=len(self.context)))
 
 
-def _bucket(context: np.ndarray, word: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
-    """By context; the n-grams of a hot one are spread by their word."""
-    salt = np.where(np.isin(context, hot), word % 64 + 1, 0)
-    return (mix((context * 131 + salt).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+def _buckets(context: np.ndarray, word: np.ndarray, contexts: np.ndarray, words: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
+    """By context; the n-grams of a hot one are spread by their word. context and word are places among contexts and words."""
+
+    def bucket(context, salt):
+        return (mix((context * 131 + salt).astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)
 
+    out = bucket(contexts, 0)[context]
+    at = np.flatnonzero(_among(contexts, hot)[context])
+    out[at] = bucket(contexts[context[at]], words[word[at]] % 64 + 1)
+    return out
 
-def _level(local: np.ndarray, word: np.ndarray, bits: int, hot: np.ndarray, contexts: np.ndarray | None = None) -> Level:
-    """local: each position's context, by its number of 32 bits or its place among `contexts`."""
-    gram, where, at = np.unique(local.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64), return_index=True, return_inverse=True)
-    context, word = (gram >> np.uint64(32)).astype(np.int64), (gram & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    context = context if contexts is None else contexts[context]
-    bucket = _bucket(context, word, bits, hot)
-    order = np.argsort(bucket, kind="stable")
+
+def _level(context: np.ndarray, word: np.ndarray, contexts: np.ndarray, words: np.ndarray, bucket: np.ndarray) -> Level:
+    """context, word: those of each position by their places among contexts and words."""
+    context, word, where, at = _grams(context, word)
+    bucket = bucket[where]
+    order = np.argsort(bucket, kind="stable")  # of 16 bits: by digits
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    bucket, context, word = bucket[order], context[order], word[order]
+    bucket, context, word = bucket[order].astype(np.int64), contexts[context[order]], words[word[order]]
     runs = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(context, prepend=-1) != 0))
     return Level(place[at], where[order], bucket, context, word, runs)
 
@@ -248,24 +305,26 @@ def _table(split: bool, hot: np.ndarray, often_over: float):
 
     def table(_bucket_no, asks):
         asks = [(a[0].astype(np.int64), a[2][: len(a[0])].astype(np.int64), a[1], *a[2][len(a[0]) :].reshape(2, -1)) for a in asks]
-        contexts, local = np.unique(np.concatenate([a[0] for a in asks]), return_inverse=True)
+        context = np.concatenate([a[0] for a in asks])
+        first, second, _, local = _grams(context >> 32, context & 0xFFFFFFFF)
+        contexts, n = first << 32 | second, len(first)
         of_asks = np.split(local, np.cumsum([len(a[0]) for a in asks])[:-1])
-        local = np.repeat(local, np.concatenate([a[1] for a in asks]))
-        gram, where, at = np.unique(local.astype(np.uint64) << np.uint64(32) | np.concatenate([a[2] for a in asks]).astype(np.uint64), return_index=True, return_inverse=True)
-        c = np.bincount(at, weights=np.concatenate([a[3] for a in asks]), minlength=len(gram)).astype(np.int64)
-        lower = np.concatenate([a[4].astype(np.int64) for a in asks])[where]
-        whose = (gram >> np.uint64(32)).astype(np.int64)
-        sums = [np.bincount(whose[c == r], minlength=len(contexts)) for r in range(1, CUTOFF + 1)]
-        sums += [np.bincount(whose[c > 0], weights=x, minlength=len(contexts)).astype(np.int64) for x in lower_parts(lower[c > 0], split)]
-        often = contexts[whose[c > often_over]] << 32 | (gram & np.uint64(0xFFFFFFFF)).astype(np.int64)[c > often_over]
+        whose, word, where, at = _grams(np.repeat(local, np.concatenate([a[1] for a in asks])), np.concatenate([a[2] for a in asks]))
+        c = np.bincount(at, weights=np.concatenate([a[3] for a in asks]), minlength=len(word)).astype(np.int64)
+        lower = np.concatenate([a[4] for a in asks])[where].astype(np.int64)
+        seen = c > 0
+        sums = np.stack([*by_count(whose, c, n), *lower_parts(whose[seen], lower[seen], n, split)])
+        sums = sums.astype(np.int32 if sums.max(initial=0) < 1 << 31 else np.int64)
+        often = contexts[whose[c > often_over]] << 32 | word[c > often_over]
         told, cut = [], np.cumsum([0] + [len(a[2]) for a in asks])
-        for k, a in enumerate(asks):
+        for k in range(len(asks)):
             mine = at[cut[k] : cut[k + 1]]
             # all sums as one array: a message is small, and every array costs the tables of its code
-            x, y = _pack(c[mine]), _pack(np.concatenate([t[of_asks[k]] for t in sums]))
+            x, y = _pack(c[mine]), _pack(np.take(sums, of_asks[k], 1).reshape(-1))
             told.append(len(x).to_bytes(8, "little") + x + y)
-        parts = np.flatnonzero(np.isin(contexts, hot))
-        return told, {"kinds": [int((c == r).sum()) for r in range(1, CUTOFF + 2)], "often": often.tolist(), "context": contexts[parts].tolist(), "parts": np.stack(sums, 1)[parts].reshape(-1).tolist()}
+        parts = np.flatnonzero(_among(contexts, hot))
+        kinds = np.bincount(np.minimum(c, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2]
+        return told, {"kinds": kinds.tolist(), "often": often.tolist(), "context": contexts[parts].tolist(), "parts": sums[:, parts].T.reshape(-1).tolist()}
 
     return table
 
@@ -284,13 +343,14 @@ def _summary(told: DataFrame, hot: np.ndarray, split: bool) -> tuple[np.ndarray,
     return d, Hot(hot, parts), often
 
 
-def _heard(answers, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """What a block was told: the count of each n-gram, the sums of each run."""
-    blobs = [x["told"] for x in answers or []]
-    cuts = [8 + int.from_bytes(x[:8], "little") for x in blobs]
-    counts = np.concatenate([_unpack(b[8:c])[0] for b, c in zip(blobs, cuts, strict=True)]).astype(np.int64)
-    sums = [_unpack(b[c:])[0].reshape(width, -1) for b, c in zip(blobs, cuts, strict=True)]
-    return counts, np.concatenate(sums, 1).astype(float).T.copy()
+def _heard_counts(answers) -> np.ndarray:
+    """What a block was told: the count of each n-gram."""
+    return np.concatenate([_unpack(b[8 : 8 + int.from_bytes(b[:8], "little")])[0] for b in (x["told"] for x in answers)]).astype(np.int64)
+
+
+def _heard_sums(answers, width: int) -> np.ndarray:
+    """And the sums of each run, a column each."""
+    return np.concatenate([_unpack(b[8 + int.from_bytes(b[:8], "little") :])[0].reshape(width, -1) for b in (x["told"] for x in answers)], 1).astype(float)
 
 
 @dataclass
@@ -311,47 +371,58 @@ class Block:
         doc, null, n, local = _unpack(body)
         self.model, self.bits, self.n = model, bits, n.astype(np.int64)
         self.ids = [None if z else d for d, z in zip(doc.view(np.int64).tolist(), null.tolist(), strict=True)]
-        counts, word = _told(uni)
-        self.count, self.word = counts[local], word[local]
+        counts, number = _told(uni)
+        self.words, _, rank = _unique(number)
+        self.words = self.words.astype(np.int64)
+        # each word by its place among the block's
+        self.count, self.word = counts[local], rank[local]
         self.starts = np.cumsum(self.n) - self.n
         # a document's first token follows the end of a text, which is every document's last token
         before, self.before_count = np.empty_like(self.word), np.empty_like(self.count)
         before[1:], self.before_count[1:] = self.word[:-1], self.count[:-1]
         end = self.n[0] - 1
         before[self.starts], self.before_count[self.starts] = self.word[end], self.count[end]
-        self.pairs = _level(before, self.word, bits[0], model.hot[0].contexts)
-        self.lower = np.where(self.word == 0, model.unseen, self.count)[self.pairs.where]
+        self.pairs = _level(before, self.word, self.words, self.words, _buckets(before, self.word, self.words, self.words, bits[0], model.hot[0].contexts))
+        self.lower = np.where(self.words[self.word] == 0, model.unseen, self.count)[self.pairs.where]
 
     def seen(self, level: Level, positions, folds: int, fold: int) -> np.ndarray:
         train = np.repeat(np.array([not held_out(d, folds, fold) for d in self.ids]), self.n)[positions]
         return np.bincount(level.at[train], minlength=len(level.context))
 
+    def hear_triples(self, answers, turn: int | None = None) -> None:
+        """The triples: those whose first two words were seen in training. With a turn, those that are asked in it."""
+        p = self.pairs
+        self.c2 = _heard_counts(answers)
+        inner = np.ones(len(self.word), bool)
+        inner[self.starts] = False
+        inner[1:] &= self.c2[p.at[:-1]] > 0
+        self.positions = np.flatnonzero(inner)
+        context, contexts = p.at[self.positions - 1], p.context << 32 | p.word
+        bucket = _buckets(context, self.word[self.positions], contexts, self.words, self.bits[1], self.model.hot[1].contexts)
+        if turn is not None:
+            mine = bucket % TURNS == turn
+            self.positions, context, bucket = self.positions[mine], context[mine], bucket[mine]
+        self.triples = _level(context, self.word[self.positions], contexts, self.words, bucket)
+
     def hear_pairs(self, answers) -> None:
-        """Probabilities of pairs, and the triples: those whose first two words were seen in training."""
-        self.c2, sums = _heard(answers, CUTOFF + 1)
+        """Probabilities of pairs."""
         m, p = self.model, self.pairs
-        sums = m.hot[0].whole(p.context[p.runs], sums)
-        alpha, whole = backoff(self.before_count[p.where[p.runs]], sums[:, :CUTOFF], lower_mass(sums[:, CUTOFF:], m.discount[0]) / (m.total + m.unseen), m.discount[0])
+        sums = m.hot[0].whole(p.context[p.runs], _heard_sums(answers, CUTOFF + 1))
+        alpha, whole = backoff(self.before_count[p.where[p.runs]], sums[:CUTOFF], lower_mass(sums[CUTOFF:], m.discount[0]) / (m.total + m.unseen), m.discount[0])
         self.whole = p.spread(whole)
         direct = m.discount[0][np.where(self.c2 <= CUTOFF, self.c2, 0)] * self.c2 / self.whole
         self.p2 = np.where(self.c2 > 0, direct, p.spread(alpha) * self.lower / (m.total + m.unseen))
-        inner = np.ones(len(self.word), bool)
-        inner[self.starts] = False
-        inner[1:] &= self.c2[p.at[:-1]] > 0
-        self.positions = np.flatnonzero(inner)
-        self.triples = _level(p.at[self.positions - 1], self.word[self.positions], self.bits[1], m.hot[1].contexts, p.context << 32 | p.word)
 
     def log_probabilities(self, answers) -> np.ndarray:
         """Of each token, by its longest context that was seen."""
         out = np.log10(self.p2)[self.pairs.at]
         if len(self.positions):
-            c3, sums = _heard(answers, 2 * CUTOFF + 1)
-            m, t = self.model, self.triples
-            sums = m.hot[1].whole(t.context[t.runs], sums)
+            m, t, c3 = self.model, self.triples, _heard_counts(answers)
+            sums = m.hot[1].whole(t.context[t.runs], _heard_sums(answers, 2 * CUTOFF + 1))
             place = self.positions[t.where]  # of each triple
             pair = self.pairs.at[place]
             first = pair[t.runs]
-            alpha, whole = backoff(self.c2[self.pairs.at[place[t.runs] - 1]], sums[:, :CUTOFF], lower_mass(sums[:, CUTOFF:], m.discount[0]) / self.whole[first], m.discount[1])
+            alpha, whole = backoff(self.c2[self.pairs.at[place[t.runs] - 1]], sums[:CUTOFF], lower_mass(sums[CUTOFF:], m.discount[0]) / self.whole[first], m.discount[1])
             direct = m.discount[1][np.where(c3 <= CUTOFF, c3, 0)] * c3 / t.spread(whole)
             out[self.positions] = np.log10(np.where(c3 > 0, direct, t.spread(alpha) * self.p2[pair]))[t.at]
         return out
@@ -420,8 +491,8 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, block_tokens: in
 
     def triples_of(turn):
         def asks(block, b, bi):
-            b.hear_pairs(bi)
-            return b.triples.asks(block, b.seen(b.triples, b.positions, folds, fold), b.c2[b.pairs.at[b.positions[b.triples.where]]], turn, TURNS)
+            b.hear_triples(bi, turn)
+            return b.triples.asks(block, b.seen(b.triples, b.positions, folds, fold), b.c2[b.pairs.at[b.positions[b.triples.where]]])
 
         return asks
 
@@ -439,6 +510,7 @@ def score_texts(docs: DataFrame, folds: int = 7, fold: int = 2, block_tokens: in
         for batch in batches:
             for body, uni, bi, tri in zip(batch.column(0), *(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 b = Block(body.as_py(), uni, model, levels)
+                b.hear_triples(bi)
                 b.hear_pairs(bi)
                 logp = b.log_probabilities(tri)
                 base = np.log10(b.count + 1) - math.log10(model.total + model.types + 1)

@@ -1,11 +1,13 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
-from docweave.llm.katz import CUTOFF, discounts, score_texts
+from docweave.llm.katz import CUTOFF, TURNS, Block, Hot, Model, _grams, _pack, _unique, _unpack, discounts, score_texts
 
 
 def brute(rows, check=False):
@@ -99,3 +101,62 @@ def test_contexts_without_rare_pairs(spark):
     got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame(train + [(held[0], "a a")], "doc_id long, text string")).collect()}
     want = {d: s for d, *_, s in brute(train + [(held[0], "a a")])}
     assert math.isfinite(got[held[0]]) and all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in got)
+
+
+@pytest.mark.parametrize("n, contexts, words", [(0, 1, 1), (1, 1, 1), (5000, 1, 1 << 20), (5000, 300, 20), (5000, 300, 1 << 32), (5000, 1 << 32, 1 << 32)])
+def test_distinct_grams(n, contexts, words):
+    """Whether or not context, word and place fit in 64 bits."""
+    rng = np.random.default_rng(n)
+    context, word = rng.integers(0, contexts, n), rng.integers(0, words, n)
+    context[n // 2 :], word[n // 2 :] = context[: n - n // 2], word[: n - n // 2]
+    c, w, where, at = _grams(context, word)
+    want = sorted(set(zip(context.tolist(), word.tolist(), strict=True)))
+    assert list(zip(c.tolist(), w.tolist(), strict=True)) == want
+    assert (c[at] == context).all() and (w[at] == word).all()
+    assert (context[where] == c).all() and (word[where] == w).all()
+
+
+def test_distinct_grams_are_cheap():
+    """N-grams of a block take less than half the time of np.unique with places and inverse."""
+    rng = np.random.default_rng(5)
+    x = rng.zipf(1.3, 1 << 19).astype(np.uint64) % np.uint64(200_000) << np.uint64(20) | rng.zipf(1.3, 1 << 19).astype(np.uint64) % np.uint64(100_000)
+
+    def seconds(f):
+        times = []
+        for _ in range(4):
+            at = time.process_time()
+            f()
+            times.append(time.process_time() - at)
+        return min(times)
+
+    assert (_unique(x)[0] == np.unique(x)).all()
+    assert seconds(lambda: _unique(x)) < 0.5 * seconds(lambda: np.unique(x, return_index=True, return_inverse=True))
+
+
+def test_messages_read_back():
+    rng = np.random.default_rng(6)
+    arrays = [rng.integers(0, 1 << b, 1000, np.int64) for b in (1, 8, 9, 16, 17, 32, 33, 60)] + [rng.integers(0, 1 << 63, 7, np.uint64), np.arange(-5, 5), np.zeros(0, np.int64)]
+    for a, b in zip(arrays, _unpack(_pack(*arrays)), strict=True):
+        assert (a == b).all() and len(a) == len(b)
+
+
+def test_a_turn_takes_its_own_triples():
+    """What is sorted in a turn is asked in it, and all turns ask what one alone would, hot contexts and words never seen included."""
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(1, 60, 100)
+    local = np.minimum(rng.zipf(1.5, int(sizes.sum())) - 1, 299)
+    number = np.append(rng.permutation(np.arange(1, 300)), 0)
+    body = _pack(np.arange(100, dtype=np.uint64), np.zeros(100, np.uint8), sizes, local)
+    uni = [{"bucket": 0, "told": _pack(np.where(number > 0, 5, 0), number)}]
+    top = int(number[0])
+    model = Model(9000, 299, 1, [Hot(np.array([top])), Hot(np.array([top << 32 | top]))], [np.ones(CUTOFF + 1)] * 2)
+
+    def asks(turn):
+        b = Block(body, uni, model, (5, 6))
+        c2 = _pack(np.where(np.arange(len(b.pairs.word)) % 3, 2, 0))
+        b.hear_triples([{"bucket": 0, "told": len(c2).to_bytes(8, "little") + c2}], turn)
+        return len(b.positions), b.triples.asks(1, b.seen(b.triples, b.positions, 7, 2), b.c2[b.pairs.at[b.positions[b.triples.where]]])
+
+    whole, parts = asks(None), [asks(t) for t in range(TURNS)]
+    assert all(0 < n < whole[0] for n, _ in parts) and sum(n for n, _ in parts) == whole[0]
+    assert sorted(row for _, rows in parts for row in rows) == whole[1]
