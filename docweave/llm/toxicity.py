@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.llm._store import row_type, small_batches, with_rows
-from docweave.llm._text import Words, column_bytes, mix, runs, without_marks
+from docweave.llm._text import Words, column_bytes, mix, runs, slices, without_marks
 
 DIM, HIDDEN = 12, 8
 #: Bytes of an input, and of the overlap of a long word's inputs: the longest run less one.
 PIECE, OVERLAP = 40, 4
+#: Bytes of distinct words, character runs, and words of documents that are worked on together.
+BLOCK = 1 << 16
 _PIECE_SALT = np.uint64(0x7E57A11CE0FF5E75)
 
 
@@ -60,13 +62,33 @@ class Tokens:
         self.begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
         self.chars = words.data[np.repeat(s - self.begin[:-1], size) + np.arange(self.begin[-1])] if len(s) else np.zeros(0, np.uint8)
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the distinct words' character runs, and the word of each."""
-        n = len(self.chars)
-        owner = np.repeat(np.arange(len(self.hash)), np.diff(self.begin))
-        end = self.begin[1:][owner] if n else np.zeros(0, np.int64)
+    @classmethod
+    def read(cls, data: np.ndarray, offsets: np.ndarray) -> Tokens:
+        """Of many documents, slice by slice, so that only the result grows with their bytes; as if read at once."""
+        parts = [cls(Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], True)) for a, b in slices(offsets)]
+        if len(parts) < 2:
+            return parts[0] if parts else cls(Words(data, offsets, True))
+        out = cls.__new__(cls)
+        out.hash, first, back = np.unique(np.concatenate([t.hash for t in parts]), return_index=True, return_inverse=True)
+        ends = np.cumsum([len(t.hash) for t in parts])
+        out.at = np.concatenate([back[end - len(t.hash) : end].astype(np.int32)[t.at] for t, end in zip(parts, ends, strict=True)])
+        out.bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(t.bounds) for t in parts]))])
+        out.front = np.concatenate([t.front for t in parts])[first]
+        sizes = np.concatenate([np.diff(t.begin) for t in parts])
+        starts, size = (np.cumsum(sizes) - sizes)[first], sizes[first]
+        out.begin = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        out.chars = np.concatenate([t.chars for t in parts])[np.repeat(starts - out.begin[:-1], size) + np.arange(out.begin[-1])]
+        return out
+
+    def grams(self, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the character runs of the distinct words first..last, and the word of each."""
+        begin = self.begin[first : len(self.hash) + 1 if last is None else last + 1]
+        chars, begin, starts = self.chars[begin[0] : begin[-1]], begin - begin[0], self.front[first:last]
+        n = len(chars)
+        owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+        end = begin[1:][owner] if n else np.zeros(0, np.int64)
         place = np.arange(n)
-        b = self.chars.astype(np.uint64) + np.uint64(1)
+        b = chars.astype(np.uint64) + np.uint64(1)
         out, whose = [], []
         h = np.zeros(n, np.uint64)
         for k in range(min(5, n)):
@@ -75,10 +97,10 @@ class Tokens:
                 inside = place + k < end
                 out.append(mix(h[inside] + np.uint64(k << 56)))
                 whose.append(owner[inside])
-                front = self.begin[:-1][self.front & (np.diff(self.begin) > k)]
+                front = begin[:-1][starts & (np.diff(begin) > k)]
                 out.append(mix(h[front] + np.uint64((k + 16) << 56)))
                 whose.append(owner[front])
-        return np.concatenate([np.zeros(0, np.uint64), *out]), np.concatenate([np.zeros(0, np.int64), *whose])
+        return np.concatenate([np.zeros(0, np.uint64), *out]), np.concatenate([np.zeros(0, np.int64), *whose]) + first
 
 
 def windows(bounds: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +127,15 @@ class Network:
         """words, grams: sorted hashes."""
         rng = np.random.default_rng(seed)
         draw = lambda *s: rng.normal(0, s[0] ** -0.5, s).astype(np.float32)
-        p = {"Ew": 0.1 * rng.normal(size=(len(words) + 1, DIM)).astype(np.float32), "Ec": 0.1 * rng.normal(size=(len(grams) + 1, DIM)).astype(np.float32), "v": draw(2 * HIDDEN), "w": draw(2 * HIDDEN), "b": np.array([-1.0], np.float32)}
+
+        def table(n):
+            out = np.empty((n, DIM), np.float32)
+            for a in range(0, n, BLOCK):
+                part = out[a : a + BLOCK]
+                part[:] = 0.1 * rng.normal(size=part.shape).astype(np.float32)
+            return out
+
+        p = {"Ew": table(len(words) + 1), "Ec": table(len(grams) + 1), "v": draw(2 * HIDDEN), "w": draw(2 * HIDDEN), "b": np.array([-1.0], np.float32)}
         p["Ew"][-1] = p["Ec"][0] = 0
         for d in "fb":
             p |= {f"W{d}": draw(DIM, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32), f"U{d}": draw(HIDDEN, 3 * HIDDEN)}
@@ -115,18 +145,23 @@ class Network:
         """For distinct words: id of the word, ids of its known runs, and the word of each run."""
         ident = _places(self.words, t.hash)
         ident[ident < 0] = len(self.words)
-        g, owner = t.grams()
-        gid = _places(self.grams, g)
-        gid, owner = gid[gid >= 0] + 1, owner[gid >= 0]
-        by = np.argsort(owner, kind="stable")
-        return ident, gid[by], owner[by]
+        gids, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for a, b in slices(t.begin, BLOCK):
+            g, owner = t.grams(a, b)
+            gid = _places(self.grams, g)
+            by = np.flatnonzero(gid >= 0)
+            by = by[np.argsort(owner[by], kind="stable")]
+            gids.append((gid[by] + 1).astype(np.int32))
+            owners.append(owner[by].astype(np.int32))
+        return ident, np.concatenate(gids), np.concatenate(owners)
 
     def vectors(self, ident, gid, owner) -> np.ndarray:
-        x = self.p["Ew"][ident].copy()
+        x = self.p["Ew"][ident]
         if len(owner):
-            edges = np.flatnonzero(np.diff(owner, prepend=-1))
-            n = np.diff(np.append(edges, len(owner)))
-            x[owner[edges]] += np.add.reduceat(self.p["Ec"][gid], edges, axis=0) / n[:, None]
+            edges = np.concatenate([[0], 1 + np.flatnonzero(owner[1:] != owner[:-1]), [len(owner)]])
+            for a, b in slices(edges, BLOCK):
+                start, own, n = edges[a], edges[a:b], np.diff(edges[a : b + 1])
+                x[owner[own]] += np.add.reduceat(self.p["Ec"][gid[start : edges[b]]], own - start, axis=0) / n[:, None]
         return x
 
     def _read(self, pre: np.ndarray, U: np.ndarray, live: np.ndarray, keep: bool):
@@ -196,9 +231,9 @@ class Network:
             dx += flat @ p[f"W{d}"].T
         return g, dx
 
-    def logits(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each window's logit, and its first word and document."""
-        x = np.concatenate([self.vectors(*self.inputs(t)), np.zeros((1, DIM), np.float32)])
+    def logits(self, t: Tokens, inputs: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each window's logit, and its first word and document. inputs: those of t, where they are known."""
+        x = np.concatenate([self.vectors(*(inputs or self.inputs(t))), np.zeros((1, DIM), np.float32)])
         first, size, doc = windows(t.bounds, self.span)
         out = np.empty(len(first), np.float32)
         for a in range(0, len(first), 2048):
@@ -222,6 +257,12 @@ def _places(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(known[at] == asked, at, -1)
 
 
+def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of each one's weights."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(at, weights=weights, minlength=len(distinct))
+
+
 def _spread(start: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The entries start[w]..start[w + 1] of each w, and the place of its w in `of`."""
     n = start[of + 1] - start[of]
@@ -264,15 +305,24 @@ def train(texts: list[str | None], toxic: list[int], weight: list[float], span:
     Without both labels the network scores near the share of label 1.
     """
     data, offsets = column_bytes(pa.array(texts, pa.large_string()))
-    t, y = Tokens(Words(data, offsets, True)), np.array(toxic, np.float32)
-    doc_of = np.repeat(np.arange(len(texts)), np.diff(t.bounds))
-    pairs = np.unique(doc_of.astype(np.int64) * len(t.hash) + t.at) if len(t.at) else np.zeros(0, np.int64)
-    df = np.bincount(pairs % max(1, len(t.hash)), minlength=len(t.hash))
+    t, y = Tokens.read(data, offsets), np.array(toxic, np.float32)
+    df = np.zeros(len(t.hash), np.int64)
+    for a, b in slices(t.bounds, BLOCK):
+        pairs = np.unique(np.repeat(np.arange(b - a), np.diff(t.bounds[a : b + 1])) * len(t.hash) + t.at[t.bounds[a] : t.bounds[b]])
+        df += np.bincount(pairs % max(1, len(t.hash)), minlength=len(t.hash))
     known = t.hash[df >= 3]
-    g, owner = t.grams()
-    grams, at = np.unique(g, return_inverse=True)
-    n = np.bincount(at, weights=df[owner], minlength=len(grams))
-    net = Network.fresh(known, grams[n >= 5], span, seed)
+    found = []
+    for a, b in slices(t.begin, BLOCK):
+        g, owner = t.grams(a, b)
+        g, n = _sums(g, df[owner])
+        cut = np.searchsorted(g, np.arange(1, 16, dtype=np.uint64) << np.uint64(60))
+        found.append(list(zip(np.split(g, cut), np.split(n, cut), strict=True)))
+    grams = [np.zeros(0, np.uint64)]
+    for parts in zip(*found, strict=True):  # one range of hashes after the other
+        g, n = _sums(*map(np.concatenate, zip(*parts, strict=True)))
+        grams.append(g[n >= 5])
+    del found
+    net = Network.fresh(known, np.concatenate(grams), span, seed)
     share = float(np.average(y, weights=weight)) if len(y) else 0.0
     prior = np.log((share + 0.01) / (1.01 - share))
     if len(y) == 0 or y.min() == y.max():
@@ -280,8 +330,8 @@ def train(texts: list[str | None], toxic: list[int], weight: list[float], span:
         return net
     rng = np.random.default_rng(seed)
     hold = rng.random(len(y)) < 0.2
-    ident, gid, gown = net.inputs(t)
-    gstart = np.searchsorted(gown, np.arange(len(ident) + 1))
+    inputs = ident, gid, gown = net.inputs(t)
+    gstart = np.searchsorted(gown, np.arange(len(ident) + 1, dtype=gown.dtype))
     first, size, doc = windows(t.bounds, span)
     adam = _Adam(net.p, 0.01)
 
@@ -310,14 +360,14 @@ def train(texts: list[str | None], toxic: list[int], weight: list[float], span:
     used = ~hold[doc]
     learn(np.flatnonzero(used), 2.0, 150)
     for r in range(rounds):
-        logit = net.logits(t)[0]
+        logit = net.logits(t, inputs)[0]
         order = np.lexsort((-logit, doc))
         top = order[np.searchsorted(doc, np.arange(len(y)))]
         # a clean document's other windows are clean as well: some of them, chosen anew, keep the rest honest
         extra = rng.choice(np.flatnonzero(used & (y[doc] == 0)), min(len(y), int((used & (y[doc] == 0)).sum())), replace=False)
         adam.rate = 0.01 if r < rounds - 2 else 0.003
         learn(np.unique(np.concatenate([top[~hold], extra])), 2.0, 40)
-    logit = net.logits(t)[0]
+    logit = net.logits(t, inputs)[0]
     top = np.maximum.reduceat(logit, np.searchsorted(doc, np.arange(len(y)))).astype(float)
     cal = hold if hold.sum() >= 100 and 0 < y[hold].sum() < hold.sum() else np.ones(len(y), bool)
     w = np.array(weight)[cal]

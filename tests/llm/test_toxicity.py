@@ -91,3 +91,43 @@ def test_text_without_spaces_is_read_whole():
     head = "_".join(pool[:8])
     clean, bad = net.scores(words(head + "_" + "_".join(pool[8:14]), head + "_vilezzz_vilezzz_" + "_".join(pool[8:12])))
     assert len(head) > PIECE and bad > clean + 0.2
+
+
+def test_memory_follows_the_text_and_not_steps_between():
+    """Training and scoring take a few times the bytes of the texts; blocks give what the whole gives."""
+    import tracemalloc
+
+    from docweave.llm.toxicity import train
+
+    rng = np.random.default_rng(3)
+    letters = rng.integers(97, 123, (60_000, 11), np.uint8)
+    vocab = np.array([bytes(w[: 4 + i % 8]).decode() for i, w in enumerate(letters)])
+    texts = [" ".join(vocab[rng.integers(0, len(vocab), 1000)]) for _ in range(400)]
+    total = sum(map(len, texts))
+    data, offsets = column_bytes(pa.array(texts, pa.large_string()))
+    whole = Tokens(Words(data, offsets, True))
+
+    def peak(work):
+        tracemalloc.start()
+        try:
+            return work(), tracemalloc.get_traced_memory()[1] / total
+        finally:
+            tracemalloc.stop()
+
+    net, taken = peak(lambda: train(texts, [0] * len(texts), [1.0] * len(texts)))
+    assert taken < 24
+    g, owner = whole.grams()
+    assert len(net.grams) > 50_000 and total > 3_000_000
+    logits, taken = peak(lambda: net.logits(whole)[0])
+    assert taken < 12
+    t = Tokens.read(data, offsets)
+    assert all(np.array_equal(getattr(t, k), getattr(whole, k)) for k in ("hash", "at", "bounds", "front", "begin", "chars"))
+    assert np.array_equal(net.logits(t)[0], logits)
+    doc = np.repeat(np.arange(len(texts)), np.diff(whole.bounds))
+    df = np.bincount(np.unique(doc * len(whole.hash) + whole.at) % len(whole.hash), minlength=len(whole.hash))
+    grams, at = np.unique(g, return_inverse=True)
+    assert np.array_equal(net.words, whole.hash[df >= 3])
+    assert np.array_equal(net.grams, grams[np.bincount(at, weights=df[owner]) >= 5])
+    for empty in ([], [None, ""], ["!!", " "]):
+        data, offsets = column_bytes(pa.array(empty, pa.large_string()))
+        assert Tokens.read(data, offsets).bounds.tolist() == [0] * (len(empty) + 1)
