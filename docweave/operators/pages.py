@@ -46,6 +46,31 @@ def native_text_signals(s: DataFrame) -> DataFrame:
     return s.withColumn("reliable", reliable).withColumn("ocr_layer", layer).withColumn("corrupt", corrupt).withColumn("trusted", reliable & ~layer & ~corrupt & (image <= TRUST_IMAGE)).withColumn("needs_ocr", F.when(F.col("corrupt"), True).when(F.col("ocr_layer"), False).otherwise(~F.col("reliable")))
 
 
+#: Cells of a row that one number holds as bits.
+WORD = 60
+
+
+def row_bits(boxes: DataFrame, name: str, wider: int = 0) -> DataFrame:
+    """boxes: (page_id, gx0, gy0, gx1, gy1) in cells, as rows (page_id, gy, word) with the bits of the cells between; no cell is a row."""
+    word = lambda c: F.floor(c / WORD).cast("long")
+    x0, x1 = F.col("gx0") - wider, F.col("gx1") + wider
+    # sequence() would go down if a box ended before it began, and take both its ends
+    rows = boxes.where("gx0 is not null and gx1 is not null").select("page_id", F.least(x0, x1).alias("a"), F.greatest(x0, x1).alias("b"), F.explode(F.sequence(F.col("gy0") - wider, F.col("gy1") + wider)).alias("gy"))
+    rows = rows.select("page_id", "gy", "a", "b", F.explode(F.sequence(word(F.col("a")), word(F.col("b")))).alias("word"))
+    low, high = F.greatest(F.col("a") - F.col("word") * WORD, F.lit(0)), F.least(F.col("b") - F.col("word") * WORD, F.lit(WORD - 1))
+    ones = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int")) - 1
+    return rows.select("page_id", "gy", "word", (ones(high + 1) - ones(low)).alias(name))
+
+
+def box_coverage(ink: DataFrame, boxes: DataFrame) -> DataFrame:
+    """coverage() of ink that is given as boxes of cells too."""
+    none = F.lit(0).cast("long")
+    both = row_bits(ink, "i").withColumn("c", none).unionByName(row_bits(boxes.where("page_id is not null"), "c", 1).withColumn("i", none))
+    words = both.groupBy("page_id", "gy", "word").agg(F.bit_or("i").alias("i"), F.bit_or("c").alias("c")).where("i <> 0")
+    rows = words.groupBy("page_id", "gy").agg(F.sum(F.bit_count("i")).alias("i"), F.sum(F.bit_count(F.col("i").bitwiseAND(F.bitwise_not("c")))).alias("u"))
+    return _bands(rows)
+
+
 def coverage(ink: DataFrame, boxes: DataFrame) -> DataFrame:
     """ink: (page_id, gx, gy) inky cells; boxes: (page_id, gx0, gy0, gx1, gy1) in cells. The uncovered
     share of inky cells, the densest four rows of them, and the same over the densest four inky rows.
@@ -53,6 +78,11 @@ def coverage(ink: DataFrame, boxes: DataFrame) -> DataFrame:
     cells = boxes.select("page_id", F.explode(F.sequence(F.col("gx0") - 1, F.col("gx1") + 1)).alias("gx"), "gy0", "gy1").select("page_id", "gx", F.explode(F.sequence(F.col("gy0") - 1, F.col("gy1") + 1)).alias("gy")).distinct()
     open_ = ink.join(cells.withColumn("c", F.lit(1)), ["page_id", "gx", "gy"], "left")
     rows = open_.groupBy("page_id", "gy").agg(F.count("*").alias("i"), F.count_if(F.col("c").isNull()).alias("u"))
+    return _bands(rows)
+
+
+def _bands(rows: DataFrame) -> DataFrame:
+    """rows: (page_id, gy, i, u), of each row of cells the inky ones and the uncovered ones among them."""
     w = Window.partitionBy("page_id").orderBy("gy").rangeBetween(-3, 0)
     bands = rows.withColumn("bi", F.sum("i").over(w)).withColumn("bu", F.sum("u").over(w))
     return bands.groupBy("page_id").agg((F.sum("u") / F.sum("i")).alias("uncovered_fraction"), F.max("bu").alias("band"), (F.max("bu") / F.max("bi")).alias("band_frac"))
