@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,27 @@ def multiset_f1(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     return x.select("a", "b", F.when((F.col("ta") == 0) & (F.col("tb") == 0), None).when(F.col("m") == 0, 0.0).otherwise(2.0 * F.col("m") / (F.col("ta") + F.col("tb"))).alias("f1"))
 
 
+def text_f1(a: DataFrame, b: DataFrame, pairs: DataFrame, sign: str = " ") -> DataFrame:
+    """multiset_f1 of the pieces of whole texts. a, b: (id, text); an id's texts count together, null ones not at all.
+
+    Texts are shuffled as they are and split where they are compared, so that no token is a row.
+    """
+    ta, tb = (x.where("id is not null").groupBy(F.col("id").alias(n)).agg(F.collect_list("text").alias(f"_t{n}")) for x, n in ((a, "a"), (b, "b")))
+    # ids of a are looked up first, since pairs are often one for each of them
+    x = pairs.join(ta, "a", "left").join(tb, "b", "left")
+
+    @F.arrow_udf("double")
+    def f1(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for k in range(len(left)):
+            na, nb = (Counter(t for text in x[k].as_py() or () for t in text.split(sign)) for x in (left, right))
+            m, n = sum(min(c, nb[t]) for t, c in na.items() if t in nb), na.total() + nb.total()
+            out.append(None if not n else 2.0 * m / n)
+        return pa.array(out, pa.float64())
+
+    return x.select("a", "b", f1("_ta", "_tb").alias("f1"))
+
+
 def majority_read(scores: DataFrame, least: float = 0.9) -> DataFrame:
     """scores: (page, a, b, f1) of pairs of reads. The earliest read of the best pair that agrees; null if none does."""
     w = Window.partitionBy("page").orderBy(F.desc_nulls_last("f1"), "a", "b")
