@@ -9,12 +9,17 @@ from __future__ import annotations
 import json
 import math
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions.text import currency_cents
+from docweave.operators.grouped import values as listed
 from docweave.operators.parsing import has_repeated_content
 
 # Where rows end in raw output, what a blank run and a separator row look like, closing signs, and thresholds.
@@ -27,6 +32,7 @@ CLOSING = r"""["'\]}\s,]+$"""
 BLANK_ROWS, RUN_ANYWHERE, RUN_AT_END = 18, 16, 12
 WINDOW_REPEATS, SEPARATOR_REPEATS, MARK_REPEATS, WORD_REPEATS, SEPARATORS = 6, 40, 24, 12, ("-", "_", ".")
 RESTORED_CHARS, AT_RISK_RUN, XREF_WORDS, DICE = 4, 8, 3, 0.80
+_DIGIT = re.compile("[0-9]")
 DEMOTED, RESTORABLE = ("inconsistent", "low_coverage"), ("truncated",)
 
 
@@ -178,6 +184,26 @@ def text_layer_matches(tokens: DataFrame) -> DataFrame:
     return by.select("id", ((2 * F.col("m") >= DICE * F.col("n")) & (F.col("da") >= F.col("db"))).alias("matches"))
 
 
+def layers_match(layers: DataFrame, sign: str = " ") -> DataFrame:
+    """text_layer_matches of the pieces of whole texts. layers: (id, a, b); an id's rows count together. Ids without text have no row.
+
+    Tokens are counted in the task that has an id's texts, so that none is a row.
+    """
+    x = layers.groupBy("id").agg(F.collect_list("a").alias("_a"), F.collect_list("b").alias("_b")).where("size(_a) + size(_b) > 0")
+
+    @F.arrow_udf("boolean")
+    def match(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for k in range(len(left)):
+            na, nb = (Counter(t for text in side[k].as_py() for t in text.split(sign)) for side in (left, right))
+            m = sum(min(c, nb[t]) for t, c in na.items() if t in nb)
+            da, db = (sum(c for t, c in n.items() if _DIGIT.search(t)) for n in (na, nb))
+            out.append(2 * m >= DICE * (na.total() + nb.total()) and da >= db)
+        return pa.array(out, pa.bool_())
+
+    return x.select("id", match("_a", "_b").alias("matches"))
+
+
 def text_layer_amounts(words: DataFrame) -> DataFrame:
     """words: (page_id, word_id, x0, y0, x1, y1, word). Currency words, less the nearest one left of each % on its line.
 
@@ -299,31 +325,53 @@ def value_span(raw: str, value: str, start: int) -> tuple[int, int] | None:
     return None
 
 
-def confidences(raw: str, tokens: list[tuple[float, str | None]], values: list[str]) -> list[tuple[float, float, float, int] | None]:
-    """For each value, in order of writing: mean, least and deviation of the log probabilities of the tokens that overlap it, and their number."""
-    spans = token_spans(raw, [t for _, t in tokens]) if raw and tokens else None
-    out, at = [], 0
+def _own(raw: str, probs: list[float], spans: tuple[list[int], list[int]] | None, values: list[str]):
+    """The log probabilities of the tokens that overlap each value, in order of writing; None where there are none."""
+    at = 0
     for v in values:
         place = value_span(raw, v, at) if spans else None
         if place is None:
-            out.append(None)
+            yield None
             continue
         at = place[1]
-        own = [p for (p, _), (a, b) in zip(tokens, spans, strict=True) if a < place[1] and b > place[0]]
+        # both ends of the spans never go back, so a value's tokens follow each other
+        yield probs[bisect_right(spans[1], place[0]) : bisect_left(spans[0], place[1])] or None
+
+
+def confidences(raw: str, tokens: list[tuple[float, str | None]], values: list[str]) -> list[tuple[float, float, float, int] | None]:
+    """For each value, in order of writing: mean, least and deviation of the log probabilities of the tokens that overlap it, and their number."""
+    spans = token_spans(raw, [t for _, t in tokens]) if raw and tokens else None
+    out = []
+    for own in _own(raw, [p for p, _ in tokens], tuple(map(list, zip(*spans))) if spans else None, values):
         mean = sum(own) / len(own) if own else 0.0
         out.append((mean, min(own), (sum((x - mean) ** 2 for x in own) / len(own)) ** 0.5, len(own)) if own else None)
     return out
 
 
+def _places(raw: str, tokens: pa.Array) -> tuple[list[int], list[int]] | None:
+    """token_spans, as beginnings and ends. Tokens that are raw's beginning, none of them empty, are not made strings one by one."""
+    if not raw or not len(tokens):
+        return None
+    if not tokens.null_count:
+        sizes = pc.utf8_length(tokens).to_numpy()
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(tokens)], pa.int32()), tokens), "")[0].as_py()
+        if sizes.min() > 0 and "�" not in whole and raw.startswith(whole):
+            ends = sizes.cumsum().tolist()
+            return [0, *ends[:-1]], ends
+    spans = token_spans(raw, tokens.to_pylist())
+    return tuple(map(list, zip(*spans))) if spans else None
+
+
 def with_confidences(reads: DataFrame) -> DataFrame:
     """reads: raw, tokens (array of logprob, token), values (array): the same with `confidence`, for each value exp of the least log probability."""
 
-    @F.pandas_udf("array<double>")
-    def score(raws: pd.Series, tokens: pd.Series, values: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def score(raws: pa.Array, tokens: pa.Array, values: pa.Array) -> pa.Array:
         out = []
-        for raw, ts, vs in zip(raws, tokens, values, strict=True):
-            found = confidences(raw or "", [(t["logprob"], t["token"]) for t in ([] if ts is None else ts)], [] if vs is None else list(vs))
-            out.append([None if x is None else math.exp(x[1]) for x in found])
-        return pd.Series(out)
+        for k in range(len(raws)):
+            raw, ts, vs = raws[k].as_py() or "", tokens[k].values, values[k].values
+            probs, spans = ([], None) if ts is None else (listed(ts.field("logprob")), _places(raw, ts.field("token")))
+            out.append([None if own is None else math.exp(min(own)) for own in _own(raw, probs, spans, [] if vs is None else vs.to_pylist())])
+        return pa.array(out, pa.list_(pa.float64()))
 
     return reads.withColumn("confidence", score("raw", "tokens", "values"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import responses as P
 from docweave.operators import reads as R
+from docweave.operators.grouped import small_batches
 from docweave.plans.elements import SQL as E
 from docweave.plans.elements import elements
 
@@ -36,6 +37,7 @@ def read_loops(s, d):
 
 
 def read_suspicions(s, d):
+    small_batches(s)
     return R.suspicions(_reads(s, d)).drop("text", "raw")
 
 
@@ -67,8 +69,8 @@ def second_sources(s, d):
 def layer_matches(s, d):
     t = _t(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
     other = F.expr("if(id % 3 = 0, substring_index(text, ' ', greatest(1, size(split(text, ' ')) - 2)), text)")
-    tokens = lambda side, text: t.select("id", F.lit(side).alias("side"), F.explode(F.split(text, " ")).alias("token"))
-    return R.text_layer_matches(tokens("a", other).union(tokens("b", F.col("text"))))
+    small_batches(s)
+    return R.layers_match(t.select("id", other.alias("a"), F.col("text").alias("b")))
 
 
 def layer_amounts(s, d):
@@ -81,7 +83,9 @@ def layer_amounts(s, d):
 def token_confidences(s, d):
     """Each line of a document is a record; its tokens are pieces of five characters, with made-up probabilities."""
     x = _t(s, d, "documents").selectExpr("doc_id", "filter(split(text, '\\n'), l -> l <> '') values").withColumn("raw", F.to_json("values"))
-    tokens = F.expr("transform(sequence(0, greatest(length(raw) - 1, 0) div 5), i -> named_struct('logprob', -((i * 7) % 10) / 10D, 'token', substring(raw, 5 * i + 1, 5)))")
+    # substring() counts from the text's start for each piece, the pattern goes through it once
+    tokens = F.expr("transform(regexp_extract_all(raw, '(?s).{1,5}', 0), (t, i) -> named_struct('logprob', -((i * 7) % 10) / 10D, 'token', t))")
+    small_batches(s)
     return R.with_confidences(x.withColumn("tokens", tokens)).select("doc_id", F.size("confidence").alias("records"), F.round(F.array_min("confidence"), 9).alias("least"))
 
 
