@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docweave.operators.grouped import per_key, records
+
 _FENCE = re.compile(r"^\s*```[a-z]*\s*\n?(.*?)\n?\s*```\s*$", re.S)
 _NUMBER = re.compile(r"(?<![^\W_])[+-]?[0-9](?:[0-9.,:/%-]*[0-9%])?")
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -163,11 +165,14 @@ def signed(events: DataFrame, secret: bytes) -> DataFrame:
 
 
 def _per_document(e: DataFrame, f, schema: str) -> DataFrame:
-    def group(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["page_no"], r["idx"]))
-        return pa.Table.from_pylist(f(rows), schema=_arrow_schema(schema))
+    shape = _arrow_schema(schema)
+
+    def group(table: pa.Table, bounds: list[int]):
+        rows = records(table)
+        for a, b in zip(bounds, bounds[1:]):
+            yield from (tuple(x.values()) for x in f(sorted(rows[a:b], key=lambda r: (r["page_no"], r["idx"]))))
 
-    return e.groupBy("doc_id").applyInArrow(group, schema)
+    return per_key(e.select("doc_id", "page_no", "idx", "text"), group, shape, schema)
 
 
 def _arrow_schema(schema: str) -> pa.Schema:

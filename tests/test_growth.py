@@ -114,3 +114,24 @@ def test_numbers_are_counted_before_they_are_written(spark, tmp_path):
     lines = plan(got).split("\n")
     assert max(k for k, x in enumerate(lines) if "printf" in x or "format_string" in x) < max(k for k, x in enumerate(lines) if "Aggregate" in x)
     assert {r.cents: r.n for r in got.collect()} == {150: 4, -150: 2, 123456789: 2, -123456789: 1, 0: 1, -200: 2}
+
+
+def test_documents_go_to_python_together(spark):
+    """No call for each document, which costs more than most documents' work."""
+    from docweave.queries import collect
+
+    for name in ("segments", "segment_counters", "word_fragments", "context_batches", "table_boundaries", "table_counters", "assembled_tables"):
+        assert "FlatMapGroupsInArrow" not in plan(collect()[0][name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_absorbed_looks_back_one_group():
+    from docweave.operators.segmentation import Element, Group, Unit, absorbed
+
+    asked = []
+    groups = [Group([Unit([Element(k, 1, "text", "x" * (100 if k < 500 else 1))])], "start") for k in range(1000)]
+
+    def choose(now, k):
+        asked.append(k)
+        return k - 1 if k > 500 and len(now[k].text) == 1 and len(now) > 502 else None
+
+    assert len(absorbed(groups, choose)) == 502 and len(asked) < 3000
